@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def slices(batch: pa.RecordBatch, column: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The batch in parts whose texts are about ``chars`` bytes at most (a longer row stands alone)."""
     text = batch.column(batch.schema.get_field_index(column))
-    size = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
     begin = total = 0
     for i, n in enumerate(size):
         if total and total + n > chars:

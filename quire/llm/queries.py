@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import rans_store
+from quire.llm import bpe, exact_dedup, language_id, packing, rans_store, secret_scan, toxicity
 from quire.llm.token_cache import tokenizer_path
 
 
@@ -20,8 +20,53 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans_store.write_and_read(spark, docs, tokenizer_path("byte_bpe_50k.json")).drop("ids")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; see ``language_id``."""
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; see ``secret_scan``."""
+    return secret_scan.scan(_table(spark, sf_dir, "documents")).drop("found")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece's place in sequences of 1024 ids; see ``packing``."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 1024, 2)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; see ``toxicity``."""
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which copy of every document stays; see ``exact_dedup``."""
+    return exact_dedup.mark(_table(spark, sf_dir, "documents"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment-tree BPE and back; see ``bpe``."""
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), keep_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
+    "op4_language_id": op4_language_id,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_toxicity": op8_toxicity,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_dedup": f"""
+        WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+             g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+        SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
+        FROM n JOIN g ON n.t = g.t
+    """,
+}
