@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, exact_dedup, language_id, packing, rans_store, secret_scan, toxicity
+from quire.llm import bpe, exact_dedup, language_id, packing, pii, rans_store, secret_scan, toxicity
 from quire.llm.token_cache import tokenizer_path
 
 
@@ -20,6 +20,11 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans_store.write_and_read(spark, docs, tokenizer_path("byte_bpe_50k.json")).drop("ids")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and revealing terms of every document; see ``pii``."""
+    return pii.detect(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; see ``language_id``."""
     return language_id.identify(_table(spark, sf_dir, "documents"))
@@ -52,6 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
+    "op2_pii": op2_pii,
     "op4_language_id": op4_language_id,
     "op6_secret_scan": op6_secret_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
