@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, exact_dedup, language_id, packing, pii, rans_store, secret_scan, toxicity
+from quire.llm import ann, bpe, exact_dedup, language_id, ngram_join, packing, pii, rans_store, secret_scan, toxicity
 from quire.llm.token_cache import tokenizer_path
 
 
@@ -25,11 +25,22 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard index of 0.85 or more; see ``ngram_join``."""
+    return ngram_join.classes(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; see ``language_id``."""
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found for every hundredth vector; see ``ann``."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 100 = 0"), 10)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; see ``secret_scan``."""
     return secret_scan.scan(_table(spark, sf_dir, "documents")).drop("found")
@@ -58,7 +69,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_pii": op2_pii,
+    "op3_ngram_join": op3_ngram_join,
     "op4_language_id": op4_language_id,
+    "op5_nearest": op5_nearest,
     "op6_secret_scan": op6_secret_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_toxicity": op8_toxicity,
