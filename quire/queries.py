@@ -1,0 +1,259 @@
+"""The registered queries: each runs an operator over a whole table of the driver's data."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.functions import text as T
+from quire.operators import jobs, layout, reconstruct, render, translate
+from quire.sources import typeset
+
+c = F.col
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).withColumn("ln", c("ln").cast("long"))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typeset.words(_docs(spark, sf_dir))
+
+
+def _parted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.split_footnotes(layout.blocks(layout.with_zone(layout.lines(_words(spark, sf_dir)))))
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _words(spark, sf_dir)
+    regions, lines = layout.regions(words)
+    return reconstruct.merge_paragraphs(reconstruct.page_blocks(regions, lines, words))
+
+
+def paragraph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconstruct.merge_lines(_docs(spark, sf_dir)).select("doc_id", c("para").cast("long").alias("para"), "text", "n_lines")
+
+
+def sentence_end_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = T.ends_sentence(c("line"))
+    return _lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(ends).alias("n_ends"))
+
+
+def text_layer_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    has = T.has_meaningful_text(c("text")).cast("double")
+    made = _table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.avg(has).alias("share"))
+    return made.withColumn("has_text_layer", c("share") >= 0.6)
+
+
+def blank_line_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paired = F.regexp_replace("text", r"([^\n]*\n[^\n]*)\n", "$1\n \n")
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(T.blank_line_paragraphs(paired)).alias("para", "text")).withColumn("para", c("para").cast("long"))
+
+
+def list_item_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bullet, numbered = T.is_bullet(c("line")), T.is_numbered(c("line"))
+    return _lines(spark, sf_dir).filter(bullet | numbered).select("doc_id", "ln", "line", bullet.alias("is_bullet"), numbered.alias("is_numbered"))
+
+
+def page_number_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _lines(spark, sf_dir).select("doc_id", F.explode(F.split("line", " ")).alias("word"))
+    return words.filter(T.looks_like_page_number(c("word"))).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+
+def footnote_marker_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat((c("ln") % 1200).cast("string"), F.when(c("ln") % 3 == 0, ". ").when(c("ln") % 3 == 1, ") ").otherwise(""), c("line"))
+    rows = _lines(spark, sf_dir).select("doc_id", "ln", line.alias("line"))
+    return rows.select("doc_id", "ln", T.looks_like_footnote_marker(c("line")).alias("looks"), T.footnote_marker(c("line")).alias("marker"), T.without_footnote_marker(c("line")).alias("rest"))
+
+
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", T.html_escape(c("html")).alias("escaped"))
+
+
+def words_confidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = layout.confident(_words(spark, sf_dir))
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum("confidence").alias("sum_confidence"), F.min("confidence").alias("min_confidence"))
+
+
+def words_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = layout.lines(_words(spark, sf_dir))
+    return made.select("doc_id", "page_index", "block_num", "par_num", "line_num", "line_ord", "text", "l", "t", "r", "b", F.round("confidence", 6).alias("confidence"), "n_words")
+
+
+def page_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = layout.lines(_words(spark, sf_dir))
+    return made.groupBy("doc_id", "page_index").agg(F.expr("listagg(text, '\n') WITHIN GROUP (ORDER BY line_ord)").alias("full_text"))
+
+
+def margin_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.with_zone(layout.lines(_words(spark, sf_dir))).select("doc_id", "page_index", "line_ord", "zone")
+
+
+def footnote_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parted(spark, sf_dir).select("doc_id", "page_index", "block_num", "par_num", "zone", "zone2", F.round("line_height", 6).alias("line_height"), "n_lines")
+
+
+def column_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = layout.column_ranges(_parted(spark, sf_dir))
+    return made.select("doc_id", "page_index", F.posexplode("ranges").alias("i", "x")).select("doc_id", "page_index", c("i").cast("long").alias("i"), "x.l", "x.r")
+
+
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = layout.classified(_parted(spark, sf_dir))
+    return made.select("doc_id", "page_index", "block_num", "par_num", "zone", "type", "column_index", "reading_order", "l", "t", "r", "b")
+
+
+def split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _words(spark, sf_dir)
+    body = layout.with_zone(layout.lines(words)).filter("zone = 'body'")
+    made = reconstruct.paragraphs(body, reconstruct.REGION)
+    return made.select("doc_id", "page_index", "block_num", "par_num", "line_num", c("para").cast("long").alias("para"), F.round("indent_threshold", 6).alias("indent_threshold"), "baseline_left")
+
+
+def style_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every block, as if it were one paragraph."""
+    words = _words(spark, sf_dir).withColumn("line_ord", c("line_num"))
+    made = reconstruct.runs(words, ["doc_id", "page_index", "block_num", "par_num"])
+    return made.select("doc_id", "page_index", "block_num", "par_num", F.posexplode("runs").alias("run", "x")).select("doc_id", "page_index", "block_num", "par_num", c("run").cast("long").alias("run"), "x.text", "x.bold", "x.italic")
+
+
+def bold_vs_block_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = layout.bold_words(_words(spark, sf_dir))
+    return made.groupBy("doc_id", "page_index", "block_num").agg(F.count("*").alias("n"), F.count_if("bold_by_stroke").alias("n_bold"))
+
+
+def dominant_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconstruct.dominant_style(_words(spark, sf_dir), ["doc_id", "page_index", "block_num", "par_num"])
+
+
+def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _merged(spark, sf_dir)
+    return made.select("doc_id", "block_ordinal", "type", reconstruct.plain("runs").alias("text"), render.markdown_runs("runs").alias("styled"), "level", "list_ordered", "footnote_marker", "first_line_indent", "source_page")
+
+
+def infer_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconstruct.titles(_merged(spark, sf_dir))
+
+
+def render_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.to_text(_merged(spark, sf_dir))
+
+
+def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.to_markdown(_merged(spark, sf_dir))
+
+
+def render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = _merged(spark, sf_dir)
+    met = render.to_html_body(blocks).join(reconstruct.titles(blocks), "doc_id").join(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return met.select("doc_id", render.html_page(c("title"), c("body"), c("lang"), "").alias("content"))
+
+
+def _line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as blocks: every seventh a title, some runs of list items."""
+    kind = F.when(c("ln") % 7 == 3, "title").when((c("ln") % 5 == 1) | (c("ln") % 5 == 2), "list_item").otherwise("paragraph")
+    run = F.array(F.struct(c("line").alias("text"), F.lit(False).alias("bold"), F.lit(False).alias("italic")))
+    return _lines(spark, sf_dir).select("doc_id", c("ln").alias("block_ordinal"), kind.alias("type"), run.alias("runs"), (c("ln") % 2 == 0).alias("list_ordered"))
+
+
+def list_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = render.list_islands(_line_blocks(spark, sf_dir))
+    return made.select("doc_id", "block_ordinal", "type", c("island").cast("long").alias("island"), c("item").cast("long").alias("item"), "island_ordered")
+
+
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.chapters(_line_blocks(spark, sf_dir)).select("doc_id", "block_ordinal", "chapter", "chapter_title")
+
+
+def _text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("doc_id", c("ln").alias("block_ordinal"), c("line").alias("text"))
+
+
+def translation_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return translate.batches(_text_blocks(spark, sf_dir)).select("doc_id", "block_ordinal", "batch_id", "local_i")
+
+
+def translation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return translate.prompts(translate.batches(_text_blocks(spark, sf_dir)), "Translate into 'en'.")
+
+
+def translation_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies made here, every third block's tag missing, are parsed and put back."""
+    blocks = _text_blocks(spark, sf_dir)
+    batched = translate.batches(blocks)
+    one = F.concat(F.lit("<<<BLOCK_"), c("local_i").cast("string"), F.lit(">>>\n "), F.upper(F.substring("text", 1, 1)), F.lit(" of block "), c("block_ordinal").cast("string"), F.lit(" \n<<<END_"), c("local_i").cast("string"), F.lit(">>>"))
+    replies = batched.filter("block_ordinal % 3 <> 2").withColumn("one", one).groupBy("doc_id", "batch_id").agg(F.expr("listagg(one, '\n') WITHIN GROUP (ORDER BY local_i)").alias("reply"))
+    return translate.apply(blocks, batched, translate.parse_replies(replies))
+
+
+def language_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return translate.language_sample(_text_blocks(spark, sf_dir))
+
+
+def lang_code_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.concat(F.when(c("lang") == "en", "eng").when(c("lang") == "es", "spa").when(c("lang") == "de", "deu").otherwise("xxx"))
+    return _table(spark, sf_dir, "documents").select(code.alias("code")).groupBy("code").agg(F.count("*").alias("n")).withColumn("two", T.two_letter_code(c("code")))
+
+
+def quad_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections as four corners, from the order lines: their boxes, and what the confidence keeps."""
+    x, y = c("l_extendedprice") % 1500, c("l_quantity") * 20
+    at = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    corners = F.array(at(x, y), at(x + 30.5, y + 1.25), at(x + 29.75, y + 12.5), at(x - 0.5, y + 11.0))
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", corners.alias("quad"), ((1 - c("l_discount")) * 100 - 50).alias("confidence")).filter("confidence >= 40.5")
+    xs, ys = F.transform("quad", lambda p: p["x"]), F.transform("quad", lambda p: p["y"])
+    whole = lambda v: v.cast("long")
+    return rows.select(
+        "l_orderkey", "l_linenumber", whole(F.array_min(xs)).alias("l"), whole(F.array_min(ys)).alias("t"),
+        whole(F.array_max(xs) - F.array_min(xs)).alias("w"), whole(F.array_max(ys) - F.array_min(ys)).alias("h"),
+    )
+
+
+def _job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select(c("user_id").alias("job_id"), c("event_id").alias("seq"), "ts", c("event_type").alias("status"))
+
+
+def job_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.latest(_job_log(spark, sf_dir))
+
+
+def job_history_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.newest(jobs.latest(_job_log(spark, sf_dir)), 100)
+
+
+def job_age_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _job_log(spark, sf_dir)
+    middle = log.agg(F.expr("cast(date_trunc('day', max(ts)) - interval 5 days as timestamp_ntz)").alias("cutoff"))
+    return jobs.latest(log).join(F.broadcast(middle), c("ts") < c("cutoff")).select("job_id", "seq", "ts", "status")  # one row
+
+
+def job_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.array(F.lower("o_orderstatus"), F.substring("o_orderpriority", 1, 1))).alias("output_formats_json"))
+    return jobs.with_formats(rows).select("o_orderkey", F.size("output_formats").cast("long").alias("n"), F.get("output_formats", F.lit(1)).alias("second"))
+
+
+def indent_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First words of lines that begin right of the median of their page's lines."""
+    made = layout.lines(_words(spark, sf_dir)).withColumn("m", F.median("l").over(Window.partitionBy("doc_id", "page_index")))
+    return made.filter(c("l") > c("m")).select("doc_id", "page_index", "line_num", "block_num", F.element_at(F.split("text", " "), 1).alias("word"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        paragraph_merge, sentence_end_stats, text_layer_detect, blank_line_paragraphs, list_item_classify, page_number_detect, footnote_marker_extract, html_escape,
+        words_confidence_filter, words_to_lines, page_full_text, margin_split, footnote_split, column_ranges, reading_order, split_paragraphs, style_runs, bold_vs_block_median,
+        dominant_style, document_blocks, infer_title, render_text, render_markdown, render_html, list_islands, chapters, translation_batches, translation_prompts, translation_apply,
+        language_sample, lang_code_lookup, quad_boxes, job_latest_status, job_history_topk, job_age_cutoff, job_formats, indent_words,
+    )
+}
