@@ -35,7 +35,9 @@ _HEAD = struct.Struct("<8sIIQII")
 
 def _table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and frequencies that add up to 2**BITS, each at least 1."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     total = 1 << BITS
     if len(symbols) > total:
         raise ValueError(f"more than {total} different ids in a segment")
@@ -59,7 +61,9 @@ def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) ->
     begin = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
     size = LANES * STEPS
     blocks = -(-len(ids) // size)
-    place = np.searchsorted(symbols, ids)
+    number = np.zeros(int(symbols[-1]) + 1, np.int32)
+    number[symbols] = np.arange(len(symbols))
+    place = number[ids]
     padded = np.full(blocks * size, int(freq.argmax()), np.int64)
     padded[: len(ids)] = place
     grid = padded.reshape(blocks, STEPS, LANES)
@@ -221,7 +225,8 @@ def read(manifest: DataFrame) -> DataFrame:
                     {"doc_id": pd.Series(doc_ids, dtype="Int64").mask(null), "start": start + row.first_token, "n_tokens": lengths.astype(np.int64), "ids_crc32": [zlib.crc32(x) for x in runs], "ids": runs}
                 )
 
-    spread = manifest.repartition(F.col("part"), F.col("segment"))
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = manifest.repartition(tasks, F.col("part"), F.col("segment"))  # a set number: segments are small rows but much work
     return spread.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 

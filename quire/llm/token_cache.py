@@ -22,10 +22,10 @@ import numpy as np
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than U+0020 (fixed values: Unicode White_Space, and the separators that Python adds to it).
 _OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Where Python, the library and Unicode versions agree on classes of characters: Latin without odd controls.
-_PLAIN = re.compile("[^\x1c-\x1f\x80-\xa0\u0250-\U0010ffff]*")
+#: A word of Latin letters, on which all versions of Unicode agree, perhaps after a line end, and marks behind it.
+_WORD = re.compile("(\n?)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-/:-@\\[-`{-~]*)")
 #: Parts in each of two generations of the cache. Memory stays bounded; results don't depend on it.
-LIMIT = 300_000
+LIMIT = 700_000
 #: Parts longer than this are encoded each time.
 LONGEST = 64
 
@@ -40,10 +40,10 @@ def parts(text: str) -> list[str]:
 class CachedEncoder:
     """Encodes texts to little-endian uint32 bytes.
 
-    ``one`` gives such bytes for a string, ``many`` for each of many parts as ``parts`` gives them.
+    ``one`` gives such bytes for a string, ``many`` for each of many parts as ``parts`` gives them; it may use, and add to, those known already.
     """
 
-    def __init__(self, one: Callable[[str], bytes], many: Callable[[list[str]], Iterable[bytes]]):
+    def __init__(self, one: Callable[[str], bytes], many: Callable[[set[str], dict[str, bytes]], dict[str, bytes]]):
         self.one, self.many, self.new, self.old = one, many, {}, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -54,18 +54,15 @@ class CachedEncoder:
         if len(self.new) > LIMIT:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        missing = []
-        for x in wanted - new.keys():
-            if (y := old.get(x)) is None:
-                missing.append(x)
-            else:
-                new[x] = y
-        new.update(zip(missing, self.many(missing), strict=True))
+        missing = wanted.difference(new)
+        known = missing.intersection(old)
+        new.update(zip(known, map(old.__getitem__, known), strict=True))
+        missing.difference_update(known)
+        new.update(self.many(missing, new))
         get = new.__getitem__
         out = [self.one(p[0]) + b"".join(map(get, p[1:])) for p in cut]
-        for x in missing:
-            if len(x) > LONGEST:
-                del new[x]
+        for x in [x for x in missing if len(x) > LONGEST]:
+            del new[x]
         return out
 
 
@@ -99,14 +96,14 @@ def library_encoder(path: str) -> CachedEncoder:
         return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
 
     if not plain:
-        return CachedEncoder(one, lambda words: [one(x if x[:1] == "\n" else " " + x) for x in words])
+        return CachedEncoder(one, lambda words, known: {x: one(x if x[:1] == "\n" else " " + x) for x in words})
     by_line = Tokenizer.from_file(path)
     by_line.encode_special_tokens = True
     by_line.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
     table = "".join("\n" if b == 10 else letters[b] for b in range(256))
     first = np.zeros(max(made["model"]["vocab"].values()) + 1, bool)
     first[[i for x, i in made["model"]["vocab"].items() if x[0] == letters[ord(" ")]]] = True
-    newline, marks = one("\n"), {c: one(c) for c in ",.?!;:"}
+    newline, marks = one("\n"), {"": b""}
 
     def lines(words: list[str], space: str) -> list[bytes]:
         """Ids of words of letters, each with ``space`` (one or none) before it."""
@@ -122,21 +119,37 @@ def library_encoder(path: str) -> CachedEncoder:
         held = ids.tobytes()
         return [held[a:b] for a, b in pairwise([*(at * 4).tolist(), len(held)])]
 
-    def many(words: list[str]) -> list[bytes]:
-        """A word of letters is one match with the space before it; a line end before it, or a mark behind it, is another."""
-        out: list[bytes] = [b""] * len(words)
-        found: dict[bool, list] = {False: [], True: []}
-        for i, x in enumerate(words):
-            line = x[:1] == "\n"
-            y = x[1:] if line else x
-            stem, mark = (y, b"") if y.isalpha() else (y[:-1], marks.get(y[-1:]))
-            if mark is not None and stem.isalpha() and _PLAIN.fullmatch(stem):
-                found[line].append((i, stem, mark))
+    def many(words: set[str], known: dict[str, bytes]) -> dict[str, bytes]:
+        """A word of letters is one match with the space before it; a line end before it, or marks behind it, are others."""
+        found, marked, first_words, rest = [], [], [], []
+        for x in words:
+            if x.isascii() and x.isalpha():
+                found.append(x)
+            elif m := _WORD.fullmatch(x):
+                line, stem, mark = m.groups()
+                if line:
+                    first_words.append((x, stem, mark))
+                elif mark:
+                    marked.append((x, stem, mark))
+                else:
+                    found.append(x)
             else:
-                out[i] = one(x if line else " " + x)
-        for line, own in found.items():
-            for (i, _, mark), ids in zip(own, lines([x[1] for x in own], "" if line else " "), strict=True):
-                out[i] = (newline if line else b"") + ids + mark
+                rest.append(x)
+        stems = {stem for _, stem, _ in marked}.difference(known)
+        stems.difference_update(found)
+        found += stems
+        out = dict(zip(found, lines(found, " "), strict=True))
+        for mark in {m for _, _, m in marked + first_words}.difference(marks):
+            if len(marks) > 10_000:
+                marks.clear()
+                marks[""] = b""
+            marks[mark] = one(mark)
+        for x, stem, mark in marked:
+            out[x] = (out.get(stem) or known[stem]) + (marks.get(mark) or one(mark))
+        for (x, _, mark), ids in zip(first_words, lines([w[1] for w in first_words], ""), strict=True):
+            out[x] = newline + ids + ((marks.get(mark) or one(mark)) if mark else b"")
+        got = tokenizer.encode_batch_fast([x if x[:1] == "\n" else " " + x for x in rest], add_special_tokens=False)
+        out.update((x, array("I", e.ids).tobytes()) for x, e in zip(rest, got, strict=True))
         return out
 
     return CachedEncoder(one, many)
