@@ -234,7 +234,7 @@ def job_history_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_age_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _job_log(spark, sf_dir)
     middle = log.agg(F.expr("cast(date_trunc('day', max(ts)) - interval 5 days as timestamp_ntz)").alias("cutoff"))
-    return jobs.latest(log).join(F.broadcast(middle), c("ts") < c("cutoff")).select("job_id", "seq", "ts", "status")  # one row
+    return jobs.older_than(log, middle.first()[0]).select("job_id", "seq", "ts", "status")  # one value
 
 
 def job_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
