@@ -71,11 +71,14 @@ def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def tf_idf(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of unit length."""
+    """Sparse rows of unit length, worked out for some texts at a time."""
+    if len(texts) > TOGETHER:
+        made = [tf_idf(texts[a : a + TOGETHER], idf) for a in range(0, len(texts), TOGETHER)]
+        return np.concatenate([m[0] + a for m, a in zip(made, range(0, len(texts), TOGETHER), strict=True)]), np.concatenate([m[1] for m in made]), np.concatenate([m[2] for m in made])
     row, column, count = counts(texts)
     x = (1 + np.log(count)) * idf[column]
     norm = np.sqrt(np.bincount(row, x * x, len(texts)))
-    return row, column, x / np.maximum(norm, 1e-12)[row]
+    return row.astype(np.int32), column.astype(np.int32), (x / np.maximum(norm, 1e-12)[row]).astype(np.float32)
 
 
 @dataclass
