@@ -19,7 +19,7 @@ from quire.llm.labelled import held_out, sample
 from quire.llm.text_hash import LOWER, flat, run_hashes, runs
 
 #: Rows of the labelled sample at most.
-SAMPLE = 12_000
+SAMPLE = 9_000
 #: Insults (fixed values).
 LEXICON = "idiot moron clown pathetic worthless scum loser stupid dumb trash garbage vermin disgusting fool imbecile coward liar pig filth filthy hate hateful shut disgrace ugly useless".split()
 #: Second-person words of the four languages (fixed values).
@@ -67,8 +67,18 @@ def word_hashes(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
     return [run_hashes(plain, begin, end if k is None else np.minimum(begin + k, end)) for k in STEMS], doc[real], signs
 
 
+def _by_size(texts: pa.Array, chars: int = 1_000_000) -> Iterator[pa.Array]:
+    for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), chars=chars):
+        yield part.column(0)
+
+
 def features(texts: pa.Array, strong: np.ndarray, weights: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The matrix of ``FEATURES`` columns. ``strong``: hashes of the fixed lexicon; ``weights``: for each of ``STEMS`` learned hashes (sorted) and log odds."""
+    """The matrix of ``FEATURES`` columns, worked out for about a million bytes at a time."""
+    return np.concatenate([np.zeros((0, FEATURES)), *(_features(part, strong, weights) for part in _by_size(texts))])
+
+
+def _features(texts: pa.Array, strong: np.ndarray, weights: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """``strong``: hashes of the fixed lexicon; ``weights``: for each of ``STEMS`` learned hashes (sorted) and log odds."""
     n = len(texts)
     data, at = flat(texts)
     stems, doc, signs = word_hashes(texts)
@@ -107,12 +117,17 @@ def features(texts: pa.Array, strong: np.ndarray, weights: list[tuple[np.ndarray
 
 def learn_lexicon(texts: pa.Array, toxic: np.ndarray, least: int = 4, most: int = 2000) -> list[tuple[np.ndarray, np.ndarray]]:
     """Words and stems whose presence tells toxic from other texts: for each of ``STEMS`` sorted hashes and smoothed log odds."""
-    stems, doc, _ = word_hashes(texts)
+    seen, before = [], 0
+    for part in _by_size(texts):
+        stems, doc, _ = word_hashes(part)
+        seen.append((stems, doc + before))
+        before += len(part)
     n_bad = max(1.0, float(toxic.sum()))
     n_good = max(1.0, len(toxic) - n_bad)
     out = []
-    for hashed in stems:
-        pair = np.unique(np.rec.fromarrays([hashed, doc]))
+    for k in range(len(STEMS)):
+        pairs = [np.unique(np.rec.fromarrays([stems[k], doc])) for stems, doc in seen]  # a text is in one part only
+        pair = np.concatenate(pairs) if pairs else np.zeros(0, [("f0", "u8"), ("f1", "i8")])
         word, where = np.unique(pair["f0"], return_inverse=True)
         bad = np.bincount(where, toxic[pair["f1"]], len(word))
         all_ = np.bincount(where, minlength=len(word))
@@ -237,7 +252,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, chars=1_000_000):
                 s = model.score(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
