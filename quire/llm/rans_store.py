@@ -125,6 +125,8 @@ def decode_segment(data: bytes, blocks: slice = slice(None)) -> tuple[np.ndarray
         word = body[np.minimum(pointer + rank - 1, len(body) - 1) * more]
         state = np.where(more, (state << shift) | word, state)
         pointer = pointer + rank[:, -1:]
+    if (state != _LOW).any():  # where every coder began
+        raise ValueError("a block's words are damaged")
     ids = symbols[out].reshape(len(state), STEPS * LANES)
     runs = [row[:n] for row, n in zip(ids, held[blocks], strict=True)]
     for run, want in zip(runs, crc[blocks], strict=True):
