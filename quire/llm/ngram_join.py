@@ -2,7 +2,7 @@
 
 1.  Every document becomes the set of hashes of its shingles; equal sets collapse into their smallest id.
 2.  Groups. Each set knows its prefix: the first tokens in an order that all sets share (frequent tokens last, then by hash). A token's pivot
-    is the smallest id whose prefix has it. A set is compared with the pivots it meets most; links found so far partition
+    is the smallest id whose prefix has it. A set is compared with the pivots it meets most (and often enough to link); links found so far partition
     similar sets into groups, and groups of copies, however large, need one comparison a member.
 3.  Matrix. Large groups are dealt into parts of bounded size. For each token and part: does the union of the part's prefixes hold the
     token? A set queries the parts of other groups: the count of its prefix tokens in a part's union bounds the overlap with every member.
@@ -128,14 +128,18 @@ def _whole_sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return spotted.mapInArrow(run, "id long, tokens array<long>").join(ids, "id", "left_semi")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, exactly."""
+def _linked(pairs: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets link, exactly. Whole sets are made for the ids of the pairs only."""
+    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "join-ids")
+    sets = keep(_whole_sets(rows, ids, width), "join-sets")
     x, y = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
     met = pairs.join(x, "a").join(y, "b")
     both = F.size(F.array_intersect("x", "y"))
     # one value a row: the overlap is worked out once
     met = met.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.explode(F.array(both)).alias("both"))
-    return met.filter(den * F.col("both") >= num * (F.col("total") - F.col("both"))).select("a", "b")
+    links = keep(met.filter(den * F.col("both") >= num * (F.col("total") - F.col("both"))).select("a", "b"), "join-links")
+    drop(ids, sets)
+    return links
 
 
 def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,14 +160,15 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_c
     index = one.select(F.col("doc_id").alias("id"), "n", F.explode("prefix").alias("token"))
     often = index.groupBy("token").agg(F.count("*").alias("df"), F.min("id").alias("pivot")).filter("df > 1")
     index = keep(index.join(often, "token").select("id", "n", "token", "pivot"), "join-index")
+    sizes = keep(known.select("doc_id", "n"), "join-sizes")
+    drop(known)
 
     # 2. groups around pivots
-    met = index.filter("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("shared"))
+    least = 1 + F.floor(F.col("n") / 20)
+    met = index.filter("id <> pivot").groupBy("id", "pivot", "n").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
     best = met.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("shared", "pivot")), asc=False).alias("all")).select("id", F.explode(F.slice("all", 1, PIVOTS)).alias("p"))
     stars = keep(best.select(F.col("id").alias("a"), F.col("p.pivot").alias("b")), "join-stars")
-    ids = index.select("id").distinct()
-    sets = keep(_whole_sets(rows, ids, width), "join-sets")
-    near = keep(_linked(stars, sets, num, den), "join-links")
+    near = _linked(stars, rows, width, num, den)
     group = components(near)
 
     # 3. the matrix of tokens and parts
@@ -175,7 +180,6 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_c
     # tokens that stand in one group only can't link two
     apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     open_ = keep(placed.join(apart, "token", "left_semi"), "join-open")
-    least = 1 + F.floor(F.col("n") / 20)
     matrix = open_.groupBy("token", "component", "part").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
     asked = open_.alias("q").join(matrix.alias("g"), (F.col("q.token") == F.col("g.token")) & (F.col("q.component") > F.col("g.component")))
     asked = asked.filter((den * F.col("g.n_max") >= num * F.col("q.n")) & (den * F.col("q.n") >= num * F.col("g.n_min")))
@@ -186,13 +190,13 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_c
     members = placed.select("component", "part", F.col("id").alias("b"), F.col("n").alias("m")).distinct()
     pairs = admitted.join(members, ["component", "part"]).filter((den * F.col("m") >= num * F.col("n")) & (den * F.col("n") >= num * F.col("m")))
     pairs = keep(pairs.select(F.col("id").alias("a"), "b").distinct(), "join-pairs")
-    more = keep(_linked(pairs, sets, num, den), "join-links")
-    drop(index, placed, open_, sets, stars, pairs)
+    more = _linked(pairs, rows, width, num, den)
+    drop(index, placed, open_, stars, pairs)
     whole = components(near.unionByName(more))
 
     # every document: its class, its set's component, or itself
     reached = member.join(whole, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id")).dropDuplicates(["doc_id"])
-    return known.select("doc_id", F.col("n").alias("n_shingles")).join(reached, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sizes.select("doc_id", F.col("n").alias("n_shingles")).join(reached, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
