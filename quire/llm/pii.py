@@ -35,6 +35,8 @@ SUPPORT, INDEPENDENT = 3, 0.5
 GENERALISE, REMOVE = 0.8, 0.95
 #: A term: a word of at least four letters.
 _TERM = r"\p{L}{4,}"
+#: Bits of the map of terms whose document frequency is wanted; a full map only lets more words through to the count.
+MAP_BITS = 1 << 19
 #: Rows of term spans up to which they may be broadcast when texts are rewritten.
 BROADCAST_ROWS = 50_000
 
@@ -83,6 +85,10 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _spot(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(MAP_BITS)).cast("int")
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Base spans ``uid, doc_id, base`` of every row, and the terms' spans ``uid, doc_id, start, order, end, kind, value`` that the method adds."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -122,9 +128,21 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     joint = pairs.groupBy("entity", "term", "n_entity").agg(F.count("*").alias("n_joint")).join(prints, ["entity", "term"])
     joint = keep(joint.filter((F.col("n_prints") >= SUPPORT) & (F.col("n_prints") >= INDEPENDENT * F.col("n_joint"))), "pii-joint")
 
-    # document frequencies of the terms over the whole corpus
-    every = source.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
-    frequency = every.groupBy("term").agg(F.count("*").alias("n_term")).join(joint.select("term").distinct(), "term", "left_semi")
+    # document frequencies of the terms over the whole corpus: a map of fixed size thins the words before they are counted, then a join decides
+    # (an inner one, which the optimiser leaves above the count)
+    wanted = joint.select("term").distinct()
+    bits = wanted.select(_spot("term").alias("spot")).groupBy((F.col("spot") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, spot % 64))").alias("b")).collect()  # MAP_BITS / 64 rows at most
+    held = [0] * (MAP_BITS // 64)
+    for w, b in bits:
+        held[w] = b
+    spotted = F.lit(held).cast("array<bigint>")
+
+    def may_be(term: Column) -> Column:
+        spot = _spot(term)
+        return F.getbit(F.get(spotted, (spot / 64).cast("int")), spot % 64) == 1
+
+    every = source.select(F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)), may_be))).alias("term"))
+    frequency = every.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
     n = rows.agg(F.count("*").alias("n_all"))
     total = n.first()[0]
     ic = -F.log2(F.col("n_entity") / F.lit(max(total, 1)))
