@@ -1,13 +1,14 @@
 """Personal data: fixed forms, and terms that reveal them, in DataFrame operations only.
 
-The fixed forms (e-mail, IP address, card, phone) are the protected entities: each distinct value is one, and so is each form as such. Around every occurrence stand
-terms, the words of ``WINDOW`` characters on either side. Over the corpus, with probabilities as shares of documents,
+The fixed forms (e-mail, IP address, card, phone) are the protected entities: each distinct value is one, and so is each form as such. Terms are the words of
+the whole text that lie in no fixed form. Over the corpus, with probabilities as shares of documents,
 
     information of an entity         IC(c) = -log2 p(c)
     what a term tells of it          PMI(c; t) = log2 (p(c, t) / (p(c) p(t)))
     disclosure                       PMI / IC, which is 1 where the term occurs only together with the entity
 
-A term whose disclosure for an entity near by reaches ``GENERALISE`` becomes a span to be generalised, from ``REMOVE`` on one to be removed.
+A term whose disclosure for any entity reaches ``GENERALISE`` becomes a span to be generalised, from ``REMOVE`` on one to be removed: at every place where it
+stands, in every document.
 A pair counts as evidence only if it is met in ``SUPPORT`` independent documents: documents count once for each least
 shingle hash, so copies and near copies count about once, and pairs that mostly meet in copies of one text are left alone.
 
@@ -18,6 +19,8 @@ forms ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, ``[0-9]+(\\.[0-9]+
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,6 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = (*PATTERNS, "general", "removed")
-WINDOW = 120
 SUPPORT, INDEPENDENT = 3, 0.5
 GENERALISE, REMOVE = 0.8, 0.95
 #: A term: a word of at least four letters.
@@ -41,14 +43,15 @@ MAP_BITS = 1 << 19
 BROADCAST_ROWS = 50_000
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """All matches as ``array<struct<start, end, value>>`` in code points: lengths of matches and of what lies between them add up."""
+def spans(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """All matches (that are ``wanted``) as ``array<struct<start, end, value>>`` in code points: lengths of matches and of what lies between them add up."""
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
 
     def step(acc: Column, part: Column) -> Column:
         start = acc["at"] + F.length(part["between"])
         end = start + F.length(part["found"])
-        more = F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), part["found"].alias("value")))).alias("out"))
+        out = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), part["found"].alias("value"))))
+        more = F.struct(end.alias("at"), (F.when(wanted(part["found"]), out).otherwise(acc["out"]) if wanted else out).alias("out"))
         return F.when(part["found"].isNull(), acc).otherwise(more)  # the last part is followed by no match
 
     none = F.expr("cast(array() as array<struct<start: int, end: int, value: string>>)")
@@ -85,72 +88,92 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def blanked(text: Column, base: Column) -> Column:
+    """``text`` with a space for every character of the base spans, so that what is left keeps its place."""
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = text.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        out = F.concat(acc["out"], gap, F.repeat(F.lit(" "), s["end"] - F.greatest(s["start"], acc["at"])))
+        return F.when(s["end"] > acc["at"], F.struct(s["end"].alias("at"), out.alias("out"))).otherwise(acc)
+
+    done = F.aggregate(base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return F.when(F.size(base) > 0, F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))).otherwise(text)
+
+
+def _words(text: Column | str) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), lambda t: F.lower(t))
+
+
 def _spot(term: Column | str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(MAP_BITS)).cast("int")
 
 
+def _map(values: DataFrame, column: str) -> Callable[[Column], Column]:
+    """Whether a value may be one of ``values``, by a map of ``MAP_BITS`` bits."""
+    spots = values.select(_spot(column).alias("spot")).groupBy((F.col("spot") / 64).cast("int").alias("w"))
+    held = [0] * (MAP_BITS // 64)
+    for w, b in spots.agg(F.expr("bit_or(shiftleft(1L, spot % 64))").alias("b")).collect():  # MAP_BITS / 64 rows at most
+        held[w] = b
+    spotted = F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>")  # folded once; a list of literals would take the driver long
+
+    def may_be(value: Column) -> Column:
+        spot = _spot(value)
+        return F.getbit(F.get(spotted, (spot / 64).cast("int")), spot % 64) == 1
+
+    return may_be
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Base spans ``uid, doc_id, base`` of every row, and the terms' spans ``uid, doc_id, start, order, end, kind, value`` that the method adds."""
+    """Base spans ``uid, doc_id, base`` of every row, and the terms' spans ``uid, doc_id, start, order, end, kind, value`` that the method adds.
+
+    ``uid`` is a hash of the text: rows that share id and text share their terms' spans.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    # contexts of each base span: terms near it that lie in no base span
-    near = F.col("text"), F.col("base")
-
-    def contexts(span: Column) -> Column:
-        low = F.greatest(span["start"] - WINDOW, F.lit(0))
-        sides = F.concat(
-            F.transform(spans(near[0].substr(low + 1, span["start"] - low), _TERM), lambda t: F.struct((t["start"] + low).alias("start"), (t["end"] + low).alias("end"), F.lower(t["value"]).alias("term"))),
-            F.transform(spans(near[0].substr(span["end"] + 1, F.lit(WINDOW)), _TERM), lambda t: F.struct((t["start"] + span["end"]).alias("start"), (t["end"] + span["end"]).alias("end"), F.lower(t["value"]).alias("term"))),
-        )
-        free = F.filter(sides, lambda t: ~F.exists(near[1], lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-        return F.struct(F.array(span["kind"], F.concat_ws(":", span["kind"], F.lower(span["value"]))).alias("entities"), free.alias("terms"))
 
     def least_shingle(w: Column) -> Column:
         return F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
 
     # the words are bound to a variable: an expression in a lambda would be evaluated for each of its elements
     shingle = F.get(F.transform(F.array(F.split("text", " ")), least_shingle), F.lit(0))
-    rows = source.select("doc_id", "text", F.explode(F.array(base_spans(F.col("text")))).alias("base"))  # a generator is evaluated once
+    uid = F.xxhash64("text").alias("uid")
+    rows = source.select("doc_id", "text", uid, F.explode(F.array(base_spans(F.col("text")))).alias("base"))  # a generator is evaluated once
     has = F.size("base") > 0
-    rows = rows.select("doc_id", "base", F.when(has, F.transform("base", contexts)).alias("near"), F.when(has, shingle).alias("print"))
-    rows = keep(rows.withColumn("uid", F.monotonically_increasing_id()), "pii-base")
+    entities = F.array_distinct(F.flatten(F.transform("base", lambda s: F.array(s["kind"], F.concat_ws(":", s["kind"], F.lower(s["value"]))))))
+    terms = F.array_distinct(_words(blanked(F.col("text"), F.col("base"))))
+    rows = rows.select("doc_id", "uid", "base", F.when(has, entities).alias("entities"), F.when(has, terms).alias("terms"), F.when(has, shingle).alias("print"))
+    rows = keep(rows.withColumn("row", F.monotonically_increasing_id()), "pii-base")
 
-    seen = rows.filter("near is not null").select("uid", "doc_id", "print", F.explode("near").alias("n"))
-    seen = seen.select("uid", "doc_id", "print", F.explode("n.entities").alias("entity"), "n.terms")
+    seen = rows.filter("entities is not null").select("row", "print", F.explode("entities").alias("entity"))
     # an entity met in fewer independent documents can't have evidence
     apart = seen.select("entity", "print").distinct().groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT).select("entity")
-    whole = seen.select("entity", "uid").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    entities = apart.join(whole, "entity")
-    terms = seen.join(entities, "entity").select("uid", "doc_id", "print", "entity", "n_entity", F.explode("terms").alias("t")).select("uid", "doc_id", "print", "entity", "n_entity", "t.*")
-    terms = keep(terms, "pii-terms")
-    pairs = terms.select("entity", "n_entity", "term", "uid", "print").distinct()
-    prints = pairs.select("entity", "term", "print").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_prints"))
-    joint = pairs.groupBy("entity", "term", "n_entity").agg(F.count("*").alias("n_joint")).join(prints, ["entity", "term"])
+    whole = seen.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    met = seen.join(apart.join(whole, "entity"), "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_entity")).alias("met"))
+    pairs = rows.select("row", "print", "terms").join(met, "row").select("print", "met", F.explode("terms").alias("term"))
+    pairs = pairs.select("print", "term", F.explode("met").alias("m")).select("m.*", "term", "print")
+    prints = pairs.groupBy("entity", "n_entity", "term", "print").agg(F.count("*").alias("n"))
+    joint = prints.groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_joint"), F.count("*").alias("n_prints"))
     joint = keep(joint.filter((F.col("n_prints") >= SUPPORT) & (F.col("n_prints") >= INDEPENDENT * F.col("n_joint"))), "pii-joint")
 
     # document frequencies of the terms over the whole corpus: a map of fixed size thins the words before they are counted, then a join decides
     # (an inner one, which the optimiser leaves above the count)
     wanted = joint.select("term").distinct()
-    bits = wanted.select(_spot("term").alias("spot")).groupBy((F.col("spot") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, spot % 64))").alias("b")).collect()  # MAP_BITS / 64 rows at most
-    held = [0] * (MAP_BITS // 64)
-    for w, b in bits:
-        held[w] = b
-    spotted = F.lit(held).cast("array<bigint>")
-
-    def may_be(term: Column) -> Column:
-        spot = _spot(term)
-        return F.getbit(F.get(spotted, (spot / 64).cast("int")), spot % 64) == 1
-
-    every = source.select(F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)), may_be))).alias("term"))
+    may_be = _map(wanted, "term")
+    bare = source.select("doc_id", uid, F.explode(F.array(blanked(F.col("text"), base_spans(F.col("text"))))).alias("text"))
+    every = bare.select(F.explode(F.array_distinct(F.filter(_words("text"), may_be))).alias("term"))
     frequency = every.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
-    n = rows.agg(F.count("*").alias("n_all"))
-    total = n.first()[0]
+    total = rows.count()
     ic = -F.log2(F.col("n_entity") / F.lit(max(total, 1)))
     pmi = F.log2(F.col("n_joint") * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.col("n_term")))
-    told = joint.join(frequency, "term").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
+    told = joint.join(frequency, "term").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("disclosure") >= GENERALISE)
     kind = F.when(F.max("disclosure") >= REMOVE, "removed").otherwise("general")
-    added = terms.join(told, ["entity", "term"]).groupBy("uid", "doc_id", "start", "end", "term").agg(kind.alias("kind"))
-    added = added.select("uid", "doc_id", "start", F.when(F.col("kind") == "general", 4).otherwise(5).alias("order"), "end", "kind", F.col("term").alias("value"))
+    told = keep(told.groupBy(F.col("term").alias("value")).agg(kind.alias("kind")), "pii-told")
+
+    # every occurrence of these terms, in all documents
+    there = _map(told, "value")
+    places = bare.select("doc_id", "uid", F.explode(spans(F.col("text"), _TERM, lambda t: there(F.lower(t)))).alias("t"))
+    places = places.select("doc_id", "uid", "t.start", "t.end", F.lower("t.value").alias("value")).distinct()
+    added = places.join(told, "value").select("uid", "doc_id", "start", F.when(F.col("kind") == "general", 4).otherwise(5).alias("order"), "end", "kind", "value")
     return rows.select("uid", "doc_id", "base"), keep(added, "pii-added")
 
 
@@ -161,9 +184,9 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     spans. Repeated rows each give a row; as evidence they count once. An empty table gives no rows. Other columns are not read.
     """
     base, added = find(docs, id_col, text_col)
-    more = added.groupBy("uid").agg(F.collect_list(F.struct("start", "order", "end", "kind", "value")).alias("more"))
+    more = added.groupBy("uid", "doc_id").agg(F.collect_list(F.struct("start", "order", "end", "kind", "value")).alias("more")).select(F.col("uid").alias("of"), F.col("doc_id").alias("id"), "more")
     none = F.expr("cast(array() as array<struct<start: int, order: int, end: int, kind: string, value: string>>)")
-    rows = base.join(more, "uid", "left").withColumn("found", F.array_sort(F.concat("base", F.coalesce("more", none))))
+    rows = base.join(more, (F.col("uid") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").withColumn("found", F.array_sort(F.concat("base", F.coalesce("more", none))))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

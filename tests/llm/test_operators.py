@@ -119,6 +119,22 @@ def test_pii_reveals_terms_and_spares_copies(spark):
     assert "Zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and "Copacabana" in clean[7] and clean[20] == rows[20]
 
 
+def test_pii_reveals_terms_wherever_they_stand(spark):
+    random.seed(5)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(6))
+    filled = lambda n: [word() for _ in range(n)]
+    # beside the entity and far from it; far only; and, for one of twenty documents, without the entity
+    rows = [" ".join(["Zanzibar", *filled(60), "Zanzibar", "ann@corp.example", *filled(60), "zanzibar", *filled(60), "Timbuktu"]) for _ in range(20)]
+    rows += [" ".join([*filled(30), "Zanzibar"])] + [" ".join(filled(60)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.detect(df.union(df.limit(1))).collect()}
+    for i, t in enumerate(rows[:21]):
+        want = [(m.start(), m.end(), m[0].lower()) for m in re.finditer("(?i)zanzibar|timbuktu", t)]
+        assert [(s.start, s.end, s.value) for s in got[i].found if s.kind in ("general", "removed")] == want, i
+    clean = [r.text.lower() for r in pii.sanitise(df).collect()]
+    assert not any("zanzibar" in t or "timbuktu" in t for t in clean)
+
+
 def _sets(texts, width):
     out = {}
     for i, t in texts.items():
