@@ -9,8 +9,8 @@ the whole text that lie in no fixed form. Over the corpus, with probabilities as
 
 A term whose disclosure for any entity reaches ``GENERALISE`` becomes a span to be generalised, from ``REMOVE`` on one to be removed: at every place where it
 stands, in every document.
-A pair counts as evidence only if it is met in ``SUPPORT`` independent documents: documents count once for each least
-shingle hash, so copies and near copies count about once, and pairs that mostly meet in copies of one text are left alone.
+All counts are of independent documents: documents count once for each least shingle hash, so copies change no count, and near copies
+of one text count as often as their least shingles differ. A pair is evidence only if it is met in ``SUPPORT`` of them.
 
 Patterns are written so that Java's engine runs in linear time and without recursion on very long texts; they match what the plain
 forms ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)``, ``[0-9]([\\x20-]?[0-9])+`` and
@@ -33,7 +33,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = (*PATTERNS, "general", "removed")
-SUPPORT, INDEPENDENT = 3, 0.5
+SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 #: A term: a word of at least four letters.
 _TERM = r"\p{L}{4,}"
@@ -141,28 +141,31 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     has = F.size("base") > 0
     entities = F.array_distinct(F.flatten(F.transform("base", lambda s: F.array(s["kind"], F.concat_ws(":", s["kind"], F.lower(s["value"]))))))
     terms = F.array_distinct(_words(blanked(F.col("text"), F.col("base"))))
-    rows = rows.select("doc_id", "uid", "base", F.when(has, entities).alias("entities"), F.when(has, terms).alias("terms"), F.when(has, shingle).alias("print"))
+    rows = rows.select("doc_id", "uid", "base", F.when(has, entities).alias("entities"), F.when(has, terms).alias("terms"), shingle.alias("print"))
     rows = keep(rows.withColumn("row", F.monotonically_increasing_id()), "pii-base")
 
     seen = rows.filter("entities is not null").select("row", "print", F.explode("entities").alias("entity"))
     # an entity met in fewer independent documents can't have evidence
-    apart = seen.select("entity", "print").distinct().groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT).select("entity")
-    whole = seen.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    met = seen.join(apart.join(whole, "entity"), "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_entity")).alias("met"))
+    entities = seen.select("entity", "print").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= SUPPORT)
+    met = seen.join(entities, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_entity")).alias("met"))
     pairs = rows.select("row", "print", "terms").join(met, "row").select("print", "met", F.explode("terms").alias("term"))
     pairs = pairs.select("print", "term", F.explode("met").alias("m")).select("m.*", "term", "print")
-    prints = pairs.groupBy("entity", "n_entity", "term", "print").agg(F.count("*").alias("n"))
-    joint = prints.groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_joint"), F.count("*").alias("n_prints"))
-    joint = keep(joint.filter((F.col("n_prints") >= SUPPORT) & (F.col("n_prints") >= INDEPENDENT * F.col("n_joint"))), "pii-joint")
+    apart = pairs.groupBy("entity", "n_entity", "term", "print").agg(F.count("*").alias("n"))
+    joint = apart.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_joint"))
+    joint = keep(joint.filter(F.col("n_joint") >= SUPPORT), "pii-joint")
 
     # document frequencies of the terms over the whole corpus: a map of fixed size thins the words before they are counted, then a join decides
     # (an inner one, which the optimiser leaves above the count)
     wanted = joint.select("term").distinct()
     may_be = _map(wanted, "term")
-    bare = source.select("doc_id", uid, F.explode(F.array(blanked(F.col("text"), base_spans(F.col("text"))))).alias("text"))
-    every = bare.select(F.explode(F.array_distinct(F.filter(_words("text"), may_be))).alias("term"))
-    frequency = every.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
-    total = rows.count()
+    bare = source.select("doc_id", uid, shingle.alias("print"), F.explode(F.array(blanked(F.col("text"), base_spans(F.col("text"))))).alias("text"))
+    # only prints that may be shared are counted apart, so that the words of all other documents are summed before they move
+    prints = keep(rows.groupBy("print").agg(F.count("*").alias("n_rows")), "pii-prints")
+    shared = _map(prints.filter("n_rows > 1"), "print")
+    every = bare.select(F.when(shared(F.col("print")), F.col("print")).alias("copy"), F.explode(F.array_distinct(F.filter(_words("text"), may_be))).alias("term"))
+    once = every.groupBy("term", "copy").agg(F.count("*").alias("n")).withColumn("n", F.when(F.col("copy").isNull(), F.col("n")).otherwise(F.lit(1).cast("long")))
+    frequency = once.groupBy("term").agg(F.sum("n").alias("n_term")).join(wanted, "term")
+    total = prints.count()
     ic = -F.log2(F.col("n_entity") / F.lit(max(total, 1)))
     pmi = F.log2(F.col("n_joint") * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.col("n_term")))
     told = joint.join(frequency, "term").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("disclosure") >= GENERALISE)

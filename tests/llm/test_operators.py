@@ -135,6 +135,22 @@ def test_pii_reveals_terms_wherever_they_stand(spark):
     assert not any("zanzibar" in t or "timbuktu" in t for t in clean)
 
 
+def test_pii_copies_change_no_evidence(spark):
+    random.seed(6)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(6))
+    rows = [" ".join([*(word() for _ in range(30)), "Zanzibar", "ann@corp.example", *(word() for _ in range(30))]) for _ in range(10)]
+    rows += [" ".join([*(word() for _ in range(30)), *["Timbuktu"] * (i < 8)]) for i in range(100)]
+    rows += [" ".join([*(word() for _ in range(30)), "Timbuktu", "bob@corp.example"]) for _ in range(5)]
+    copies = [rows[0]] * 150 + [rows[-1]] * 150 + [rows[50]] * 100
+
+    def added(texts):
+        got = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        return {r.doc_id: [(s.kind, s.value) for s in r.found if s.kind in ("general", "removed")] for r in got if r.doc_id < len(rows)}
+
+    alone = added(rows)
+    assert added(rows + copies) == alone and all(alone[i] == [("removed", "zanzibar")] for i in range(10)) and not any(alone[i] for i in range(10, len(rows)))
+
+
 def _sets(texts, width):
     out = {}
     for i, t in texts.items():
