@@ -43,7 +43,7 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse n-gram counts: text, column, count, by text and column."""
+    """Sparse n-gram counts: text, column, count, by text and column; no gram reaches into the next text."""
     code, doc = _codes(texts)
     rows, columns, values = [], [], []
     k = np.uint64(0x9E3779B97F4A7C15)
@@ -59,7 +59,11 @@ def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for g in range(len(edges) - 1):
         a, b = edges[g], edges[g + 1]
         base = g * TOGETHER
-        own = np.concatenate([(doc[a : min(b, len(x))] - base) * DIMENSIONS + x[a:b] for x in keys])
+        own = []
+        for n, x in enumerate(keys):  # n characters after the first
+            first, last = doc[a : min(b, len(x))], doc[a + n : min(b, len(x)) + n]
+            own.append(((first - base) * DIMENSIONS + x[a:b])[first == last])
+        own = np.concatenate(own)
         c = np.bincount(own)
         there = np.flatnonzero(c)
         rows.append(there // DIMENSIONS + base)

@@ -366,3 +366,16 @@ def test_hashes_of_texts_stand_alone():
     together = shingle_sets(pa.array(some), 4)
     assert [len(s) for s in together] == [2, 0, 1, 2] and (together[0] == together[3]).all()
     assert all((shingle_sets(pa.array([t]), 4)[0] == s).all() for t, s in zip(some, together, strict=True))
+
+
+def test_language_id_grams_stay_in_their_text():
+    some = ["ab", "xy", "", "a", "uv \U0001f642", "xy"] * 60
+    row, column, count = language_id.counts(some)
+    for i, t in enumerate(some):
+        alone = language_id.counts([t])
+        assert (column[row == i] == alone[1]).all() and (count[row == i] == alone[2]).all()
+    rng = np.random.default_rng(0)
+    model = language_id.Model(["de", "en"], np.ones(language_id.DIMENSIONS), rng.normal(size=(language_id.DIMENSIONS, 2)), 1.0)
+    names, score = model.predict(some)
+    one = [model.predict([t]) for t in some]
+    assert names == [n[0] for n, _ in one] and (score == [s[0] for _, s in one]).all()
