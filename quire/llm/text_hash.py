@@ -82,10 +82,11 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     count = np.bincount(doc, minlength=n)
     k = np.uint64(0xFF51AFD7ED558CCD)
     for j in range(width):  # fewer words than the width: those that are there
+        m = max(0, len(word) - j)
         there = np.zeros(len(word), bool)
-        there[: len(word) - j] = doc[: len(word) - j] == doc[j:]
+        there[:m] = doc[:m] == doc[j : j + m]
         nxt = np.zeros(len(word), np.uint64)
-        nxt[: len(word) - j] = word[j:]
+        nxt[:m] = word[j : j + m]
         out = np.where(there, out * k + nxt, out)
     out = mix(out)
     first = np.concatenate([[0], np.cumsum(count)])

@@ -379,3 +379,13 @@ def test_language_id_grams_stay_in_their_text():
     names, score = model.predict(some)
     one = [model.predict([t]) for t in some]
     assert names == [n[0] for n, _ in one] and (score == [s[0] for _, s in one]).all()
+
+
+@pytest.mark.parametrize("width", [4, 5])
+def test_shingles_of_short_texts_alone(width):
+    from quire.llm.text_hash import shingle_sets
+
+    some = [" ".join("abcdef"[:n]) for n in range(width + 1)]
+    together = shingle_sets(pa.array(some), width)
+    assert [len(s) for s in together] == [0, *[1] * width]
+    assert all((shingle_sets(pa.array([t]), width)[0] == s).all() for t, s in zip(some, together, strict=True))
