@@ -69,27 +69,36 @@ def entropy_spans(run: str, chars: frozenset[str], window: int, bits: float) ->
 
 
 def find(text: str, allow: Sequence[re.Pattern]) -> list[tuple[str, int, int]]:
-    """``(kind, start, end)`` in code points: the fixed forms, then entropy spans that touch none of them."""
+    """``(kind, start, end)`` in code points: the fixed forms, then entropy spans of what they leave of each run."""
     base = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[1]) >= 6]
     if "AKIA" in text:
         base += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     base += [("hex", *m.span()) for m in _HEX.finditer(text)]
     more: list[tuple[str, int, int]] = []
+    taken = sorted((s, e) for _, s, e in base)
     for m in _CANDIDATE.finditer(text):
-        run = m[0]
-        if any(a.fullmatch(run) for a in allow):
-            continue
-        spans: list[tuple[int, int]] = []
-        for _, chars, window, bits in CLASSES:
-            spans += entropy_spans(run, chars, window, bits)
-        joined: list[list[int]] = []
-        for a, b in sorted(spans):
-            if joined and a <= joined[-1][1]:
-                joined[-1][1] = max(joined[-1][1], b)
-            else:
-                joined.append([a, b])
-        at = m.start()
-        more += [("entropy", at + a, at + b) for a, b in joined if any(c.isdigit() for c in run[a:b]) and not any(s < at + b and at + a < e for _, s, e in base)]
+        at, pieces = m.start(), []
+        for s, e in taken:
+            if s >= m.end():
+                break
+            if e > at:
+                pieces.append((at, s))
+                at = e
+        pieces.append((at, m.end()))
+        for at, end in pieces:
+            run = text[at:end]
+            if len(run) < SHORTEST or any(a.fullmatch(x) for a in allow for x in {run, run.strip("+/_=-") if len(pieces) > 1 else run}):
+                continue
+            spans: list[tuple[int, int]] = []
+            for _, chars, window, bits in CLASSES:
+                spans += entropy_spans(run, chars, window, bits)
+            joined: list[list[int]] = []
+            for a, b in sorted(spans):
+                if joined and a <= joined[-1][1]:
+                    joined[-1][1] = max(joined[-1][1], b)
+                else:
+                    joined.append([a, b])
+            more += [("entropy", at + a, at + b) for a, b in joined if any(c.isdigit() for c in run[a:b])]
     return base + more
 
 

@@ -389,3 +389,14 @@ def test_shingles_of_short_texts_alone(width):
     together = shingle_sets(pa.array(some), width)
     assert [len(s) for s in together] == [0, *[1] * width]
     assert all((shingle_sets(pa.array([t]), width)[0] == s).all() for t, s in zip(some, together, strict=True))
+
+
+def test_entropy_is_kept_beside_fixed_forms():
+    allow = [re.compile(a) for a in secret_scan.ALLOW]
+    key, other = "Zx9kQ2mT7vB4nL8pR1sW6yC3", "deadbeef01" * 4
+    assert ("entropy", 0, 25) in secret_scan.find(key + "/token=hunter22", allow)
+    for t, at in ((key + "-" + other, 0), (other + "-" + key, 41), (other + "-" + key + "-" + other, 41)):
+        found = secret_scan.find(t, allow)
+        assert any(k == "entropy" and a <= at and b >= at + 24 for k, a, b in found), t
+        base = [(a, b) for k, a, b in found if k != "entropy"]
+        assert base and not any(a < e and s < b for k, a, b in found if k == "entropy" for s, e in base)
