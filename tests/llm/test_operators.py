@@ -400,3 +400,56 @@ def test_entropy_is_kept_beside_fixed_forms():
         assert any(k == "entropy" and a <= at and b >= at + 24 for k, a, b in found), t
         base = [(a, b) for k, a, b in found if k != "entropy"]
         assert base and not any(a < e and s < b for k, a, b in found if k == "entropy" for s, e in base)
+
+
+def test_ngram_join_large_group_of_near_copies(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(1500):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 5, 6])):
+            own[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        texts[i] = " ".join(own)
+    pairs = []
+    linked = ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", lambda p, *a: pairs.append(p.count()) or linked(p, *a))
+    got = {r.doc_id: r.component_id for r in ngram_join.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 4, 85, 100).collect()}
+    vocabulary = {}
+    sets = {i: np.array(sorted(vocabulary.setdefault(s, len(vocabulary)) for s in x)) for i, x in _sets(texts, 4).items()}
+    parent = list(range(1500))
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    held = collections.defaultdict(list)
+    for i, x in sets.items():
+        for t in x.tolist():
+            held[t].append(i)
+    both = np.zeros((1500, 1500), int)
+    for own in held.values():
+        both[np.ix_(own, own)] += 1
+    size = np.diag(both)
+    for i, j in zip(*np.nonzero(100 * both >= 85 * (size[:, None] + size[None] - both)), strict=True):
+        a, b = root(int(i)), root(int(j))
+        parent[max(a, b)] = min(a, b)
+    assert got == {i: root(i) for i in range(1500)}
+    assert sum(pairs) < 10 * 1500, pairs
+
+
+def test_prefix_bound_loses_no_pair():
+    rng = np.random.default_rng(2)
+    for _ in range(3000):
+        num = int(rng.choice([50, 80, 85, 95]))
+        x = rng.permutation(400)[: rng.integers(1, 120)]
+        y = np.union1d(rng.permutation(x)[: rng.integers(0, len(x) + 1)], rng.integers(0, 400, rng.integers(0, 12)))
+        x = np.sort(x)
+        both = len(np.intersect1d(x, y))
+        if len(y) and 100 * both >= num * (len(x) + len(y) - both):
+            n, m = len(x), len(y)
+            p, q = (int(ngram_join._sizes(k, num, 100)[0]) for k in (n, m))
+            behind = [max(0, (num * k + 99) // 100 - 1 - k // 20) for k in (n, m)]
+            assert behind == [n - p, m - q]
+            assert len(np.intersect1d(x[:p], y[:q])) >= (num * (n + m) + num + 99) // (num + 100) - max(behind) >= 1
