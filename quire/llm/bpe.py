@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quire.llm.common import id_text, slices
+from quire.llm.common import id_text, releasing, slices
 from quire.llm.token_cache import _WORD, CachedEncoder
 
 #: Pieces of more bytes have a tree of their own.
@@ -214,5 +214,6 @@ def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
                 if keep_ids:
                     columns, names = [*columns, pa.array(got, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        encode.clear()
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return id_text(docs, id_col, text_col).mapInArrow(releasing(run), schema)

@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that a Python worker holds as strings at once, besides one row that may be longer.
 SLICE_CHARS = 4_000_000
 
+#: Bits of the map of ``bit_map``.
+MAP_BITS = 1 << 22
+
 _made: dict[str, SparkSession] = {}
 
 
@@ -73,6 +79,42 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def bit_map(df: DataFrame, value: Column | str, bits: int = MAP_BITS) -> Callable[[Column], Column]:
+    """Whether a value may be one of ``value`` in ``df``: a map of hashed values whose size is fixed. When full it only lets more through."""
+
+    def spot(v: Column | str) -> Column:
+        return F.pmod(F.xxhash64(v), F.lit(bits)).cast("int")
+
+    words = df.select(spot(value).alias("spot")).groupBy((F.col("spot") / 64).cast("int").alias("w"))
+    held = np.zeros(bits // 64, np.int64)
+    table = words.agg(F.expr("bit_or(shiftleft(1L, spot % 64))").alias("b")).toArrow()  # bits / 64 rows at most
+    held[table["w"].to_numpy()] = table["b"].to_numpy()
+    spotted = F.split(F.lit(",".join(map(str, held.tolist()))), ",").cast("array<bigint>")  # folded once; a list of literals would take the driver long
+
+    def may_be(v: Column) -> Column:
+        at = spot(v)
+        return F.getbit(F.get(spotted, (at / 64).cast("int")), at % 64) == 1
+
+    return may_be
+
+
+def releasing(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """``run`` for a map over batches; at the end of a task its Python worker, which outlives it, hands freed memory back to the system."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """``name``, with underscores before it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import id_text, slices
+from quire.llm.common import id_text, releasing, slices
 from quire.llm.labelled import held_out, sample
 
 #: Rows of the labelled sample at most.
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, label_col: str = "lang", bound: int = SAMPLE, id_col: s
         there = np.append(np.flatnonzero(df), -1)  # -1: the number of documents
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.append(df[there[:-1]], rows))], ["column", "n"])
 
-    seen = known.select("text").mapInArrow(run, "column long, n long").groupBy("column").agg(F.sum("n").alias("n")).collect()  # DIMENSIONS rows at most
+    seen = known.select("text").mapInArrow(releasing(run), "column long, n long").groupBy("column").agg(F.sum("n").alias("n")).collect()  # DIMENSIONS rows at most
     total, df = 0, np.zeros(DIMENSIONS)
     for column, n in seen:
         if column < 0:
@@ -192,18 +192,30 @@ def identify(docs: DataFrame, label_col: str = "lang", bound: int = SAMPLE, id_c
 
     rows = id_text(docs, id_col, text_col)
     rows = rows.select("doc_id", "text", held_out(rows["doc_id"]).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(releasing(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, least: float = 0.3, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is told with a probability of ``least`` or more; one map that hands the rows through."""
-    model = fit(docs, label_col, SAMPLE, id_col, text_col)
-    at = docs.columns.index(text_col)
+    """The rows of ``docs``, all columns, whose language is told with a probability of ``least`` or more. Only texts go through Python.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text_col, 1_000_000):
-                names, score = model.predict(part.column(at).to_pylist())
-                yield part.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, score, strict=True)], pa.bool_()))
+    A text that is null or has no letter goes. If no row has a label there is no model to reject by, so all texts with a letter stay. Repeated
+    rows are told alike. An empty table gives no rows.
+    """
+    model = fit(docs, label_col, SAMPLE, id_col, text_col)
 
-    return docs.mapInArrow(run, docs.schema)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            told = []
+            for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), chars=1_000_000):
+                own = part.column(0).to_pylist()
+                if model.languages:
+                    names, score = model.predict(own)
+                    told += [n != UNDETERMINED and s >= least for n, s in zip(names, score.tolist(), strict=True)]
+                else:
+                    told += [t is not None and bool(_LETTER.search(t)) for t in own]
+            yield pa.array(told, pa.bool_())
+
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from releasing(run)(batches)
+
+    return docs.filter(F.arrow_udf(told, "boolean")(F.col(text_col)))

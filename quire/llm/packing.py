@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import id_text, keep, slices
+from quire.llm.common import id_text, keep, releasing, slices
 from quire.llm.token_cache import library_encoder
 
 #: Pieces that one window over (chunk, length) may hold, about.
@@ -141,8 +141,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
                         out.append((uid, doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
                         start, k, uid = start + length, k + 1, uid + 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _KINDS, strict=True)], _NAMES)
+        encode.clear()
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    return id_text(docs, id_col, text_col).mapInArrow(releasing(run), "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 _NAMES = ["uid", "doc_id", "piece", "start", "length", "ids_crc32"]

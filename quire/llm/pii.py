@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import keep
+from quire.llm.common import bit_map, fresh, keep
 
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -39,8 +39,6 @@ GENERALISE, REMOVE = 0.8, 0.95
 _TERM = r"\p{L}{4,}"
 #: Bits of the map of terms whose document frequency is wanted; a full map only lets more words through to the count.
 MAP_BITS = 1 << 19
-#: Rows of term spans up to which they may be broadcast when texts are rewritten.
-BROADCAST_ROWS = 50_000
 
 
 def spans(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
@@ -104,25 +102,6 @@ def _words(text: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), lambda t: F.lower(t))
 
 
-def _spot(term: Column | str) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(MAP_BITS)).cast("int")
-
-
-def _map(values: DataFrame, column: str) -> Callable[[Column], Column]:
-    """Whether a value may be one of ``values``, by a map of ``MAP_BITS`` bits."""
-    spots = values.select(_spot(column).alias("spot")).groupBy((F.col("spot") / 64).cast("int").alias("w"))
-    held = [0] * (MAP_BITS // 64)
-    for w, b in spots.agg(F.expr("bit_or(shiftleft(1L, spot % 64))").alias("b")).collect():  # MAP_BITS / 64 rows at most
-        held[w] = b
-    spotted = F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>")  # folded once; a list of literals would take the driver long
-
-    def may_be(value: Column) -> Column:
-        spot = _spot(value)
-        return F.getbit(F.get(spotted, (spot / 64).cast("int")), spot % 64) == 1
-
-    return may_be
-
-
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Base spans ``uid, doc_id, base`` of every row, and the terms' spans ``uid, doc_id, start, order, end, kind, value`` that the method adds.
 
@@ -157,11 +136,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     # document frequencies of the terms over the whole corpus: a map of fixed size thins the words before they are counted, then a join decides
     # (an inner one, which the optimiser leaves above the count)
     wanted = joint.select("term").distinct()
-    may_be = _map(wanted, "term")
+    may_be = bit_map(wanted, "term", MAP_BITS)
     bare = source.select("doc_id", uid, shingle.alias("print"), F.explode(F.array(blanked(F.col("text"), base_spans(F.col("text"))))).alias("text"))
     # only prints that may be shared are counted apart, so that the words of all other documents are summed before they move
     prints = keep(rows.groupBy("print").agg(F.count("*").alias("n_rows")), "pii-prints")
-    shared = _map(prints.filter("n_rows > 1"), "print")
+    shared = bit_map(prints.filter("n_rows > 1"), "print", MAP_BITS)
     every = bare.select(F.when(shared(F.col("print")), F.col("print")).alias("copy"), F.explode(F.array_distinct(F.filter(_words("text"), may_be))).alias("term"))
     once = every.groupBy("term", "copy").agg(F.count("*").alias("n")).withColumn("n", F.when(F.col("copy").isNull(), F.col("n")).otherwise(F.lit(1).cast("long")))
     frequency = once.groupBy("term").agg(F.sum("n").alias("n_term")).join(wanted, "term")
@@ -173,7 +152,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     told = keep(told.groupBy(F.col("term").alias("value")).agg(kind.alias("kind")), "pii-told")
 
     # every occurrence of these terms, in all documents
-    there = _map(told, "value")
+    there = bit_map(told, "value", MAP_BITS)
     places = bare.select("doc_id", "uid", F.explode(spans(F.col("text"), _TERM, lambda t: there(F.lower(t)))).alias("t"))
     places = places.select("doc_id", "uid", "t.start", "t.end", F.lower("t.value").alias("value")).distinct()
     added = places.join(told, "value").select("uid", "doc_id", "start", F.when(F.col("kind") == "general", 4).otherwise(5).alias("order"), "end", "kind", "value")
@@ -212,14 +191,14 @@ def rewritten(text: Column, found: Column) -> Column:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all rows and columns, with personal data and revealing terms replaced in the text (null stays null).
 
-    Terms' spans are met by id: broadcast where they are counted to be few, by a shuffle otherwise. Rows that share an id must share their text.
+    Terms' spans are met by id and a hash of the text; the planner broadcasts them where their files are small.
     """
     _, added = find(docs, id_col, text_col)
-    more = added.groupBy("doc_id").agg(F.collect_set(F.struct("start", "order", "end", "kind", "value")).alias("__more")).withColumnRenamed("doc_id", "__id")
-    if added.count() <= BROADCAST_ROWS:
-        more = F.broadcast(more)
+    of, of_id, more_, found_ = (fresh(x, docs) for x in ("span_text", "span_id", "more_spans", "found_spans"))
+    more = added.groupBy(F.col("uid").alias(of), F.col("doc_id").alias(of_id)).agg(F.collect_list(F.struct("start", "order", "end", "kind", "value")).alias(more_))
     none = F.expr("cast(array() as array<struct<start: int, order: int, end: int, kind: string, value: string>>)")
-    rows = docs.join(more, F.col(id_col).cast("long") == F.col("__id"), "left")
-    found = F.array_sort(F.concat(base_spans(F.col(text_col)), F.coalesce("__more", none)))
-    rows = rows.select("*", F.explode(F.array(F.when(F.col(text_col).isNotNull(), found))).alias("__found"))  # evaluated once
-    return rows.withColumn(text_col, F.when(F.col(text_col).isNotNull(), rewritten(F.col(text_col), F.col("__found")))).select(*docs.columns)
+    text = F.col(text_col)
+    rows = docs.join(more, (F.xxhash64(text) == F.col(of)) & F.col(id_col).cast("long").eqNullSafe(F.col(of_id)), "left")
+    found = F.array_sort(F.concat(base_spans(text), F.coalesce(F.col(more_), none)))
+    rows = rows.select("*", F.explode(F.array(F.when(text.isNotNull(), found))).alias(found_))  # evaluated once
+    return rows.withColumn(text_col, F.when(text.isNotNull(), rewritten(text, F.col(found_)))).select(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import id_text, keep, new_path, slices
+from quire.llm.common import id_text, keep, new_path, releasing, slices
 from quire.llm.token_cache import library_encoder
 
 MAGIC = b"QRANS001"
@@ -191,6 +191,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
                     total += len(got) // 4 + 1
                     if total >= SEGMENT:
                         flush()
+        encode.clear()
         if held:
             flush()
         if out is not None:
@@ -198,7 +199,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
             store.move(draft, final)
             yield pa.RecordBatch.from_pandas(pd.DataFrame(made, columns=[x.split()[0] for x in schema.split(", ")]), schema=_ARROW)
 
-    manifest = keep(rows.mapInArrow(run, schema), "rans-manifest")
+    manifest = keep(rows.mapInArrow(releasing(run), schema), "rans-manifest")
     files = manifest.groupBy("part").agg(F.sum("n_tokens").alias("__n"))
     # one narrow row a file: the only window over all of them
     base = files.select("part", (F.sum("__n").over(Window.orderBy("part")) - F.col("__n")).alias("__base"))

@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quire.llm.common import id_text, slices
+from quire.llm.common import id_text, releasing, slices
 
 _ASSIGN = re.compile(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -129,4 +129,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow:
                 )
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string, found array<struct<kind: string, start: long, end: long, value: string>>"
-    return id_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return id_text(docs, id_col, text_col).mapInArrow(releasing(run), schema)

@@ -24,8 +24,8 @@ _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word of Latin letters, on which all versions of Unicode agree, perhaps after a line end, and marks behind it.
 _WORD = re.compile("(\n?)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-/:-@\\[-`{-~]*)")
-#: Parts in each of two generations of the cache. Memory stays bounded; results don't depend on it.
-LIMIT = 700_000
+#: Parts in each of two generations of the cache, which a task clears at its end. Memory stays bounded; results don't depend on it.
+LIMIT = 350_000
 #: Parts longer than this are encoded each time.
 LONGEST = 64
 
@@ -41,12 +41,18 @@ class CachedEncoder:
     """Encodes texts to little-endian uint32 bytes.
 
     ``one`` gives such bytes for a string, ``many`` for each of many parts as ``parts`` gives them; it may use, and add to, those known already.
+    Without it every text is encoded as a whole.
     """
 
-    def __init__(self, one: Callable[[str], bytes], many: Callable[[set[str], dict[str, bytes]], dict[str, bytes]]):
+    def __init__(self, one: Callable[[str], bytes], many: Callable[[set[str], dict[str, bytes]], dict[str, bytes]] | None):
         self.one, self.many, self.new, self.old = one, many, {}, {}
 
+    def clear(self) -> None:
+        self.new, self.old = {}, {}
+
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if self.many is None:
+            return [self.one(t) for t in texts]
         cut = [parts(t) for t in texts]
         wanted: set[str] = set()
         for p in cut:
@@ -77,8 +83,9 @@ def byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> CachedEncoder:
-    """By the tokenizers library, from its JSON file; special tokens' strings in a text are ordinary text.
+def library_encoder(path: str, special_as_text: bool = False) -> CachedEncoder:
+    """By the tokenizers library, from its JSON file. As by its default, a special token's string in a text gives that token's id, unless
+    ``special_as_text``: then it is ordinary text.
 
     Where the file's pre-tokeniser is the plain byte-level one, words of Latin letters, which are one match with the space
     before them, go to the library in batches, one to a line; all else goes through it as it is.
@@ -87,7 +94,7 @@ def library_encoder(path: str) -> CachedEncoder:
     from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = special_as_text
     made = json.loads(tokenizer.to_str())
     pre, letters = made.get("pre_tokenizer") or {}, byte_letters()
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not made.get("normalizer")
@@ -95,10 +102,13 @@ def library_encoder(path: str) -> CachedEncoder:
     def one(text: str) -> bytes:
         return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
 
+    added = [] if special_as_text else made.get("added_tokens", [])
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].isalpha() or not t["content"].isprintable() or " " in t["content"] for t in added):
+        return CachedEncoder(one, None)  # one might reach across parts, or be a word
     if not plain:
         return CachedEncoder(one, lambda words, known: {x: one(x if x[:1] == "\n" else " " + x) for x in words})
     by_line = Tokenizer.from_file(path)
-    by_line.encode_special_tokens = True
+    by_line.encode_special_tokens = True  # what goes there has letters only
     by_line.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
     table = "".join("\n" if b == 10 else letters[b] for b in range(256))
     first = np.zeros(max(made["model"]["vocab"].values()) + 1, bool)

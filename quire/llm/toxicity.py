@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quire.llm.common import id_text, slices
+from quire.llm.common import id_text, releasing, slices
 from quire.llm.labelled import held_out, sample
 from quire.llm.text_hash import LOWER, flat, run_hashes, runs
 
@@ -258,4 +258,4 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
 
     rows = id_text(docs, id_col, text_col)
     rows = rows.select("doc_id", "text", held_out(rows["doc_id"]).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(releasing(run), "doc_id long, held_out boolean, score double, predicted int")
