@@ -1,24 +1,28 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one a shard.
 
-A shard holds about ``SHARD`` vectors, chosen by a hash of the id. In it, equal vectors are one node. Nodes are inserted in batches: a
-greedy beam search proposes neighbours; relaxed pruning (a candidate goes if a chosen neighbour is ``ALPHA`` times nearer to it than the
-node is) keeps edges in diverse directions, at most ``DEGREE``; reverse edges are added and pruned alike. Indexes are
-written to the shared folder. Queries search every shard with a beam of ``BEAM``; exact distances order what is found.
+A shard holds about ``SHARD`` vectors of one length, chosen by a hash of the id. In it, equal vectors are one node. Nodes are inserted in
+batches: a greedy beam search proposes neighbours; relaxed pruning (a candidate goes if a chosen neighbour is ``ALPHA`` times nearer to it than
+the node is) keeps edges in diverse directions, at most ``DEGREE``; reverse edges are added and pruned alike.
+
+Shards, and blocks of queries, are files in the shared folder. A search task is a row with their names: it reads ``TOGETHER`` shards,
+searches them with a beam of ``BEAM`` for one block of queries after another, and yields the best of all of them, ordered by exact
+distances. So no vector is copied through a shuffle, and results move as ``k`` narrow rows a query and task.
 """
 
 from __future__ import annotations
 
-import pickle
+import io
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import keep
+from quire.llm.common import keep, new_path, store
 
-#: Vectors of a shard, and queries of a block, about.
-SHARD, BLOCK = 3_000, 2_000
+#: Vectors of a shard, and queries of a block, about; shards of a search task.
+SHARD, BLOCK, TOGETHER = 16_000, 1_000, 4
 DEGREE, ALPHA, BUILD_BEAM, BEAM = 24, 1.2, 40, 192
 #: Places for edges to nodes that pruning has left without a way to them.
 RESCUE = 4
@@ -142,70 +146,159 @@ def _reverse(x: np.ndarray, graph: np.ndarray, nodes: np.ndarray, alpha: float)
     to, back = to[order], back[order]
     ends, first, count = np.unique(to, return_index=True, return_counts=True)
     place = np.arange(len(to)) - np.repeat(first, count)
-    few = place < 2 * DEGREE
-    new = np.full((len(ends), min(int(count.max()) if len(count) else 0, 2 * DEGREE)), -1)
-    new[np.repeat(np.arange(len(ends)), count)[few], place[few]] = back[few]
+    new = np.full((len(ends), int(count.max()) if len(count) else 0), -1)
+    new[np.repeat(np.arange(len(ends)), count), place] = back
     for a in range(0, len(ends), 512):
-        own = ends[a : a + 512]
-        graph[own] = robust_prune(x, own, np.concatenate([graph[own], new[a : a + 512]], 1), DEGREE, alpha)
+        own, wide = ends[a : a + 512], int(count[a : a + 512].max())
+        graph[own] = robust_prune(x, own, np.concatenate([graph[own], new[a : a + 512, :wide]], 1), DEGREE, alpha)
+
+
+def _scale(x: np.ndarray) -> float:
+    """What vectors are divided by so that single precision suits the usual ones."""
+    usual = float(np.median(np.abs(x).max(1)))
+    return 1.0 if 1e-10 < usual < 1e10 else usual
+
+
+def _single(x: np.ndarray, scale: float) -> np.ndarray:
+    """In single precision, with components so large that their squares would overflow cut: these only steer the search."""
+    return x if x.dtype == np.float32 and scale == 1.0 else np.clip(x / scale, -1e15, 1e15).astype(np.float32)
+
+
+def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, added up component by component."""
+    total = np.zeros(len(x))
+    with np.errstate(over="ignore"):
+        for j in range(x.shape[1]):
+            total += (x[:, j] - q[j]) ** 2
+        return np.sqrt(total)
 
 
-def _index(frame: pd.DataFrame, k: int) -> bytes:
+def index(ids: np.ndarray, x: np.ndarray, k: int) -> bytes:
     """A shard as bytes: distinct vectors, their graph, its starts, and each vector's smallest ids (more than k of equal ones can't be among the k nearest)."""
-    x = np.stack(frame["embedding"].to_numpy()).astype(np.float32)
-    ids = frame["vec_id"].to_numpy()
     order = np.argsort(ids, kind="stable")
-    x, ids = x[order], ids[order]
-    _, first, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    owner = np.argsort(group, kind="stable")  # by vector, then id
-    begin = np.searchsorted(group[owner], np.arange(len(first) + 1))
-    held = [ids[owner[a : min(b, a + k + 1)]].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)]
-    graph, starts = build(x[first])
-    return pickle.dumps((x[first], graph.astype(np.int32), starts, held))
-
-
-def _search(index: bytes, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
-    x, graph, starts, held = pickle.loads(index)  # noqa: S301 - written by _index
-    rows = []
-    for a in range(0, len(queries), BATCH):
-        q = queries[a : a + BATCH].astype(np.float32)
-        found, _ = beam_search(x, graph, starts, q, max(BEAM, 2 * k))
-        for query_id, vector, nodes in zip(query_ids[a : a + BATCH].tolist(), queries[a : a + BATCH], found, strict=True):
-            nodes = nodes[nodes >= 0]
-            score = np.sqrt(((x[nodes].astype(np.float64) - vector.astype(np.float64)) ** 2).sum(1))
-            best = sorted((s, i) for s, node in zip(score.tolist(), nodes.tolist(), strict=True) for i in held[node] if i != query_id)[:k]
-            rows += [(query_id, i, s) for s, i in best]
-    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    ids, x = ids[order], np.ascontiguousarray(x[order]) + 0.0  # no negative zeros
+    _, first, group = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    group, ids = np.unique(np.stack([group, ids], 1), axis=0).T
+    begin = np.searchsorted(group, np.arange(len(first) + 1))
+    held = np.arange(len(ids)) - begin[group] <= k
+    x, scale = x[first], _scale(x)
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    x = small if (small == x).all() else x
+    graph, starts = build(_single(x, scale))
+    out = io.BytesIO()
+    np.savez(out, x=x, graph=graph.astype(np.int32), starts=starts, ids=ids[held], begin=np.searchsorted(group[held], np.arange(len(first) + 1)), scale=scale)
+    return out.getvalue()
+
+
+class Shard:
+    """A shard that was read back."""
+
+    def __init__(self, data: bytes):
+        with np.load(io.BytesIO(data)) as z:
+            self.x, self.graph, self.starts, self.ids, self.begin, self.scale = (z[n] for n in ("x", "graph", "starts", "ids", "begin", "scale"))
+        self.near = _single(self.x, float(self.scale))
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
+        """For each query (distance, id) of the k nearest found, nearest first, ties to the smaller id."""
+        out = []
+        for a in range(0, len(queries), BATCH):
+            q = _single(queries[a : a + BATCH], float(self.scale))
+            found, _ = beam_search(self.near, self.graph, self.starts, q, max(BEAM, 2 * k))
+            for query_id, vector, nodes in zip(query_ids[a : a + BATCH].tolist(), queries[a : a + BATCH], found, strict=True):
+                nodes = nodes[nodes >= 0]
+                score = exact(self.x[nodes].astype(np.float64), vector)
+                own = [(s, i) for s, n in zip(score.tolist(), nodes.tolist(), strict=True) for i in self.ids[self.begin[n] : self.begin[n + 1]].tolist() if i != query_id]
+                out.append(sorted(own)[:k])
+        return out
+
+
+def _written(path: str, name: str, data: bytes) -> None:
+    """Writes a file that gets its name only when whole; a task that runs again writes the same."""
+    from pyspark import TaskContext
+
+    files, at = store(path)
+    files.create_dir(at, recursive=True)
+    draft = f"{at}/.draft-{TaskContext.get().taskAttemptId()}-{name}"
+    with files.open_output_stream(draft) as f:
+        f.write(data)
+    files.move(draft, f"{at}/{name}")
+
+
+def _there(path: str, name: str) -> bool:
+    files, at = store(path)
+    return files.get_file_info(f"{at}/{name}").is_file
+
+
+def _read(path: str, name: str) -> bytes:
+    files, at = store(path)
+    with files.open_input_stream(f"{at}/{name}") as f:
+        return f.read()
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query the k nearest found by Euclidean distance, ties to the smaller id, itself left out.
 
-    Vectors that are null, empty, zero or not finite take no part, nor do those of another length than most have; so tables without valid
-    vectors give no rows. Of rows that share an id and a vector one is returned. Other columns are not read.
+    Vectors that are null, empty, zero or not finite take no part; without valid ones there are no rows. Vectors of each length are a space of
+    their own. Of rows that share an id and a vector one is returned; of queries that share an id the one with the smallest vector
+    is asked. Other columns are not read.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding")).filter(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
-    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<float>").alias("embedding")).filter(F.col("query_id").isNotNull() & valid(F.col("embedding")))
-    lengths = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d, n = lengths or (0, 0)
-    rows, asked = rows.filter(F.size("embedding") == d), asked.filter(F.size("embedding") == d).dropDuplicates(["query_id"])
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked.count() // BLOCK))
+    spark = vectors.sparkSession
+
+    def wanted(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.col(id_col).cast("long").alias(name), F.col(vector_col).cast("array<double>").alias("embedding"))
+        return rows.filter(F.col(name).isNotNull() & valid(F.col("embedding"))).withColumn("d", F.size("embedding"))
+
+    rows, asked = wanted(vectors, "vec_id"), wanted(queries, "query_id").groupBy("query_id").agg(F.min("embedding").alias("embedding")).withColumn("d", F.size("embedding"))
+    path = new_path(spark, "ann")
+
+    def numbered(df: DataFrame, name: str, size: int) -> tuple[DataFrame, dict[int, int]]:
+        """Rows with ``part`` and how many parts each length has."""
+        parts = {r["d"]: -(-r["n"] // size) for r in df.groupBy("d").agg(F.count("*").alias("n")).collect()}  # a row a length
+        many = F.create_map(*[F.lit(v) for pair in parts.items() for v in pair]) if parts else F.create_map(F.lit(0), F.lit(1))
+        return df.withColumn("part", F.pmod(F.xxhash64(name), many[F.col("d")]).cast("int")), parts
+
+    rows, shards = numbered(rows, "vec_id", shard)
+    asked, blocks = numbered(asked, "query_id", BLOCK)
 
     def build_shard(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "payload": [_index(frame, k)]})
+        d, part = int(frame["d"].iloc[0]), int(frame["part"].iloc[0])
+        _written(path, f"shard-{d}-{part}", index(frame["vec_id"].to_numpy(), np.stack(frame["embedding"].to_numpy()), k))
+        return pd.DataFrame({"d": [d], "part": [part]})
+
+    def write_block(frame: pd.DataFrame) -> pd.DataFrame:
+        d, part = int(frame["d"].iloc[0]), int(frame["part"].iloc[0])
+        out = io.BytesIO()
+        np.savez(out, ids=frame["query_id"].to_numpy(), x=np.stack(frame["embedding"].to_numpy()))
+        _written(path, f"block-{d}-{part}", out.getvalue())
+        return pd.DataFrame({"d": [d], "part": [part]})
+
+    # by range, so that each shard is a task of its own: little data but much work
+    spread = rows.repartitionByRange(max(1, sum(shards.values())), "d", "part")
+    keep(spread.groupBy("d", "part").applyInPandas(build_shard, "d int, part int"), "ann-shards")
+    keep(asked.groupBy("d", "part").applyInPandas(write_block, "d int, part int"), "ann-blocks")
 
-    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    # set numbers of partitions: a group is little data but much work
-    index = keep(sharded.repartition(shards, "shard").groupBy("shard").applyInPandas(build_shard, "shard int, payload binary"), "ann-index")
+    # tasks: some shards, and every g-th block of queries, with enough tasks for all cores
+    tasks = []
+    for d, n in shards.items():
+        groups = [list(range(a, min(a + TOGETHER, n))) for a in range(0, n, TOGETHER)]
+        g = min(blocks.get(d, 0), max(1, -(-2 * spark.sparkContext.defaultParallelism // len(groups))))
+        tasks += [(d, own, j, g) for own in groups for j in range(g)]
+    work = spark.createDataFrame(tasks, "d int, shards array<int>, j int, g int")
 
-    def search(key: tuple, own: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if own.empty or block.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return _search(own["payload"].iloc[0], block["query_id"].to_numpy(), np.stack(block["embedding"].to_numpy()), k)
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for t in frame.itertuples():
+                held = [Shard(_read(path, f"shard-{t.d}-{s}")) for s in t.shards if _there(path, f"shard-{t.d}-{s}")]
+                for b in range(t.j, blocks[t.d], t.g):
+                    if not _there(path, f"block-{t.d}-{b}"):  # no query fell into it
+                        continue
+                    with np.load(io.BytesIO(_read(path, f"block-{t.d}-{b}"))) as z:
+                        ids, x = z["ids"], z["x"]
+                    found = [s.search(ids, x, k) for s in held]
+                    best = [(q, i, score) for q, *own in zip(ids.tolist(), *found, strict=True) for score, i in sorted(set().union(*own))[:k]]
+                    yield pd.DataFrame(best, columns=["query_id", "vec_id", "score"])
 
-    each_block = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "payload")
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).select("query_id", "embedding", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    tasks = shards * blocks
-    met = each_block.repartition(tasks, "shard", "block").groupBy("shard", "block").cogroup(dealt.repartition(tasks, "shard", "block").groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    met = work.repartitionByRange(max(1, len(tasks)), "d", "shards", "j").mapInPandas(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")
-    return met.distinct().select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+    return met.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

@@ -48,6 +48,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def store(path: str):
+    """The file system of a path in the shared folder, and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import id_text, keep, new_path, releasing, slices
+from quire.llm.common import id_text, keep, new_path, releasing, slices, store
 from quire.llm.token_cache import library_encoder
 
 MAGIC = b"QRANS001"
@@ -135,12 +135,6 @@ def decode_segment(data: bytes, blocks: slice = slice(None)) -> tuple[np.ndarray
     return doc_ids, lengths, np.concatenate(runs) if runs else np.zeros(0, "<u4")
 
 
-def _store(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the ids of all texts under ``path`` (a shared folder) in ascending id order; returns the manifest.
 
@@ -161,7 +155,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
         context = TaskContext.get()
         part = context.partitionId()
         encode, end = library_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        store, at = _store(path)
+        files, at = store(path)
         final, draft = f"{at}/part-{part:06d}.rans", f"{at}/.draft-{part:06d}-{context.taskAttemptId()}"
         out, made, offset = None, [], 0
         doc_ids: list[int] = []
@@ -171,8 +165,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
         def flush() -> None:
             nonlocal offset, total, out
             if out is None:
-                store.create_dir(at, recursive=True)
-                out = store.open_output_stream(draft)
+                files.create_dir(at, recursive=True)
+                out = files.open_output_stream(draft)
             lengths = np.array([len(x) // 4 for x in held], "<u4")
             data = encode_segment(np.array(doc_ids, "<i8"), lengths, np.frombuffer(b"".join(held), "<u4"))
             out.write(data)
@@ -196,7 +190,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
             flush()
         if out is not None:
             out.close()
-            store.move(draft, final)
+            files.move(draft, final)
             yield pa.RecordBatch.from_pandas(pd.DataFrame(made, columns=[x.split()[0] for x in schema.split(", ")]), schema=_ARROW)
 
     manifest = keep(rows.mapInArrow(releasing(run), schema), "rans-manifest")
@@ -216,8 +210,8 @@ def read(manifest: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                store, at = _store(row.file)
-                with store.open_input_file(at) as f:
+                files, at = store(row.file)
+                with files.open_input_file(at) as f:
                     f.seek(row.offset)
                     doc_ids, lengths, ids = decode_segment(f.read(row.size))
                 held, end = ids.astype("<u4").tobytes(), np.cumsum(lengths.astype(np.int64))
