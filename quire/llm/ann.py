@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import keep, new_path, store
 
 #: Vectors of a shard, and queries of a block, about; shards of a search task.
-SHARD, BLOCK, TOGETHER = 16_000, 1_000, 4
+SHARD, BLOCK, TOGETHER = 16_000, 256, 4
 DEGREE, ALPHA, BUILD_BEAM, BEAM = 24, 1.2, 40, 192
 #: Places for edges to nodes that pruning has left without a way to them.
 RESCUE = 4
@@ -273,9 +273,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         _written(path, f"block-{d}-{part}", out.getvalue())
         return pd.DataFrame({"d": [d], "part": [part]})
 
-    # by range, so that each shard is a task of its own: little data but much work
-    spread = rows.repartitionByRange(max(1, sum(shards.values())), "d", "part")
-    keep(spread.groupBy("d", "part").applyInPandas(build_shard, "d int, part int"), "ann-shards")
+    # each shard is a task of its own: little data but much work
+    before = np.cumsum([0, *shards.values()]).tolist()
+    offset = F.create_map(*[F.lit(v) for pair in zip(shards or [0], before, strict=False) for v in pair])
+    spread = rows.withColumn("slot", (offset[F.col("d")] + F.col("part")).cast("int")).repartitionById(max(1, before[-1]), F.col("slot"))
+    keep(spread.groupBy("slot", "d", "part").applyInPandas(build_shard, "d int, part int"), "ann-shards")
     keep(asked.groupBy("d", "part").applyInPandas(write_block, "d int, part int"), "ann-blocks")
 
     # tasks: some shards, and every g-th block of queries, with enough tasks for all cores
@@ -284,7 +286,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         groups = [list(range(a, min(a + TOGETHER, n))) for a in range(0, n, TOGETHER)]
         g = min(blocks.get(d, 0), max(1, -(-2 * spark.sparkContext.defaultParallelism // len(groups))))
         tasks += [(d, own, j, g) for own in groups for j in range(g)]
-    work = spark.createDataFrame(tasks, "d int, shards array<int>, j int, g int")
+    work = spark.createDataFrame([(i, *t) for i, t in enumerate(tasks)], "slot int, d int, shards array<int>, j int, g int")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -299,6 +301,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                     best = [(q, i, score) for q, *own in zip(ids.tolist(), *found, strict=True) for score, i in sorted(set().union(*own))[:k]]
                     yield pd.DataFrame(best, columns=["query_id", "vec_id", "score"])
 
-    met = work.repartitionByRange(max(1, len(tasks)), "d", "shards", "j").mapInPandas(search, "query_id long, vec_id long, score double")
+    met = work.repartitionById(max(1, len(tasks)), F.col("slot")).mapInPandas(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")
     return met.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
