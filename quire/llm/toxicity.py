@@ -19,7 +19,7 @@ from quire.llm.labelled import held_out, sample
 from quire.llm.text_hash import LOWER, flat, run_hashes, runs
 
 #: Rows of the labelled sample at most.
-SAMPLE = 9_000
+SAMPLE = 12_000
 #: Insults (fixed values).
 LEXICON = "idiot moron clown pathetic worthless scum loser stupid dumb trash garbage vermin disgusting fool imbecile coward liar pig filth filthy hate hateful shut disgrace ugly useless".split()
 #: Second-person words of the four languages (fixed values).
