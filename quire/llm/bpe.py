@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quire.llm.common import id_text, releasing, slices
-from quire.llm.token_cache import _WORD, CachedEncoder
+from quire.llm.token_cache import _WORD, TEXTS, CachedEncoder
 
 #: Pieces of more bytes have a tree of their own.
 TOGETHER = 128
@@ -206,7 +206,7 @@ def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
         bpe, encode = load(ranks)
         sha = hashlib.sha256
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, chars=TEXTS):
                 got = encode(piece.column(1).to_pylist())
                 back = [bpe.decode(np.frombuffer(x, "<u4")) for x in got]
                 columns = [piece.column(0), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([sha(x).hexdigest() for x in got]), pa.array([sha(x).hexdigest() for x in back])]

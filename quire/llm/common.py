@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Characters that a Python worker holds as strings at once, besides one row that may be longer.
 SLICE_CHARS = 4_000_000
 
+#: Rows of an Arrow batch of texts at most.
+BATCH_ROWS = 2_000
 #: Bits of the map of ``bit_map``.
 MAP_BITS = 1 << 22
 
@@ -81,8 +83,16 @@ def drop_all() -> None:
     drop(*list(_made))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to ``BATCH_ROWS``: texts are long, and a batch stands in the executor and in its Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id and the text (null: empty), under names of their own, whatever else ``docs`` holds."""
+    """Only the id and the text (null: empty), under names of their own, whatever else ``docs`` holds, for maps over Arrow batches."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

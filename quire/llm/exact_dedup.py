@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import drop, keep
+from quire.llm.common import bit_map, drop, fresh, keep
 
 #: Characters of a block.
 BLOCK = 4096
@@ -90,12 +90,21 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
     rows = keep(identities(docs, id_col, text_col, block), "dedup-identities")
     low = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     groups = rows.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max_by("uid", low).alias("keep_uid"))
+    groups = keep(groups, "dedup-groups")  # a plain table: the join can split a large group
     return rows.join(groups, ["n_blocks", "name"]).select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``mark`` keeps."""
-    kept = mark(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256)).withColumn("__id", F.col(id_col).cast("long"))
-    same = rows["__id"].eqNullSafe(kept["__id"]) & (rows["__sha"] == kept["__sha"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
+    """The rows of ``docs``, with all their columns, that ``mark`` keeps; of rows that share text and id, null or not, one of them.
+
+    Rows that go, or are there again, are told by id and text. A map of their ids, of fixed size, spares most other rows the join.
+    """
+    marked = mark(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    key, sha, stays = (fresh(x, docs) for x in ("row_id", "row_sha", "row_stays"))
+    told = keep(marked.filter("n > 1 or not kept").select("doc_id", "text_sha256", F.col("kept").alias(stays)), "dedup-told")
+    may_be = bit_map(told, "doc_id")
+    row_id = F.col(id_col).cast("long")
+    rows = docs.filter(may_be(row_id)).withColumn(key, row_id).withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
+    met = rows.join(told, rows[key].eqNullSafe(told["doc_id"]) & (rows[sha] == told["text_sha256"]), "left").filter(F.coalesce(told[stays], F.lit(True)))
+    once = met.dropDuplicates([key, sha])  # rows that weren't told are there once
+    return docs.filter(~may_be(row_id)).unionByName(once.select(*[rows[c] for c in docs.columns]))

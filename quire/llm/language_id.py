@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import id_text, releasing, slices
+from quire.llm.common import id_text, releasing, slices, small_batches
 from quire.llm.labelled import held_out, sample
 
 #: Rows of the labelled sample at most.
@@ -152,6 +152,7 @@ def train(texts: list[str], languages: list[str], idf: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, label_col: str = "lang", bound: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learns from the rows of ``docs`` that have a label and aren't held out."""
+    small_batches(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
 

@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import drop, id_text, keep, slices
+from quire.llm.common import bit_map, drop, fresh, id_text, keep, releasing, slices
 from quire.llm.components import components
-from quire.llm.text_hash import shingle_sets
+from quire.llm.text_hash import SLICE, shingle_sets
 
 #: Tokens that the order puts last: at most so many, the most frequent.
 FREQUENT = 200_000
@@ -82,17 +82,17 @@ def _frequent(rows: DataFrame, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, pending = [], 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, chars=SLICE):
                 sets = shingle_sets(part.column(1), width)
                 held.append(np.concatenate(sets))
                 pending += len(held[-1])
-                if pending > 4_000_000:
+                if pending > 2_000_000:
                     yield _counted(held)
                     held, pending = [], 0
         if held:
             yield _counted(held)
 
-    seen = rows.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_FROM)
+    seen = rows.mapInArrow(releasing(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_FROM)
     top = seen.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()["token"].to_numpy()
     return np.sort(top.astype(np.int64).view(np.uint64))
 
@@ -112,7 +112,7 @@ def _prefixes(rows: DataFrame, width: int, num: int, den: int, frequent: np.ndar
 
         last = shared.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, chars=SLICE):
                 sets = shingle_sets(part.column(1), width)
                 prints = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
                 prefix, rare = [], []
@@ -131,7 +131,7 @@ def _prefixes(rows: DataFrame, width: int, num: int, den: int, frequent: np.ndar
                     ["doc_id", "n", "rare", "h1", "h2", "prefix"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, n long, rare long, h1 long, h2 long, prefix array<long>")
+    return rows.mapInArrow(releasing(run), "doc_id long, n long, rare long, h1 long, h2 long, prefix array<long>")
 
 
 def _id_map(ids: DataFrame) -> bytes:
@@ -153,13 +153,13 @@ def _whole_sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             spot = batch.column(2).to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array((bits[spot // 32] >> (spot % 32).astype(np.uint32)) & 1 == 1))
-            for part in slices(batch):
+            for part in slices(batch, chars=SLICE):
                 sets = shingle_sets(part.column(1), width)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "tokens"])
 
     spotted = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)).cast("int").alias("spot"))
-    return spotted.mapInArrow(run, "id long, tokens array<long>").join(ids, "id", "left_semi")
+    return spotted.mapInArrow(releasing(run), "id long, tokens array<long>").join(ids, "id", "left_semi")
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -257,6 +257,10 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_c
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs``, all columns, less those that ``classes`` links to a smaller id."""
-    gone = classes(docs, width, num, den, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    """The rows of ``docs``, all columns, less those that ``classes`` links to a smaller id. Rows without an id, or without words, stay, and so do
+    repeated rows of an id that stays. An empty table gives no rows."""
+    gone = classes(docs, width, num, den, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias(fresh("gone_id", docs)))
+    gone = keep(gone, "join-gone")
+    may_be, row_id = bit_map(gone, gone[0]), F.coalesce(F.col(id_col).cast("long"), F.lit(0))
+    # a map of fixed size spares most rows that stay the join
+    return docs.filter(~may_be(row_id)).unionByName(docs.filter(may_be(row_id)).join(gone, F.col(id_col).cast("long") == gone[0], "left_anti"))

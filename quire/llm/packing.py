@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import id_text, keep, releasing, slices
-from quire.llm.token_cache import library_encoder
+from quire.llm.token_cache import TEXTS, library_encoder
 
 #: Pieces that one window over (chunk, length) may hold, about.
 CHUNK = 1 << 16
@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
         encode, end = library_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, chars=TEXTS):
                 out = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
                     ids += end

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import id_text, keep, new_path, releasing, slices, store
-from quire.llm.token_cache import library_encoder
+from quire.llm.token_cache import TEXTS, library_encoder
 
 MAGIC = b"QRANS001"
 #: Ids of a segment, about; a longer document makes a longer one.
@@ -177,7 +177,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
             held.clear()
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, chars=TEXTS):
                 ids = piece.column(0).fill_null(np.iinfo(np.int64).min).to_pylist()
                 for doc_id, got in zip(ids, encode(piece.column(1).to_pylist()), strict=True):
                     doc_ids.append(doc_id)

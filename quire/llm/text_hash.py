@@ -26,13 +26,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes of texts that are hashed together, about; a longer text stands alone.
+SLICE = 1_000_000
+
+
+def _made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE), np.full(n, _BASE_INVERSE)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+@lru_cache(maxsize=1)
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _made_powers(SLICE + 2)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n at least; only a table of the usual size is kept in memory."""
+    return _usual_powers() if n <= SLICE + 2 else _made_powers(n)
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes, and where each text begins (one more: the end). Nulls must have been filled."""
     texts = texts.cast(pa.large_binary())
@@ -62,7 +75,7 @@ def run_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     """A hash of the bytes of each run, wherever it stands."""
     if not len(begin):
         return np.zeros(0, np.uint64)
-    up, down = _powers(1 << max(12, int(len(data)).bit_length()))
+    up, down = _powers(len(data) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * up[: len(data)])])
     return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 

@@ -24,8 +24,10 @@ _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word of Latin letters, on which all versions of Unicode agree, perhaps after a line end, and marks behind it.
 _WORD = re.compile("(\n?)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-/:-@\\[-`{-~]*)")
-#: Parts in each of two generations of the cache, which a task clears at its end. Memory stays bounded; results don't depend on it.
-LIMIT = 350_000
+#: Parts in the cache from which on it is cleared, as it is at the end of a task. Memory stays bounded; results don't depend on it.
+LIMIT = 250_000
+#: Characters of texts that are encoded together, about; a longer text stands alone.
+TEXTS = 4_000_000
 #: Parts longer than this are encoded each time.
 LONGEST = 64
 
@@ -45,10 +47,10 @@ class CachedEncoder:
     """
 
     def __init__(self, one: Callable[[str], bytes], many: Callable[[set[str], dict[str, bytes]], dict[str, bytes]] | None):
-        self.one, self.many, self.new, self.old = one, many, {}, {}
+        self.one, self.many, self.new = one, many, {}
 
     def clear(self) -> None:
-        self.new, self.old = {}, {}
+        self.new = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.many is None:
@@ -58,12 +60,9 @@ class CachedEncoder:
         for p in cut:
             wanted.update(p[1:])
         if len(self.new) > LIMIT:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
+            self.clear()
+        new = self.new
         missing = wanted.difference(new)
-        known = missing.intersection(old)
-        new.update(zip(known, map(old.__getitem__, known), strict=True))
-        missing.difference_update(known)
         new.update(self.many(missing, new))
         get = new.__getitem__
         out = [self.one(p[0]) + b"".join(map(get, p[1:])) for p in cut]
