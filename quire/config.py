@@ -19,12 +19,12 @@ class ImageConfig:
     enabled: bool = True
     remove_borders: bool = True
     crop_margins: bool = True
-    binarization: str = "none"
+    binarization: str = "adaptive_gaussian"
     target_dpi: int = 300
     max_dimension_px: int = 6000
 
     def __post_init__(self) -> None:
-        _check(self.binarization in ("none", "otsu", "sauvola"), "binarization: none, otsu or sauvola")
+        _check(self.binarization in ("none", "otsu", "adaptive_gaussian", "sauvola"), "binarization: none, otsu, adaptive_gaussian or sauvola")
         _check(72 <= self.target_dpi <= 1200, "target_dpi: 72 to 1200")
         _check(self.max_dimension_px >= 1000, "max_dimension_px: 1000 or more")
 

@@ -85,10 +85,31 @@ def html_escape(text: Column) -> Column:
     return text
 
 
-#: Codes of recognition engines and of two letters (fixed values).
-LANGUAGES = {"spa": "es", "eng": "en", "fra": "fr", "deu": "de", "ita": "it", "por": "pt", "cat": "ca", "glg": "gl", "eus": "eu", "nld": "nl", "pol": "pl", "rus": "ru", "lat": "la"}
+# Codes of languages, three letters to those of two kinds of recognition engines (fixed values).
+NAMED_CODES = {
+    "eng": "en", "spa": "es", "fra": "fr", "deu": "german", "ita": "it", "por": "pt", "nld": "nl", "rus": "ru",
+    "chi_sim": "ch", "chi_tra": "chinese_cht", "jpn": "japan", "kor": "korean", "ara": "ar",
+}
+SHORT_CODES = {
+    "eng": "en", "spa": "es", "fra": "fr", "deu": "de", "ita": "it", "por": "pt", "nld": "nl", "rus": "ru",
+    "chi_sim": "ch_sim", "chi_tra": "ch_tra", "jpn": "ja", "kor": "ko", "ara": "ar",
+}
 
 
-def two_letter_code(code: Column, default: str = "en") -> Column:
-    table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, code), F.lit(default))
+def _looked_up(code: Column, table: dict[str, str], default: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), code), F.lit(default))
+
+
+def named_code(codes: Column, default: str = "en") -> Column:
+    """The one code of an engine that takes the first language of a list."""
+    return _looked_up(F.get(codes, F.lit(0)), NAMED_CODES, default)
+
+
+def short_code(code: Column, default: str = "en") -> Column:
+    return _looked_up(code, SHORT_CODES, default)
+
+
+def short_codes(codes: Column, default: str = "en") -> Column:
+    """Distinct codes of a list, in its order; never none."""
+    found = F.array_distinct(F.transform(F.coalesce(codes, F.array().cast("array<string>")), lambda x: short_code(x, default)))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))

@@ -14,18 +14,33 @@ from pyspark.sql import DataFrame
 from quire.config import ImageConfig
 
 
+# Fixed values of the adaptive threshold.
+ADAPTIVE_WINDOW, ADAPTIVE_MARGIN = 31, 15
+
+
 def to_gray(image: np.ndarray) -> np.ndarray:
     """Blue, green, red to grey by the usual weights; grey stays."""
     return image if image.ndim == 2 else np.round(image[..., :3] @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
 
 
+def _shrunk(image: np.ndarray, size: int, axis: int) -> np.ndarray:
+    """Means over ``size`` equal stretches of an axis, parts of pixels by their share."""
+    n = image.shape[axis]
+    total = np.cumsum(image, axis)
+    total = np.concatenate([np.zeros_like(total.take([0], axis)), total], axis)
+    at = np.linspace(0, n, size + 1)
+    whole = np.minimum(at.astype(int), n - 1)
+    share = (at - whole).reshape([-1 if a == axis else 1 for a in range(image.ndim)])
+    return np.diff(total.take(whole, axis) + share * image.take(whole, axis), axis=axis) * (size / n)
+
+
 def cap_dimension(image: np.ndarray, most: int) -> np.ndarray:
-    """Means of equal blocks, so that the longest side has ``most`` pixels at most."""
-    k = -(-max(image.shape[:2]) // most)
-    if k <= 1:
+    """Shrunk by areas, in proportion, so that the longest side has ``most`` pixels at most."""
+    longest = max(image.shape[:2])
+    if longest <= most:
         return image
-    h, w = image.shape[0] // k * k, image.shape[1] // k * k
-    return image[:h, :w].reshape(h // k, k, w // k, k, *image.shape[2:]).mean((1, 3)).round().astype(np.uint8)
+    h, w = (max(1, int(n * (most / longest))) for n in image.shape[:2])
+    return np.clip(_shrunk(_shrunk(image.astype(float), h, 0), w, 1).round(), 0, 255).astype(np.uint8)
 
 
 def otsu(image: np.ndarray) -> int:
@@ -65,8 +80,25 @@ def crop_margins(image: np.ndarray, padding: float = 0.02) -> np.ndarray:
     return image[max(0, rows[0] - y) : rows[-1] + 1 + y, max(0, columns[0] - x) : columns[-1] + 1 + x]
 
 
-def binarize(image: np.ndarray, method: str = "otsu", window: int = 25, k: float = 0.2, r: float = 128.0) -> np.ndarray:
-    """0 where there is ink, else 255. "sauvola": a threshold for each pixel from mean and deviation around it."""
+def blurred(image: np.ndarray, window: int) -> np.ndarray:
+    """Gaussian means around each pixel, edges continued; the deviation follows from the window as is usual for it."""
+    half = window // 2
+    sigma = 0.3 * ((window - 1) * 0.5 - 1) + 0.8
+    weights = np.exp(-((np.arange(window) - half) ** 2) / (2 * sigma**2))
+    weights /= weights.sum()
+    out = image.astype(np.float32)
+    for axis in (0, 1):
+        padded = np.pad(out, [(half, half) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+        n = out.shape[axis]
+        out = sum(np.float32(v) * padded.take(range(i, i + n), axis) for i, v in enumerate(weights))
+    return out
+
+
+def binarize(image: np.ndarray, method: str = "adaptive_gaussian", window: int = 25, k: float = 0.2, r: float = 128.0) -> np.ndarray:
+    """0 where there is ink, else 255. "adaptive_gaussian": ink is darker than the mean around it, by a margin; "sauvola": a threshold for each
+    pixel from mean and deviation around it."""
+    if method == "adaptive_gaussian":
+        return np.where(image > np.round(blurred(image, ADAPTIVE_WINDOW)) - ADAPTIVE_MARGIN, 255, 0).astype(np.uint8)
     if method == "none":
         return image
     if method == "otsu":
@@ -106,15 +138,25 @@ def column_ranges(image: np.ndarray, most: int = 4, gap: float = 0.02, least: fl
     return found if 0 < len(found) <= most else [(0, w)]
 
 
+# Fixed thresholds: ink that a blank row may have, as a share of the width; the least gap and the least significant one, as shares of the
+# height; a significant gap as a multiple of the smallest between lines.
+SPECKS, LEAST_GAP, LEAST_BAND, BAND = 0.001, 0.003, 0.025, 2.5
+
+
 def _gaps(image: np.ndarray) -> list[tuple[int, int]]:
-    return runs(~ink(image).any(1))
+    """Runs of rows with hardly any ink, long enough to be no noise."""
+    h, w = image.shape
+    if not h:
+        return []
+    blank = ink(image).sum(1) <= max(1, int(w * SPECKS))
+    return [(a, b) for a, b in runs(blank) if b - a >= max(1, int(h * LEAST_GAP))]
 
 
 def significant_gap(image: np.ndarray) -> float:
-    """Blank rows that part bands: more than 2.5 times the smallest gap between lines, and 2.5 % of the page."""
+    """Blank rows that part bands: as many times the smallest gap between lines, or that share of the page, whichever is more."""
     h = image.shape[0]
     inner = [b - a for a, b in _gaps(image) if a > 0 and b < h]
-    return max(2.5 * min(inner, default=0), 0.025 * h)
+    return max(BAND * min(inner, default=0), LEAST_BAND * h)
 
 
 def header_cut(image: np.ndarray, zone: float = 0.12) -> int:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from quire.functions.text import LANGUAGES
 
 _LINES = "src AS (SELECT doc_id, CAST(unnest(range(len(x))) AS BIGINT) AS ln, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))"
 
@@ -147,9 +146,13 @@ ORACLES: dict[str, str] = {
         greatest(1024, sum(length(line)) // 2)::BIGINT AS max_tokens FROM batched GROUP BY doc_id, batch_id""",
     "translation_apply": f"""WITH {_LINES} SELECT doc_id, ln AS block_ordinal, CASE WHEN trim(line) <> '' AND ln % 3 <> 2 THEN trim(upper(substr(line, 1, 1)) || ' of block ' || ln) ELSE line END AS text, trim(line) <> '' AND ln % 3 <> 2 AS is_translated FROM src""",
     "language_sample": f"WITH {_LINES} SELECT doc_id, substr(string_agg(line, ' ' ORDER BY ln), 1, 4000) AS sample FROM src WHERE trim(line) <> '' GROUP BY doc_id",
-    "lang_code_lookup": "WITH k AS (SELECT CASE lang WHEN 'en' THEN 'eng' WHEN 'es' THEN 'spa' WHEN 'de' THEN 'deu' ELSE 'xxx' END AS code FROM documents), t(code, two) AS (VALUES "
-    + ", ".join(f"('{a}', '{b}')" for a, b in LANGUAGES.items())
-    + ") SELECT k.code, count(*) AS n, coalesce(t.two, 'en') AS two FROM k LEFT JOIN t USING (code) GROUP BY k.code, t.two",
+    "lang_code_lookup": """WITH c AS (SELECT ['eng', 'spa', 'fra', 'deu', 'ita', 'por', 'nld', 'rus', 'chi_sim', 'chi_tra', 'jpn', 'kor', 'ara', 'xxx'] AS c),
+        t(code, named, short) AS (VALUES ('eng', 'en', 'en'), ('spa', 'es', 'es'), ('fra', 'fr', 'fr'), ('deu', 'german', 'de'), ('ita', 'it', 'it'), ('por', 'pt', 'pt'), ('nld', 'nl', 'nl'),
+            ('rus', 'ru', 'ru'), ('chi_sim', 'ch', 'ch_sim'), ('chi_tra', 'chinese_cht', 'ch_tra'), ('jpn', 'japan', 'ja'), ('kor', 'korean', 'ko'), ('ara', 'ar', 'ar')),
+        k AS (SELECT c[doc_id % 14 + 1] AS code, c[doc_id % 5 + 1] AS other FROM documents, c)
+        SELECT k.code, k.other, count(*) AS n, coalesce(any_value(a.named), 'en') AS named,
+        CASE WHEN coalesce(any_value(a.short), 'en') = any_value(b.short) THEN any_value(b.short) ELSE coalesce(any_value(a.short), 'en') || ',' || any_value(b.short) END AS short
+        FROM k LEFT JOIN t a ON a.code = k.code LEFT JOIN t b ON b.code = k.other GROUP BY k.code, k.other""",
     "quad_boxes": """WITH q AS (SELECT l_orderkey, l_linenumber, l_extendedprice % 1500 AS x, l_quantity * 20 AS y FROM lineitem WHERE (1 - l_discount) * 100 - 50 >= 40.5)
         SELECT l_orderkey, l_linenumber, trunc(x - 0.5)::BIGINT AS l, trunc(y)::BIGINT AS t, trunc((x + 30.5) - (x - 0.5))::BIGINT AS w, trunc((y + 12.5) - y)::BIGINT AS h FROM q""",
     "job_latest_status": f"WITH {_LATEST} SELECT * FROM latest",

@@ -201,8 +201,12 @@ def language_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lang_code_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.concat(F.when(c("lang") == "en", "eng").when(c("lang") == "es", "spa").when(c("lang") == "de", "deu").otherwise("xxx"))
-    return _table(spark, sf_dir, "documents").select(code.alias("code")).groupBy("code").agg(F.count("*").alias("n")).withColumn("two", T.two_letter_code(c("code")))
+    """All codes, and one that isn't known, as lists of two."""
+    known = F.array(*[F.lit(x) for x in (*T.SHORT_CODES, "xxx")])
+    at = lambda n: F.get(known, (c("doc_id") % n).cast("int"))
+    pairs = _docs(spark, sf_dir).groupBy(at(14).alias("code"), at(5).alias("other")).agg(F.count("*").alias("n"))
+    both = F.array("code", "other")
+    return pairs.select("code", "other", "n", T.named_code(both).alias("named"), F.array_join(T.short_codes(both), ",").alias("short"))
 
 
 def quad_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

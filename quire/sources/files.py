@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.errors import EngineNotAvailable
+from quire.errors import EngineNotAvailable, UnsupportedFile
 from quire.functions.text import has_meaningful_text
 
 IMAGES, PDF = ("jpg", "jpeg", "png", "bmp", "tif", "tiff"), ("pdf",)
@@ -22,13 +23,41 @@ def kind(path: Column) -> Column:
 
 
 def stem(path: Column) -> Column:
+    """The file's name without its suffix: what to call an exported file."""
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]+)?$", 1)
 
 
+def frames(content: bytes) -> int:
+    """Frames of a TIFF file: the length of its chain of directories (0: not one)."""
+    order = {b"II*\0": "<", b"MM\0*": ">"}.get(content[:4])
+    if order is None:
+        return 0
+    at, seen = struct.unpack_from(order + "I", content, 4)[0], set()
+    while at and at not in seen and at + 2 <= len(content):
+        seen.add(at)
+        end = at + 2 + 12 * struct.unpack_from(order + "H", content, at)[0]
+        at = struct.unpack_from(order + "I", content, end)[0] if end + 4 <= len(content) else 0
+    return len(seen)
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """One page an image, with its pixels as blue, green, red bytes."""
-    read = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    return read.select(stem(F.col("origin")).alias("doc_id"), F.lit(0).alias("page_index"), F.lit(None).cast("string").alias("embedded_text"), F.col("data").alias("image"), "width", "height")
+    """One page an image, with its pixels as blue, green, red bytes; ``doc_id`` is the path, so files of one name stay apart.
+
+    Spark's decoder reads the first frame only, so a TIFF with more stops the call with an error, as a file that can't be decoded
+    stops the job.
+    """
+
+    def counted(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for b in batches:
+            own = pd.DataFrame({"path": b["path"], "n": [frames(x) for x in b["content"]]})
+            yield own[own["n"] > 1]
+
+    tiff = spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").load(path).select("path", "content")
+    if many := tiff.mapInPandas(counted, "path string, n int").first():
+        raise UnsupportedFile(f"{many['path']} has {many['n']} frames; part it into single images")
+    read = spark.read.format("image").load(path).select("image.*")
+    bad = F.raise_error(F.concat(F.lit("not an image: "), F.col("origin"))).cast("string")
+    return read.select(F.when(F.col("height") < 1, bad).otherwise(F.col("origin")).alias("doc_id"), F.lit(0).alias("page_index"), F.lit(None).cast("string").alias("embedded_text"), F.col("data").alias("image"), "width", "height")
 
 
 def uploads(spark: SparkSession, path: str, max_mb: int = 300) -> DataFrame:
@@ -50,12 +79,12 @@ def pdf_pages(spark: SparkSession, path: str, reader: Callable[[bytes], Iterable
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGE.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
-    return files.select(stem(F.col("path")).alias("doc_id"), "content").mapInPandas(run, PAGE)
+    return files.select(F.col("path").alias("doc_id"), "content").mapInPandas(run, PAGE)
 
 
 def text_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages of text files, parted by form feeds."""
-    files = spark.read.format("binaryFile").load(path).select(stem(F.col("path")).alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
     return files.select("doc_id", F.posexplode(F.split("text", "\f")).alias("page_index", "embedded_text"))
 
 

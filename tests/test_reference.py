@@ -1,14 +1,17 @@
 import io
+import struct
 import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.config import Config, ConfigError
+from quire.config import Config, ConfigError, LayoutConfig
+from quire.errors import UnsupportedFile
 from quire.functions import text as T
 from quire.operators import images, jobs, layout, packages, reconstruct, render, translate
 from quire.plans import books
+from quire.sources import files
 from quire.streaming import ingest
 
 WORD = "doc_id long, page_index long, word_ord long, text string, l long, t long, w long, h long, confidence long, block_num long, par_num long, line_num long, is_bold boolean, is_italic boolean, stroke double"
@@ -136,7 +139,16 @@ def test_images():
     assert images.crop_margins(page).shape[0] < 400 and set(np.unique(images.binarize(page, "sauvola"))) <= {0, 255}
     with pytest.raises(ValueError):
         images.binarize(page, "no")
-    assert images.cap_dimension(page, 100).shape == (100, 75)
+    assert images.cap_dimension(page, 100).shape == (100, 75) and images.cap_dimension(page, 399).shape == (399, 299)
+    ramp = np.arange(0, 240, 2, dtype=np.uint8)[None].repeat(4, 0)
+    assert np.abs(images.cap_dimension(ramp, 80)[0].astype(float) - (np.arange(80) * 3 + 1)).max() <= 1
+    speck = page.copy()
+    speck[60, 150] = 0  # one dark pixel parts no gap
+    assert images._gaps(speck) == images._gaps(page) and images.significant_gap(speck) == images.significant_gap(page)
+    light = np.linspace(60, 255, 300)  # uneven, so that one threshold can't serve
+    shaded = np.where(page == 0, light - 50, light).astype(np.uint8)
+    right = lambda method: ((images.binarize(shaded, method) == 0) == (page == 0)).mean()
+    assert right("adaptive_gaussian") > 0.97 > right("otsu")
 
 
 def test_config():
@@ -153,7 +165,50 @@ def test_stream(spark, tmp_path):
     go()
     (tmp_path / "in/b.txt").write_text("four")
     go()
-    assert sorted((r.doc_id, r.para, r.text) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", 0, "one two"), ("a", 1, "three"), ("b", 0, "four")]
+    got = sorted((r.doc_id.rsplit("/", 1)[1], r.para, r.text) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("a.txt", 0, "one two"), ("a.txt", 1, "three"), ("b.txt", 0, "four")]
+
+
+def _bmp(gray):
+    h, w = gray.shape
+    rows = b"".join(np.repeat(r, 3).tobytes().ljust(-(-3 * w // 4) * 4, b"\0") for r in gray[::-1])
+    return b"BM" + struct.pack("<IHHI", 54 + len(rows), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows
+
+
+def test_files(spark, tmp_path):
+    page = np.full((60, 40), 255, np.uint8)
+    page[20:24, 5:35] = 0
+    for name in ("a", "b"):  # files of one name in two folders are two documents
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "1.bmp").write_bytes(_bmp(page))
+    pages = files.images(spark, f"{tmp_path}/in/*")
+    assert pages.select("doc_id").distinct().count() == 2 and {(r.width, r.height) for r in pages.collect()} == {(40, 60)}
+    made = images.prepare(pages).collect()
+    assert len(made) == 2 and all(len(r.image) == r.width * r.height for r in made)
+    ifd = lambda nxt: struct.pack("<H", 0) + struct.pack("<I", nxt)
+    two = b"II*\0" + struct.pack("<I", 8) + ifd(14) + ifd(0)
+    assert files.frames(two) == 2 and files.frames(_bmp(page)) == 0
+    (tmp_path / "in/a/2.tif").write_bytes(two)
+    with pytest.raises(UnsupportedFile):
+        files.images(spark, f"{tmp_path}/in/*")
+
+
+def test_language_codes(spark):
+    codes = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    row = spark.range(1).select(T.named_code(codes("jpn", "eng")).alias("a"), T.named_code(codes()).alias("b"), T.short_codes(codes("kor", "xxx", "eng")).alias("c"), T.short_codes(codes()).alias("d")).first()
+    assert (row.a, row.b, row.c, row.d) == ("japan", "en", ["ko", "en"], ["en"])
+
+
+def test_removal_flags_and_quotes(spark):
+    head = [(100, 30, "Un encabezado"), (100, 2110, "12")]
+    body = [(100, 500 + 46 * i, "texto normal de una linea bastante larga aqui.") for i in range(6)]
+    w = words(spark, head + body).withColumn("block_num", F.when(F.col("t") < 100, 1).when(F.col("t") > 2000, 3).otherwise(2).cast("long"))
+    kinds = lambda config: sorted(r.type for r in layout.regions(w, config)[0].collect())
+    assert kinds(LayoutConfig()) == ["body_text", "header", "page_number"]
+    assert kinds(LayoutConfig(remove_headers=True, remove_page_numbers=True)) == ["body_text"]
+    assert books.from_words(w).count() >= 1
+    texts = spark.createDataFrame([("d", 0, "uno\n\ndos"), ("d", 1, None), ("d", 2, "tres")], "doc_id string, page_index int, embedded_text string")
+    assert [(r.block_ordinal, r.runs[0].text, r.source_page) for r in books.from_text_layer(texts).orderBy("block_ordinal").collect()] == [(0, "uno", 0), (1, "dos", 0), (2, "tres", 2)]
 
 
 def test_entry_lists_sql_for_its_queries():
