@@ -534,3 +534,63 @@ def test_prefix_bound_loses_no_pair():
             behind = [max(0, (num * k + 99) // 100 - 1 - k // 20) for k in (n, m)]
             assert behind == [n - p, m - q]
             assert len(np.intersect1d(x[:p], y[:q])) >= (num * (n + m) + num + 99) // (num + 100) - max(behind) >= 1
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """``run`` on planted copies, personal data and texts without a language, against each stage done plainly."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    say = {"en": "the of and to in that was with from this", "de": "der und nicht ist ein für auf dem sich über"}
+    texts, langs = {}, {}
+    for i in range(160):
+        lang = ("en", "de")[i % 2]
+        texts[i], langs[i] = " ".join(rng.choice(say[lang].split()) + rng.choice("abcdefgh") for _ in range(rng.randint(30, 400))), lang
+    for i in range(160, 200):
+        texts[i] = texts[i - 160].upper() if i % 2 else texts[i - 160]
+    for i in range(200, 240):
+        words = texts[i - 160].split()
+        words[rng.randrange(len(words))] = "changed"
+        texts[i] = " ".join(words)
+    for i in range(240, 250):
+        own = [rng.choice(say["en"].split()) + rng.choice("abcdefgh") for _ in range(60)]
+        texts[i] = " ".join(own) + f" to me{i}@corp.example or 10.0.0.{i - 200} é"
+    texts |= {250: "", 251: None, 252: "12 34 .. 56"}
+    rows = [(i, t, langs.get(i), "s", len(t or "")) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+
+    left = {i: t for i, t in texts.items() if t and re.search(r"[^\W\d_]", t)}
+    last = {re.sub("[A-Z]", lambda m: m[0].lower(), t): i for i, t in sorted(left.items())}
+    left = {i: left[i] for i in last.values()}
+    sets, parent = _sets(left, 5), {i: i for i in left}
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if j < i and 100 * len(x & y) >= 80 * len(x | y):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    left = {i: t for i, t in left.items() if root(i) == i}
+    assert sum("@" in t for t in left.values()) == 10 and 150 < len(left) < 200
+    t = Tokenizer.from_file(HF)
+    want = {}
+    for i, x in left.items():
+        for s in reversed([s for s in _pii(x).split(",") if s]):
+            kind, a, b = s.split(":")
+            x = x[: int(a)] + f"[{kind.upper()}]" + x[int(b) :]
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        want[i] = [(k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    got, packed = collections.defaultdict(list), collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+        packed[r.sequence_id].append((r.offset, r.length))
+    assert {i: sorted(p) for i, p in got.items()} == want
+    for own in packed.values():
+        assert sum(n for _, n in own) <= 1024 and [a for a, _ in sorted(own)] == np.cumsum([0, *(n for _, n in sorted(own))])[:-1].tolist()
