@@ -15,7 +15,7 @@ from quire.llm.token_cache import tokenizer_path
 
 
 def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letters, or hardly better than a guess) go."""
+    """Documents without a language (null, no letters, or hardly better than a guess) go; without labelled rows, only those without letters."""
     return language_id.accepted(docs)
 
 
@@ -36,7 +36,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece's place in sequences of 1024 ids."""
+    """Every piece's place in sequences of 1024 ids; a null text is its end id alone."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), 1024, 2)
 
 
@@ -48,7 +48,7 @@ STAGES = [
     ("packing", sequences),
 ]
 
-#: Stages of learned models and of a tokeniser library have no SQL; tests hold the rows against a brute-force version.
+#: Stages of learned models and of a tokeniser library have no SQL; a test holds the rows of ``run`` against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
