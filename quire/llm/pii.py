@@ -131,7 +131,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     pairs = pairs.select("print", "term", F.explode("met").alias("m")).select("m.*", "term", "print")
     apart = pairs.groupBy("entity", "n_entity", "term", "print").agg(F.count("*").alias("n"))
     joint = apart.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_joint"))
-    joint = keep(joint.filter(F.col("n_joint") >= SUPPORT), "pii-joint")
+    # a term is at least as frequent as beside personal data of any kind, which bounds what it can tell
+    prints = keep(rows.groupBy("print").agg(F.count("*").alias("n_rows")), "pii-prints")
+    total = float(max(prints.count(), 1))
+    ic = -F.log2(F.col("n_entity") / F.lit(total))
+
+    def disclosure(n_term: Column) -> Column:
+        return F.when(ic > 0, F.log2(F.col("n_joint") * F.lit(total) / (F.col("n_entity") * n_term)) / ic).otherwise(0.0)
+
+    beside = rows.filter("entities is not null").select("print", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
+    joint = joint.filter(F.col("n_joint") >= SUPPORT).join(beside, "term").filter(disclosure(F.col("n_beside")) >= GENERALISE).drop("n_beside")
+    joint = keep(joint, "pii-joint")
 
     # document frequencies of the terms over the whole corpus: a map of fixed size thins the words before they are counted, then a join decides
     # (an inner one, which the optimiser leaves above the count)
@@ -139,15 +149,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     may_be = bit_map(wanted, "term", MAP_BITS)
     bare = source.select("doc_id", uid, shingle.alias("print"), F.explode(F.array(blanked(F.col("text"), base_spans(F.col("text"))))).alias("text"))
     # only prints that may be shared are counted apart, so that the words of all other documents are summed before they move
-    prints = keep(rows.groupBy("print").agg(F.count("*").alias("n_rows")), "pii-prints")
     shared = bit_map(prints.filter("n_rows > 1"), "print", MAP_BITS)
     every = bare.select(F.when(shared(F.col("print")), F.col("print")).alias("copy"), F.explode(F.array_distinct(F.filter(_words("text"), may_be))).alias("term"))
     once = every.groupBy("term", "copy").agg(F.count("*").alias("n")).withColumn("n", F.when(F.col("copy").isNull(), F.col("n")).otherwise(F.lit(1).cast("long")))
     frequency = once.groupBy("term").agg(F.sum("n").alias("n_term")).join(wanted, "term")
-    total = prints.count()
-    ic = -F.log2(F.col("n_entity") / F.lit(max(total, 1)))
-    pmi = F.log2(F.col("n_joint") * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.col("n_term")))
-    told = joint.join(frequency, "term").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("disclosure") >= GENERALISE)
+    told = joint.join(frequency, "term").withColumn("disclosure", disclosure(F.col("n_term"))).filter(F.col("disclosure") >= GENERALISE)
     kind = F.when(F.max("disclosure") >= REMOVE, "removed").otherwise("general")
     told = keep(told.groupBy(F.col("term").alias("value")).agg(kind.alias("kind")), "pii-told")
 
