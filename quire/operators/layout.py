@@ -1,7 +1,8 @@
 """Words to lines, blocks, zones, columns and regions in reading order.
 
-Everything is keyed by (doc_id, page_index), and every order ends with an ordinal. ``doc_id`` leads each key, so a table that is hashed by
-document once needs no further shuffle.
+Everything is keyed by (doc_id, page_index), and every order ends with an ordinal. Words are hashed by page once (``by_page``); lines, blocks,
+columns and regions are aggregates and windows in that partitioning, with no further shuffle and no join back. Lines carry their words and
+blocks their lines as arrays, which a page bounds.
 """
 
 from __future__ import annotations
@@ -28,11 +29,17 @@ def confident(words: DataFrame, least: float = 40.0) -> DataFrame:
     return words.filter((T.strip(c("text")) != "") & (c("confidence") >= least) & (c("confidence") >= 0))
 
 
-def lines(words: DataFrame) -> DataFrame:
-    """A row a line: text in word order, box, mean confidence, place in the page. Blank lines go."""
+def by_page(words: DataFrame) -> DataFrame:
+    """Words hashed by page: the one shuffle that layout needs. No page, and no book, is more than its own pages' work."""
+    return words.repartition(*PAGE)
+
+
+def lines(words: DataFrame, with_words: bool = False) -> DataFrame:
+    """A row a line: text in word order, box, mean confidence, place in the page. Blank lines go. ``with_words`` adds ``words``, an array."""
+    held = [F.collect_list(F.struct("word_ord", "text", "is_bold", "is_italic")).alias("words")] if with_words else []
     made = words.groupBy(*PAGE, "block_num", "par_num", "line_num").agg(
         F.min("word_ord").alias("line_ord"), F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY word_ord)").alias("text"), F.min("l").alias("l"), F.min("t").alias("t"),
-        F.max(c("l") + c("w")).alias("r"), F.max(c("t") + c("h")).alias("b"), F.avg("confidence").alias("confidence"), F.count("*").alias("n_words"),
+        F.max(c("l") + c("w")).alias("r"), F.max(c("t") + c("h")).alias("b"), F.avg("confidence").alias("confidence"), F.count("*").alias("n_words"), *held,
     )
     return made.filter(T.strip(c("text")) != "")
 
@@ -48,10 +55,11 @@ def with_zone(lines: DataFrame, config: LayoutConfig = LayoutConfig(), height: i
 
 
 def blocks(zoned: DataFrame) -> DataFrame:
-    """A row for each (zone, block, paragraph) of a page."""
+    """A row for each (zone, block, paragraph) of a page; lines that carry their words are held in ``lines``."""
+    held = [F.collect_list(F.struct("line_ord", "text", "l", "t", "r", "b", "words")).alias("lines")] if "words" in zoned.columns else []
     return zoned.groupBy(*BLOCK).agg(
         F.min("line_ord").alias("block_ord"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"), F.avg(c("b") - c("t")).alias("line_height"),
-        F.min_by("text", "line_ord").alias("first_text"), F.count("*").alias("n_lines"),
+        F.min_by("text", "line_ord").alias("first_text"), F.count("*").alias("n_lines"), *held,
     )
 
 
@@ -69,19 +77,26 @@ def split_footnotes(blocks: DataFrame, config: LayoutConfig = LayoutConfig(), he
     return with_median.withColumn("zone2", F.when(note, "footnote").otherwise(c("zone"))).drop("__m")
 
 
-def column_ranges(blocks: DataFrame, config: LayoutConfig = LayoutConfig(), width: int = PAGE_WIDTH) -> DataFrame:
-    """``ranges`` of each page: boxes of body blocks merged along x where gaps are small, narrow ones dropped."""
+def with_ranges(blocks: DataFrame, config: LayoutConfig = LayoutConfig(), width: int = PAGE_WIDTH) -> DataFrame:
+    """Adds ``ranges``, the columns of each page: boxes of body blocks merged along x where gaps are small, narrow ones dropped."""
     gap, least = max(1, int(width * MIN_GAP)), max(1, int(width * MIN_COLUMN))
-    boxes = blocks.filter("zone2 = 'body'").select(*PAGE, F.greatest("l", F.lit(0)).alias("l"), F.least("r", F.lit(width)).alias("r"), "block_ord")
-    order = Window.partitionBy(*PAGE).orderBy("l", "r", "block_ord")
-    real = boxes.filter("r > l").withColumn("reach", F.max("r").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    run = real.withColumn("run", F.sum(F.when(c("reach").isNull() | (c("l") - c("reach") >= gap), 1).otherwise(0)).over(order))
-    runs = run.groupBy(*PAGE, "run").agg(F.min("l").alias("l"), F.max("r").alias("r")).filter(c("r") - c("l") >= least)
-    found = runs.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("l", "r"))).alias("ranges"))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("l"), F.lit(width).cast("long").alias("r")))
-    pages = boxes.select(*PAGE).distinct().join(found, list(PAGE), "left")
-    good = F.coalesce(F.size("ranges") <= config.max_columns, F.lit(False)) & F.lit(config.detect_columns)
-    return pages.withColumn("ranges", F.when(good, c("ranges")).otherwise(whole))
+    boxes = blocks.withColumn("__l", F.greatest("l", F.lit(0))).withColumn("__r", F.least("r", F.lit(width)))
+    boxes = boxes.withColumn("__real", (c("zone2") == "body") & (c("__r") > c("__l")))
+    order = Window.partitionBy(*PAGE, "__real").orderBy("__l", "__r", "block_ord")
+    boxes = boxes.withColumn("__reach", F.max("__r").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    boxes = boxes.withColumn("__run", F.sum(F.when(c("__reach").isNull() | (c("__l") - c("__reach") >= gap), 1).otherwise(0)).over(order))
+    whole = Window.partitionBy(*PAGE, "__real", "__run")
+    ends = boxes.withColumn("__range", F.struct(F.min("__l").over(whole).alias("l"), F.max("__r").over(whole).alias("r")))
+    wide = c("__real") & (c("__range.r") - c("__range.l") >= least)
+    found = ends.withColumn("__found", F.sort_array(F.collect_set(F.when(wide, c("__range"))).over(Window.partitionBy(*PAGE))))
+    page = F.array(F.struct(F.lit(0).cast("long").alias("l"), F.lit(width).cast("long").alias("r")))
+    good = F.size("__found").between(1, config.max_columns) & F.lit(config.detect_columns)
+    return found.withColumn("ranges", F.when(good, c("__found")).otherwise(page)).drop("__l", "__r", "__real", "__reach", "__run", "__range", "__found")
+
+
+def column_ranges(blocks: DataFrame, config: LayoutConfig = LayoutConfig(), width: int = PAGE_WIDTH) -> DataFrame:
+    """``ranges`` of each page that has a body block."""
+    return with_ranges(blocks, config, width).filter("zone2 = 'body'").groupBy(*PAGE).agg(F.first("ranges").alias("ranges"))
 
 
 def column_index(l: Column, r: Column, ranges: Column) -> Column:  # noqa: E741
@@ -95,21 +110,21 @@ def column_index(l: Column, r: Column, ranges: Column) -> Column:  # noqa: E741
     return F.when(spans, -1).when(inside > 0, inside - 1).otherwise(nearest - 1).cast("long")
 
 
-def regions(words: DataFrame, config: LayoutConfig = LayoutConfig(), width: int = PAGE_WIDTH, height: int = PAGE_HEIGHT) -> tuple[DataFrame, DataFrame]:
-    """Regions with type, column and reading order, and the lines with their zones that they hold."""
-    zoned = with_zone(lines(words), config, height)
-    parted = split_footnotes(blocks(zoned), config, height)
-    return classified(parted, config, width, height), zoned
+def regions(words: DataFrame, config: LayoutConfig = LayoutConfig(), width: int = PAGE_WIDTH, height: int = PAGE_HEIGHT) -> DataFrame:
+    """Regions with type, column and reading order; each holds its ``lines``, and these their ``words``."""
+    zoned = with_zone(lines(by_page(words), with_words=True), config, height)
+    return classified(split_footnotes(blocks(zoned), config, height), config, width, height)
 
 
 def classified(parted: DataFrame, config: LayoutConfig = LayoutConfig(), width: int = PAGE_WIDTH, height: int = PAGE_HEIGHT) -> DataFrame:
     """Adds ``type, column_index, reading_order`` to blocks whose footnotes are split off; removes what the settings remove."""
     flow = c("zone2") == "body"
-    known = parted.join(column_ranges(parted, config, width), list(PAGE), "left").withColumn("__m", _median(F.when(flow, c("line_height")), *PAGE))
+    held = ["lines"] if "lines" in parted.columns else []
+    known = with_ranges(parted, config, width).withColumn("__m", _median(F.when(flow, c("line_height")), *PAGE))
     big = (c("__m") > 0) & (c("line_height") >= c("__m") * TITLE) & (c("t") <= height * TITLE_ZONE)
     kind = F.when(~flow, c("zone2")).when(big, "title").when((c("__m") > 0) & (c("line_height") >= c("__m") * HEADING), "heading").otherwise("body_text")
     at = F.when(flow, column_index(c("l"), c("r"), c("ranges"))).otherwise(F.lit(0).cast("long"))
-    typed = known.select(*BLOCK, "block_ord", "l", "t", "r", "b", "line_height", "n_lines", "zone2", kind.alias("type"), at.alias("column_index"))
+    typed = known.select(*BLOCK, "block_ord", "l", "t", "r", "b", "line_height", "n_lines", *held, "zone2", kind.alias("type"), at.alias("column_index"))
     for name, gone in (("header", config.remove_headers), ("footer", config.remove_footers), ("page_number", config.remove_page_numbers)):
         if gone:
             typed = typed.filter(c("type") != name)

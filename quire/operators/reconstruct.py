@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.arrays import bound
 from quire.operators.layout import BLOCK, PAGE
 
 # Fixed thresholds.
@@ -14,7 +15,6 @@ GAP, CHAR, INDENT, QUOTE = 1.6, 0.55, 1.8, 1.8
 c = F.col
 REGION = list(BLOCK)
 PARAGRAPH = [*REGION, "para"]
-RUNS = "array<struct<text: string, bold: boolean, italic: boolean>>"
 
 
 def paragraphs(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,18 +28,48 @@ def paragraphs(lines: DataFrame, keys: list[str]) -> DataFrame:
     return first.withColumn("opens", opens).withColumn("para", F.sum("opens").over(order)).drop("opens", "gap", "typical")
 
 
+def _joined(tokens: Column) -> Column:
+    """Runs out of an array of ``text, bold, italic, opens``: texts joined from each token that opens a run up to the next one."""
+
+    def run(tokens: Column, at: Column, start: Column, k: Column) -> Column:
+        own, first = F.slice(tokens, start + 1, F.coalesce(F.get(at, k + 1), F.size(tokens)) - start), F.get(tokens, start)
+        return F.struct(F.array_join(F.transform(own, lambda t: t["text"]), "").alias("text"), first["bold"].alias("bold"), first["italic"].alias("italic"))
+
+    opening = lambda t: F.filter(F.transform(t, lambda x, i: F.when(x["opens"], i)), lambda i: i.isNotNull())
+    return bound(tokens, lambda t: bound(opening(t), lambda at: F.transform(at, lambda start, k: run(t, at, start, k))))
+
+
+def styled(words: Column) -> Column:
+    """Runs of a paragraph's ``words`` (an array of ``word_ord, line_ord, text, is_bold, is_italic``, in order): joined with hyphens resolved at
+    line ends, split where the style changes. Linear in the words."""
+
+    def token(words: Column, w: Column, i: Column) -> Column:
+        following, before = F.get(words, i + 1), F.get(words, i - 1)
+        cut = F.coalesce(following["line_ord"] != w["line_ord"], F.lit(False)) & T.joins_hyphen(w["text"], following["text"])
+        text = F.when(cut, F.left(w["text"], F.length(w["text"]) - 1)).when(following.isNull(), w["text"]).otherwise(F.concat(w["text"], F.lit(" ")))
+        changed = F.coalesce((w["is_bold"] != before["is_bold"]) | (w["is_italic"] != before["is_italic"]), F.lit(False))
+        return F.struct(text.alias("text"), w["is_bold"].alias("bold"), w["is_italic"].alias("italic"), ((i == 0) | changed).alias("opens"))
+
+    return bound(words, lambda all_: _joined(F.transform(all_, lambda w, i: token(all_, w, i))))
+
+
+def continued(parts: Column) -> Column:
+    """Runs of a paragraph out of those of its parts (an array of arrays of runs, in order): a space between parts, and one run where
+    the style goes on."""
+
+    def token(flat: Column, r: Column, i: Column) -> Column:
+        before, space = F.get(flat, i - 1), F.when(F.coalesce(F.get(flat, i + 1)["begins"], F.lit(False)), " ").otherwise("")
+        same = F.coalesce((before["bold"] == r["bold"]) & (before["italic"] == r["italic"]), F.lit(False))
+        return F.struct(F.concat(r["text"], space).alias("text"), r["bold"].alias("bold"), r["italic"].alias("italic"), ((i == 0) | ~r["begins"] | ~same).alias("opens"))
+
+    flat = F.flatten(F.transform(parts, lambda p: F.transform(p, lambda r, i: F.struct(r["text"].alias("text"), r["bold"].alias("bold"), r["italic"].alias("italic"), (i == 0).alias("begins")))))
+    return bound(flat, lambda all_: _joined(F.transform(all_, lambda r, i: token(all_, r, i))))
+
+
 def runs(words: DataFrame, keys: list[str], order: str = "word_ord", line: str = "line_ord") -> DataFrame:
-    """``runs`` of each paragraph: words joined with hyphens resolved at line ends, split where the style changes."""
-    own = Window.partitionBy(*keys).orderBy(order)
-    w = words.withColumn("following", F.lead("text").over(own)).withColumn("next_line", F.lead(line).over(own))
-    joined = (c("next_line") != c(line)) & T.joins_hyphen(c("text"), c("following"))
-    token = F.when(joined, F.expr("left(text, length(text) - 1)")).when(c("following").isNull(), c("text")).otherwise(F.concat("text", F.lit(" ")))
-    changed = F.coalesce((c("is_bold") != F.lag("is_bold").over(own)) | (c("is_italic") != F.lag("is_italic").over(own)), F.lit(False))
-    w = w.withColumn("token", token).withColumn("changed", changed.cast("int"))
-    w = w.withColumn("run", F.sum("changed").over(own))
-    made = w.groupBy(*keys, "run").agg(F.expr(f"listagg(token, '') WITHIN GROUP (ORDER BY {order})").alias("text"), F.first("is_bold").alias("bold"), F.first("is_italic").alias("italic"))
-    ordered = F.sort_array(F.collect_list(F.struct("run", "text", "bold", "italic")))
-    return made.groupBy(*keys).agg(F.transform(ordered, lambda r: F.struct(r["text"].alias("text"), r["bold"].alias("bold"), r["italic"].alias("italic"))).alias("runs"))
+    """``runs`` of each paragraph, out of a row a word."""
+    held = F.sort_array(F.collect_list(F.struct(c(order).alias("word_ord"), c(line).alias("line_ord"), "text", "is_bold", "is_italic")))
+    return words.groupBy(*keys).agg(styled(held).alias("runs"))
 
 
 def dominant_style(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,20 +81,21 @@ def plain(runs: Column | str) -> Column:
     return F.array_join(F.transform(runs, lambda r: r["text"]), "")
 
 
-def page_blocks(regions: DataFrame, lines: DataFrame, words: DataFrame) -> DataFrame:
-    """Typed blocks of every page, before paragraphs are merged; headers, footers and page numbers are left out."""
+def page_blocks(regions: DataFrame) -> DataFrame:
+    """Typed blocks of every page, before paragraphs are merged; headers, footers and page numbers are left out. All in the partitioning of pages."""
     kept = regions.filter(c("type").isin("title", "heading", "body_text", "footnote"))
     margins = Window.partitionBy(*PAGE, "column_index")
     kept = kept.withColumn("column_left", F.median(F.when(c("type") == "body_text", c("l"))).over(margins))
-    region = kept.select(*REGION, "type", "reading_order", "column_left", c("r").alias("region_right"))
-    held = paragraphs(lines.drop("confidence").join(region, REGION), REGION).withColumn("para", F.when(c("type") == "body_text", c("para")).otherwise(0))
+    held = kept.select(*REGION, "type", "reading_order", "column_left", c("r").alias("region_right"), F.inline("lines"))
+    held = paragraphs(held, REGION).withColumn("para", F.when(c("type") == "body_text", c("para")).otherwise(0))
+    placed = F.transform("words", lambda w: F.struct(w["word_ord"].alias("word_ord"), c("line_ord").alias("line_ord"), w["text"].alias("text"), w["is_bold"].alias("is_bold"), w["is_italic"].alias("is_italic")))
     # blocks of whole paragraphs
-    para = held.groupBy(*PARAGRAPH, "type", "reading_order", "column_left", "region_right", "baseline_left", "indent_threshold").agg(
+    para = held.withColumn("words", placed).groupBy(*PARAGRAPH, "type", "reading_order", "column_left", "region_right", "baseline_left", "indent_threshold").agg(
         F.min_by("text", "line_ord").alias("first_text"), F.min_by("l", "line_ord").alias("first_left"), F.median("l").alias("left"), F.median("r").alias("right"), F.count("*").alias("n_lines"),
-        F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY line_ord)").alias("joined"),
+        F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY line_ord)").alias("joined"), F.sort_array(F.flatten(F.collect_list("words"))).alias("words"),
     )
-    keyed = words.join(held.select(*PAGE, "block_num", "par_num", "line_num", "zone", "para", "line_ord"), [*PAGE, "block_num", "par_num", "line_num"])
-    made = runs(keyed, PARAGRAPH).join(dominant_style(keyed, PARAGRAPH), PARAGRAPH).join(para, PARAGRAPH)
+    most = lambda style: F.size(F.filter("words", lambda w: w[style])) > F.size("words") / 2
+    made = para.withColumn("runs", styled(c("words"))).withColumn("bold", most("is_bold")).withColumn("italic", most("is_italic"))
     list_, heading = T.is_list_item(c("first_text")), c("type").isin("title", "heading")
     quote = (c("n_lines") > 1) & (c("left") - F.coalesce("column_left", "baseline_left") > c("indent_threshold") * QUOTE) & (c("region_right") - c("right") > c("indent_threshold"))
     kind = F.when(c("type") != "body_text", c("type")).when(list_, "list_item").when(quote, "quote").otherwise("paragraph")
@@ -85,26 +116,21 @@ def merge_paragraphs(blocks: DataFrame) -> DataFrame:
     b = blocks.withColumn("before", F.lag("type").over(order)).withColumn("before_text", F.lag(plain("runs")).over(order))
     goes_on = (c("type") == "paragraph") & (c("before") == "paragraph") & ~T.ends_sentence(c("before_text"))
     b = b.withColumn("opens", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("block_ordinal", F.sum("opens").over(order) - 1)
-    ordered = F.sort_array(F.collect_list(F.struct("page_index", "reading_order", "para", "runs")))
-
-    def joined(acc: Column, part: Column) -> Column:
-        last, first, more = F.element_at(acc, -1), F.element_at(part["runs"], 1), part["runs"]
-        run = lambda text, style: F.struct(text.alias("text"), style["bold"].alias("bold"), style["italic"].alias("italic"))
-        same = (last["bold"] == first["bold"]) & (last["italic"] == first["italic"])
-        head = F.slice(acc, F.lit(1), F.size(acc) - 1)
-        one = F.concat(head, F.array(run(F.concat(last["text"], F.lit(" "), first["text"]), last)), F.slice(more, F.lit(2), F.size(more)))
-        two = F.concat(head, F.array(run(F.concat(last["text"], F.lit(" ")), last)), more)
-        return F.when(F.size(acc) == 0, more).when(F.size(more) == 0, acc).when(same, one).otherwise(two)
-
-    whole = F.aggregate(ordered, F.expr(f"cast(array() as {RUNS})"), joined)
+    parts = F.sort_array(F.collect_list(F.struct("page_index", "reading_order", "para", "runs")))
+    whole = continued(F.transform(parts, lambda p: p["runs"]))
     first = F.min_by(F.struct("page_index", "level", "list_ordered", "footnote_marker", "first_line_indent"), F.struct("page_index", "reading_order", "para"))
     made = b.groupBy("doc_id", "block_ordinal").agg(F.first("type").alias("type"), whole.alias("runs"), first.alias("f"))
     return made.select("doc_id", c("block_ordinal").cast("long").alias("block_ordinal"), "type", "runs", "f.level", "f.list_ordered", "f.footnote_marker", "f.first_line_indent", c("f.page_index").alias("source_page"))
 
 
+def title() -> Column:
+    """Of a document's blocks, the first title's text, or nothing: an aggregate."""
+    return F.coalesce(F.expr("min_by(array_join(transform(runs, r -> r.text), ''), block_ordinal) FILTER (WHERE type = 'title')"), F.lit("")).alias("title")
+
+
 def titles(blocks: DataFrame) -> DataFrame:
-    """``title`` of each document: its first title block's text, or nothing."""
-    return blocks.groupBy("doc_id").agg(F.coalesce(F.expr("min_by(array_join(transform(runs, r -> r.text), ''), block_ordinal) FILTER (WHERE type = 'title')"), F.lit("")).alias("title"))
+    """``title`` of each document."""
+    return blocks.groupBy("doc_id").agg(title())
 
 
 def merge_lines(docs: DataFrame) -> DataFrame:

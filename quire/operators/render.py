@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import html_escape
-from quire.operators.reconstruct import plain
+from quire.operators.reconstruct import plain, title as first_title
 
 c = F.col
 #: Style sheet of HTML pages.
@@ -89,6 +89,7 @@ def html_runs(runs: Column | str) -> Column:
 
 
 def to_html_body(blocks: DataFrame) -> DataFrame:
+    """``doc_id, body, title``."""
     b = list_islands(blocks)
     inner, kind = html_runs("runs"), c("type")
     wrap = lambda a, z: F.concat(F.lit(a), inner, F.lit(z))
@@ -100,7 +101,7 @@ def to_html_body(blocks: DataFrame) -> DataFrame:
     paragraph = F.when(c("first_line_indent"), wrap('<p class="indent">', "</p>")).otherwise(wrap("<p>", "</p>"))
     piece = F.when(kind == "title", wrap("<h1>", "</h1>")).when(kind == "heading", wrap("<h2>", "</h2>")).when(kind == "quote", wrap("<blockquote><p>", "</p></blockquote>"))
     piece = piece.when(kind == "footnote", note).when(kind == "list_item", item).otherwise(paragraph)
-    return b.withColumn("piece", piece).groupBy("doc_id").agg(F.expr("listagg(piece, '\n') WITHIN GROUP (ORDER BY block_ordinal)").alias("body"))
+    return b.withColumn("piece", piece).groupBy("doc_id").agg(F.expr("listagg(piece, '\n') WITHIN GROUP (ORDER BY block_ordinal)").alias("body"), first_title())
 
 
 def html_page(title: Column, body: Column, lang: Column, css: str = CSS) -> Column:

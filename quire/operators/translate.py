@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.arrays import bound
 from quire.functions.text import strip
 
 #: Characters of a batch; a longer block goes alone.
@@ -19,22 +20,22 @@ def batches(blocks: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``doc_id, block_ordinal, text, batch_id, local_i``: blocks, in order, fill batches greedily; blank ones are left out.
 
     ``blocks`` has ``doc_id, block_ordinal, text``. A batch begins anew where the next block would overflow it: a fold over a document's lengths,
-    with no window form. Only numbers enter the fold.
+    with no window form. It gathers the places where batches begin; these cut the document's blocks into arrays.
     """
     real = blocks.filter(strip(c("text")) != "").select("doc_id", c("block_ordinal").cast("long").alias("block_ordinal"), "text")
-    ordered = F.sort_array(F.collect_list(F.struct("block_ordinal", F.length("text").cast("long").alias("n"))))
+    held = real.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_ordinal", "text"))).alias("held"))
 
     def step(acc: Column, b: Column) -> Column:
-        full = (acc["used"] > 0) & (acc["used"] + b["n"] > limit)
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        local = F.when(full, F.lit(0).cast("long")).otherwise(acc["local"])
-        out = F.concat(acc["out"], F.array(F.struct(b["block_ordinal"].alias("block_ordinal"), batch.alias("batch_id"), local.alias("local_i"))))
-        return F.struct(batch.alias("batch"), F.when(full, b["n"]).otherwise(acc["used"] + b["n"]).alias("used"), (local + 1).alias("local"), out.alias("out"))
-
-    zero = F.lit(0).cast("long")
-    begin = F.struct(zero.alias("batch"), zero.alias("used"), zero.alias("local"), F.expr("cast(array() as array<struct<block_ordinal: bigint, batch_id: bigint, local_i: bigint>>)").alias("out"))
-    placed = real.groupBy("doc_id").agg(F.aggregate(ordered, begin, step, lambda a: a["out"]).alias("p")).select("doc_id", F.inline("p"))
-    return real.join(placed, ["doc_id", "block_ordinal"])
+        n = F.length(b["text"])
+        full = (acc["used"] > 0) & (acc["used"] + n > limit)
+        starts = F.when(full, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"])
+        return F.struct((acc["i"] + 1).alias("i"), F.when(full, n.cast("long")).otherwise(acc["used"] + n).alias("used"), starts.alias("starts"))
+
+    begin = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("used"), F.array(F.lit(0)).alias("starts"))
+    own = lambda starts: F.transform(starts, lambda s, k: F.slice("held", s + 1, F.coalesce(F.get(starts, k + 1), F.size("held")) - s))
+    cut = bound(F.aggregate("held", begin, step, lambda a: a["starts"]), own)
+    rows = held.select("doc_id", F.posexplode(cut).alias("batch_id", "own")).select("doc_id", "batch_id", F.posexplode("own").alias("local_i", "b"))
+    return rows.select("doc_id", "b.block_ordinal", "b.text", c("batch_id").cast("long").alias("batch_id"), c("local_i").cast("long").alias("local_i"))
 
 
 def prompts(batched: DataFrame, instruction: str) -> DataFrame:

@@ -13,8 +13,7 @@ from quire.operators import layout, packages, reconstruct, render
 def from_words(words: DataFrame, config: Config = Config()) -> DataFrame:
     """Blocks of each document out of recognised words."""
     kept = layout.confident(words, config.ocr.min_confidence)
-    regions, lines = layout.regions(kept, config.layout)
-    return reconstruct.merge_paragraphs(reconstruct.page_blocks(regions, lines, kept))
+    return reconstruct.merge_paragraphs(reconstruct.page_blocks(layout.regions(kept, config.layout)))
 
 
 def from_text_layer(pages: DataFrame) -> DataFrame:
@@ -30,9 +29,8 @@ def from_text_layer(pages: DataFrame) -> DataFrame:
 
 def exported(blocks: DataFrame, format_: str, lang: str = "es") -> DataFrame:
     """``doc_id, content`` in a format: txt, markdown, html, docx or epub."""
-    titles = reconstruct.titles(blocks)
     if format_ == "html":
-        return render.to_html_body(blocks).join(titles, "doc_id").select("doc_id", render.html_page(F.col("title"), F.col("body"), F.lit(lang)).alias("content"))
+        return render.to_html_body(blocks).select("doc_id", render.html_page(F.col("title"), F.col("body"), F.lit(lang)).alias("content"))
     if format_ == "epub":
-        return packages.to_epub(blocks, titles, lang)
+        return packages.to_epub(blocks, reconstruct.titles(blocks), lang)
     return {"txt": render.to_text, "markdown": render.to_markdown, "docx": packages.to_docx}[format_](blocks)

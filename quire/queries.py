@@ -31,13 +31,11 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.split_footnotes(layout.blocks(layout.with_zone(layout.lines(_words(spark, sf_dir)))))
+    return layout.split_footnotes(layout.blocks(layout.with_zone(layout.lines(layout.by_page(_words(spark, sf_dir))))))
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _words(spark, sf_dir)
-    regions, lines = layout.regions(words)
-    return reconstruct.merge_paragraphs(reconstruct.page_blocks(regions, lines, words))
+    return reconstruct.merge_paragraphs(reconstruct.page_blocks(layout.regions(_words(spark, sf_dir))))
 
 
 def paragraph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +113,7 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _words(spark, sf_dir)
-    body = layout.with_zone(layout.lines(words)).filter("zone = 'body'")
+    body = layout.with_zone(layout.lines(layout.by_page(words))).filter("zone = 'body'")
     made = reconstruct.paragraphs(body, reconstruct.REGION)
     return made.select("doc_id", "page_index", "block_num", "par_num", "line_num", c("para").cast("long").alias("para"), F.round("indent_threshold", 6).alias("indent_threshold"), "baseline_left")
 
@@ -154,8 +152,7 @@ def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = _merged(spark, sf_dir)
-    met = render.to_html_body(blocks).join(reconstruct.titles(blocks), "doc_id").join(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    met = render.to_html_body(_merged(spark, sf_dir)).join(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     return met.select("doc_id", render.html_page(c("title"), c("body"), c("lang"), "").alias("content"))
 
 

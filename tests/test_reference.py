@@ -30,8 +30,7 @@ def words(spark, lines, bold=()):
 
 def paragraphs(spark, lines, bold=()):
     w = words(spark, lines, bold)
-    regions, zoned = layout.regions(w)
-    return [r.text for r in reconstruct.merge_paragraphs(reconstruct.page_blocks(regions, zoned, w)).orderBy("block_ordinal").select(reconstruct.plain("runs").alias("text")).collect()]
+    return [r.text for r in reconstruct.merge_paragraphs(reconstruct.page_blocks(layout.regions(w))).orderBy("block_ordinal").select(reconstruct.plain("runs").alias("text")).collect()]
 
 
 @pytest.mark.parametrize(
@@ -203,7 +202,7 @@ def test_removal_flags_and_quotes(spark):
     head = [(100, 30, "Un encabezado"), (100, 2110, "12")]
     body = [(100, 500 + 46 * i, "texto normal de una linea bastante larga aqui.") for i in range(6)]
     w = words(spark, head + body).withColumn("block_num", F.when(F.col("t") < 100, 1).when(F.col("t") > 2000, 3).otherwise(2).cast("long"))
-    kinds = lambda config: sorted(r.type for r in layout.regions(w, config)[0].collect())
+    kinds = lambda config: sorted(r.type for r in layout.regions(w, config).collect())
     assert kinds(LayoutConfig()) == ["body_text", "header", "page_number"]
     assert kinds(LayoutConfig(remove_headers=True, remove_page_numbers=True)) == ["body_text"]
     assert books.from_words(w).count() >= 1
