@@ -17,6 +17,9 @@ def _check(ok: bool, what: str) -> None:
 @dataclass(frozen=True)
 class ImageConfig:
     enabled: bool = True
+    deskew: bool = True
+    denoise: bool = False
+    enhance_contrast: bool = True
     remove_borders: bool = True
     crop_margins: bool = True
     binarization: str = "adaptive_gaussian"
@@ -47,17 +50,32 @@ class LayoutConfig:
 
 @dataclass(frozen=True)
 class OcrConfig:
+    engine: str = "tesseract"
+    psm: int = 3
+    oem: int = 1
+    detect_bold_italic: bool = True
     languages: tuple[str, ...] = ("spa", "eng")
     min_confidence: float = 40.0
 
     def __post_init__(self) -> None:
         _check(bool(self.languages), "languages: one at least")
         _check(0 <= self.min_confidence <= 100, "min_confidence: 0 to 100")
+        _check(0 <= self.psm <= 13, "psm: 0 to 13")
+        _check(0 <= self.oem <= 3, "oem: 0 to 3")
+
+
+@dataclass(frozen=True)
+class TranslationConfig:
+    enabled: bool = False
+    engine: str = "none"
+    source_language: str | None = None
+    target_language: str = "en"
 
 
 @dataclass(frozen=True)
 class ExportConfig:
     formats: tuple[str, ...] = ("markdown",)
+    output_dir: str = "./output"
 
     def __post_init__(self) -> None:
         known = ("txt", "markdown", "html", "docx", "epub")
@@ -69,6 +87,7 @@ class Config:
     image: ImageConfig = field(default_factory=ImageConfig)
     layout: LayoutConfig = field(default_factory=LayoutConfig)
     ocr: OcrConfig = field(default_factory=OcrConfig)
+    translation: TranslationConfig = field(default_factory=TranslationConfig)
     export: ExportConfig = field(default_factory=ExportConfig)
 
     @classmethod

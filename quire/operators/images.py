@@ -118,6 +118,175 @@ def binarize(image: np.ndarray, method: str = "adaptive_gaussian", window: int =
     return np.where(image > mean * (1 + k * (deviation / r - 1)), 255, 0).astype(np.uint8)
 
 
+def rotate(image: np.ndarray, degrees: float) -> np.ndarray:
+    """Turned counterclockwise on a larger white canvas, cubic between pixels; hardly any angle changes nothing."""
+    if abs(degrees) < 0.05:
+        return image
+    h, w = image.shape
+    cos, sin = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    size = int(h * abs(cos) + w * abs(sin)), int(h * abs(sin) + w * abs(cos))
+    y, x = (np.arange(n, dtype=np.float32) - n / 2 for n in size)
+    at_x, at_y = cos * x[None] - sin * y[:, None] + w / 2, sin * x[None] + cos * y[:, None] + h / 2
+    left, top = np.floor(at_x).astype(int), np.floor(at_y).astype(int)
+
+    def weight(d: np.ndarray) -> np.ndarray:
+        d = np.abs(d)
+        return np.where(d <= 1, (1.25 * d - 2.25) * d * d + 1, np.where(d < 2, ((-0.75 * d + 3.75) * d - 6) * d + 3, 0))
+
+    padded = np.pad(image, 3, constant_values=255).astype(np.float32)
+    out = np.zeros(size, np.float32)
+    for i in range(-1, 3):
+        rows = np.clip(top + i + 3, 0, h + 5)
+        for j in range(-1, 3):
+            out += weight(at_y - top - i) * weight(at_x - left - j) * padded[rows, np.clip(left + j + 3, 0, w + 5)]
+    return np.clip(out.round(), 0, 255).astype(np.uint8)
+
+
+def skew(image: np.ndarray) -> float:
+    """Degrees by which the smallest rectangle around the ink is turned, -45 to 45; 0 with hardly any ink."""
+    mask = ink(image)
+    if mask.sum() < 50 or mask.all():
+        return 0.0
+    ys = np.flatnonzero(mask.any(1))
+    first, last = mask[ys].argmax(1), mask.shape[1] - 1 - mask[ys, ::-1].argmax(1)
+    points = sorted({*zip(first.tolist(), ys.tolist(), strict=True), *zip(last.tolist(), ys.tolist(), strict=True)})
+
+    def half(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        kept: list[tuple[int, int]] = []
+        for p in points:
+            while len(kept) > 1 and (kept[-1][0] - kept[-2][0]) * (p[1] - kept[-2][1]) <= (kept[-1][1] - kept[-2][1]) * (p[0] - kept[-2][0]):
+                kept.pop()
+            kept.append(p)
+        return kept[:-1]
+
+    hull = np.array(half(points) + half(points[::-1]), float)
+    if len(hull) < 3:
+        return 0.0
+    edge = np.roll(hull, -1, 0) - hull
+    angle = (np.arctan2(edge[:, 1], edge[:, 0]) + np.pi / 4) % (np.pi / 2) - np.pi / 4
+    along = np.cos(angle)[:, None] * hull[:, 0] + np.sin(angle)[:, None] * hull[:, 1]
+    across = np.cos(angle)[:, None] * hull[:, 1] - np.sin(angle)[:, None] * hull[:, 0]
+    return float(np.degrees(angle[(np.ptp(along, 1) * np.ptp(across, 1)).argmin()]))
+
+
+def deskew(image: np.ndarray, most: float = 15.0) -> np.ndarray:
+    """Turned so that the ink's rectangle stands straight; beyond ``most`` degrees it stays."""
+    angle = skew(image)
+    return image if abs(angle) > most else rotate(image, angle)
+
+
+def enhance_contrast(image: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
+    """Histograms equalised tile by tile with a clip limit, and mixed between the middles of the tiles."""
+    h, w = image.shape
+    th, tw = -(-h // tiles), -(-w // tiles)
+    padded = np.pad(image, ((0, th * tiles - h), (0, tw * tiles - w)), mode="reflect" if min(h, w) > tiles else "edge")
+    area = th * tw
+    limit = max(1, int(clip * area / 256))
+    parts = padded.reshape(tiles, th, tiles, tw).swapaxes(1, 2).reshape(tiles * tiles, area)
+    tables = np.empty((tiles * tiles, 256), np.float32)
+    for i, part in enumerate(parts):
+        n = np.bincount(part, minlength=256)
+        over = int(np.maximum(n - limit, 0).sum())
+        n = np.minimum(n, limit) + over // 256
+        if rest := over % 256:  # what is left goes to evenly spaced values
+            n[: rest * max(256 // rest, 1) : max(256 // rest, 1)] += 1
+        tables[i] = np.clip(np.round(n.cumsum() * (255 / area)), 0, 255)
+
+    def mix(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.arange(n) / size - 0.5
+        low = np.floor(at).astype(int)
+        return np.clip(low, 0, tiles - 1), np.clip(low + 1, 0, tiles - 1), (at - low).astype(np.float32)
+
+    (y0, y1, fy), (x0, x1, fx) = mix(h, th), mix(w, tw)
+    value = lambda y, x: tables[y[:, None] * tiles + x[None], image]
+    upper = value(y0, x0) * (1 - fx) + value(y0, x1) * fx
+    lower = value(y1, x0) * (1 - fx) + value(y1, x1) * fx
+    return np.round(upper * (1 - fy[:, None]) + lower * fy[:, None]).astype(np.uint8)
+
+
+def denoise(image: np.ndarray, strength: float = 6, patch: int = 7, search: int = 21) -> np.ndarray:
+    """Means over pixels around, weighted by how alike their patches are. Slow: a pass over the page for each of the places searched."""
+    far, near = search // 2, patch // 2
+    h, w = image.shape
+    wide = np.pad(image.astype(np.float32), far + near, mode="symmetric")
+    own = wide[far : far + h + 2 * near, far : far + w + 2 * near]
+    total, weights = np.zeros((h, w), np.float32), np.zeros((h, w), np.float32)
+    for dy in range(search):
+        for dx in range(search):
+            other = wide[dy : dy + h + 2 * near, dx : dx + w + 2 * near]
+            s = np.pad(((own - other) ** 2).astype(np.float64).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+            alike = np.exp(-((s[patch:, patch:] - s[:-patch, patch:] - s[patch:, :-patch] + s[:-patch, :-patch]) / patch**2) / strength**2).astype(np.float32)
+            total += alike * other[near : near + h, near : near + w]
+            weights += alike
+    return np.round(total / weights).astype(np.uint8)
+
+
+# Distances to the next and the diagonal pixel; of letters, the least area, height as a share of the word's, and number; the
+# slant in degrees from which a word is italic.
+NEXT, DIAGONAL = 0.955, 1.3693
+LEAST_AREA, LEAST_HEIGHT, LEAST_LETTERS, SLANT = 15, 0.35, 3, -7.5
+
+
+def stroke_width(crop: np.ndarray) -> float:
+    """Twice the mean distance of ink to what is no ink, in pixels; 0 with hardly any ink, or nothing else."""
+    mask = ink(crop) if crop.size else np.zeros((0, 0), bool)
+    if mask.sum() < 8 or mask.all():
+        return 0.0
+    far = np.where(mask, np.inf, 0.0)
+    while True:
+        p = np.pad(far, 1, constant_values=np.inf)
+        sides = np.minimum(np.minimum(p[:-2, 1:-1], p[2:, 1:-1]), np.minimum(p[1:-1, :-2], p[1:-1, 2:])) + NEXT
+        corners = np.minimum(np.minimum(p[:-2, :-2], p[:-2, 2:]), np.minimum(p[2:, :-2], p[2:, 2:])) + DIAGONAL
+        closer = np.minimum(far, np.minimum(sides, corners))
+        if (closer == far).all():
+            return float(far[mask].mean() * 2)
+        far = closer
+
+
+def letters(mask: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of each connected part, corners counted as touching: runs of rows, united where they meet."""
+    spans = [(y, a, b) for y, row in enumerate(mask) for a, b in runs(row)]
+    parent = list(range(len(spans)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    above: list[int] = []
+    row: list[int] = []
+    for i, (y, a, b) in enumerate(spans):
+        if row and spans[row[-1]][0] != y:
+            above, row = (row if spans[row[-1]][0] == y - 1 else []), []
+        for j in above:
+            if spans[j][1] <= b and a <= spans[j][2]:
+                parent[root(j)] = root(i)
+        row.append(i)
+    parts: dict[int, list[tuple[int, int, int]]] = {}
+    for i, span in enumerate(spans):
+        parts.setdefault(root(i), []).append(span)
+    return [(np.concatenate([np.full(b - a, y) for y, a, b in p]), np.concatenate([np.arange(a, b) for _, a, b in p])) for p in parts.values()]
+
+
+def slants(mask: np.ndarray) -> list[float]:
+    """Degrees by which each letter leans, out of its second moments; small parts are left out."""
+    out = []
+    for y, x in letters(mask):
+        if len(y) >= LEAST_AREA and np.ptp(y) + 1 >= len(mask) * LEAST_HEIGHT:
+            tall, lean = ((y - y.mean()) ** 2).sum(), ((y - y.mean()) * (x - x.mean())).sum()
+            if tall > 1e-3:
+                out.append(float(np.degrees(np.arctan(lean / tall))))
+    return out
+
+
+def style(crop: np.ndarray) -> tuple[bool, float]:
+    """Whether a word is italic, and the width of its strokes."""
+    if not crop.size:
+        return False, 0.0
+    found = slants(ink(crop))
+    return len(found) >= LEAST_LETTERS and float(np.median(found)) <= SLANT, stroke_width(crop)
+
+
 def runs(mask: np.ndarray) -> list[tuple[int, int]]:
     """Half-open runs of True."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
@@ -175,7 +344,8 @@ def bottom_cut(image: np.ndarray, zone: float = 0.35) -> int:
 def prepared(image: np.ndarray, config: ImageConfig) -> np.ndarray:
     """The steps in their fixed order; a step that fails leaves the image as it is."""
     image = cap_dimension(to_gray(image), config.max_dimension_px)
-    steps = [remove_black_borders] * config.remove_borders + [crop_margins] * config.crop_margins + [lambda x: binarize(x, config.binarization)]
+    steps = [deskew] * config.deskew + [denoise] * config.denoise + [enhance_contrast] * config.enhance_contrast + [remove_black_borders] * config.remove_borders
+    steps += [crop_margins] * config.crop_margins + [lambda x: binarize(x, config.binarization)]
     for step in steps if config.enabled else []:
         try:
             image = step(image)
