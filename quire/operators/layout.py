@@ -15,6 +15,7 @@ from quire.functions import text as T
 from quire.sources.typeset import PAGE_HEIGHT, PAGE_WIDTH
 
 PAGE = ("doc_id", "page_index")
+SIZE = {"page_width": PAGE_WIDTH, "page_height": PAGE_HEIGHT}
 BLOCK = (*PAGE, "zone", "block_num", "par_num")
 # Fixed thresholds: zones as shares of the page, sizes as ratios to the median.
 HEADER, FOOTER, FOOTNOTE, TITLE_ZONE = 0.05, 0.08, 0.28, 0.2
@@ -29,6 +30,15 @@ def confident(words: DataFrame, least: float = 40.0) -> DataFrame:
     return words.filter((T.strip(c("text")) != "") & (c("confidence") >= least) & (c("confidence") >= 0))
 
 
+def page_size(table: DataFrame) -> tuple[Column, Column]:
+    """Width and height of the pages: the table's ``page_width, page_height`` where it has them, else the typesetter's."""
+    return tuple(c(n) if n in table.columns else F.lit(other) for n, other in SIZE.items())
+
+
+def _sized(table: DataFrame) -> list[str]:
+    return [n for n in SIZE if n in table.columns]
+
+
 def by_page(words: DataFrame) -> DataFrame:
     """Words hashed by page: the one shuffle that layout needs. No page, and no book, is more than its own pages' work."""
     return words.repartition(*PAGE)
@@ -37,15 +47,16 @@ def by_page(words: DataFrame) -> DataFrame:
 def lines(words: DataFrame, with_words: bool = False) -> DataFrame:
     """A row a line: text in word order, box, mean confidence, place in the page. Blank lines go. ``with_words`` adds ``words``, an array."""
     held = [F.collect_list(F.struct("word_ord", "text", "is_bold", "is_italic")).alias("words")] if with_words else []
-    made = words.groupBy(*PAGE, "block_num", "par_num", "line_num").agg(
+    made = words.groupBy(*PAGE, *_sized(words), "block_num", "par_num", "line_num").agg(
         F.min("word_ord").alias("line_ord"), F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY word_ord)").alias("text"), F.min("l").alias("l"), F.min("t").alias("t"),
         F.max(c("l") + c("w")).alias("r"), F.max(c("t") + c("h")).alias("b"), F.avg("confidence").alias("confidence"), F.count("*").alias("n_words"), *held,
     )
     return made.filter(T.strip(c("text")) != "")
 
 
-def with_zone(lines: DataFrame, config: LayoutConfig = LayoutConfig(), height: int = PAGE_HEIGHT) -> DataFrame:
+def with_zone(lines: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
     """``zone``: page_number, header, footer or body, decided in this order by the box's middle."""
+    _, height = page_size(lines)
     y = (c("t") + c("b")) / 2
     top, bottom = y <= height * HEADER, y >= height * (1 - FOOTER)
     on = F.lit
@@ -57,7 +68,7 @@ def with_zone(lines: DataFrame, config: LayoutConfig = LayoutConfig(), height: i
 def blocks(zoned: DataFrame) -> DataFrame:
     """A row for each (zone, block, paragraph) of a page; lines that carry their words are held in ``lines``."""
     held = [F.collect_list(F.struct("line_ord", "text", "l", "t", "r", "b", "words")).alias("lines")] if "words" in zoned.columns else []
-    return zoned.groupBy(*BLOCK).agg(
+    return zoned.groupBy(*BLOCK, *_sized(zoned)).agg(
         F.min("line_ord").alias("block_ord"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"), F.avg(c("b") - c("t")).alias("line_height"),
         F.min_by("text", "line_ord").alias("first_text"), F.count("*").alias("n_lines"), *held,
     )
@@ -67,8 +78,9 @@ def _median(value: Column, *keys: str) -> Column:
     return F.median(value).over(Window.partitionBy(*keys))
 
 
-def split_footnotes(blocks: DataFrame, config: LayoutConfig = LayoutConfig(), height: int = PAGE_HEIGHT) -> DataFrame:
+def split_footnotes(blocks: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
     """Body blocks low on the page, with small letters or a marker, become zone "footnote"."""
+    _, height = page_size(blocks)
     y, body = (c("t") + c("b")) / 2, c("zone") == "body"
     with_median = blocks.withColumn("__m", _median(F.when(body, c("line_height")), *PAGE))
     small = (c("__m") > 0) & (c("line_height") <= c("__m") * SMALL)
@@ -77,10 +89,11 @@ def split_footnotes(blocks: DataFrame, config: LayoutConfig = LayoutConfig(), he
     return with_median.withColumn("zone2", F.when(note, "footnote").otherwise(c("zone"))).drop("__m")
 
 
-def with_ranges(blocks: DataFrame, config: LayoutConfig = LayoutConfig(), width: int = PAGE_WIDTH) -> DataFrame:
+def with_ranges(blocks: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
     """Adds ``ranges``, the columns of each page: boxes of body blocks merged along x where gaps are small, narrow ones dropped."""
-    gap, least = max(1, int(width * MIN_GAP)), max(1, int(width * MIN_COLUMN))
-    boxes = blocks.withColumn("__l", F.greatest("l", F.lit(0))).withColumn("__r", F.least("r", F.lit(width)))
+    width, _ = page_size(blocks)
+    gap, least = (F.greatest(F.lit(1), F.floor(width * share)) for share in (MIN_GAP, MIN_COLUMN))
+    boxes = blocks.withColumn("__l", F.greatest("l", F.lit(0))).withColumn("__r", F.least("r", width))
     boxes = boxes.withColumn("__real", (c("zone2") == "body") & (c("__r") > c("__l")))
     order = Window.partitionBy(*PAGE, "__real").orderBy("__l", "__r", "block_ord")
     boxes = boxes.withColumn("__reach", F.max("__r").over(order.rowsBetween(Window.unboundedPreceding, -1)))
@@ -89,14 +102,14 @@ def with_ranges(blocks: DataFrame, config: LayoutConfig = LayoutConfig(), width:
     ends = boxes.withColumn("__range", F.struct(F.min("__l").over(whole).alias("l"), F.max("__r").over(whole).alias("r")))
     wide = c("__real") & (c("__range.r") - c("__range.l") >= least)
     found = ends.withColumn("__found", F.sort_array(F.collect_set(F.when(wide, c("__range"))).over(Window.partitionBy(*PAGE))))
-    page = F.array(F.struct(F.lit(0).cast("long").alias("l"), F.lit(width).cast("long").alias("r")))
+    page = F.array(F.struct(F.lit(0).cast("long").alias("l"), width.cast("long").alias("r")))
     good = F.size("__found").between(1, config.max_columns) & F.lit(config.detect_columns)
     return found.withColumn("ranges", F.when(good, c("__found")).otherwise(page)).drop("__l", "__r", "__real", "__reach", "__run", "__range", "__found")
 
 
-def column_ranges(blocks: DataFrame, config: LayoutConfig = LayoutConfig(), width: int = PAGE_WIDTH) -> DataFrame:
+def column_ranges(blocks: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
     """``ranges`` of each page that has a body block."""
-    return with_ranges(blocks, config, width).filter("zone2 = 'body'").groupBy(*PAGE).agg(F.first("ranges").alias("ranges"))
+    return with_ranges(blocks, config).filter("zone2 = 'body'").groupBy(*PAGE).agg(F.first("ranges").alias("ranges"))
 
 
 def column_index(l: Column, r: Column, ranges: Column) -> Column:  # noqa: E741
@@ -110,17 +123,18 @@ def column_index(l: Column, r: Column, ranges: Column) -> Column:  # noqa: E741
     return F.when(spans, -1).when(inside > 0, inside - 1).otherwise(nearest - 1).cast("long")
 
 
-def regions(words: DataFrame, config: LayoutConfig = LayoutConfig(), width: int = PAGE_WIDTH, height: int = PAGE_HEIGHT) -> DataFrame:
+def regions(words: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
     """Regions with type, column and reading order; each holds its ``lines``, and these their ``words``."""
-    zoned = with_zone(lines(by_page(words), with_words=True), config, height)
-    return classified(split_footnotes(blocks(zoned), config, height), config, width, height)
+    zoned = with_zone(lines(by_page(words), with_words=True), config)
+    return classified(split_footnotes(blocks(zoned), config), config)
 
 
-def classified(parted: DataFrame, config: LayoutConfig = LayoutConfig(), width: int = PAGE_WIDTH, height: int = PAGE_HEIGHT) -> DataFrame:
+def classified(parted: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
     """Adds ``type, column_index, reading_order`` to blocks whose footnotes are split off; removes what the settings remove."""
+    _, height = page_size(parted)
     flow = c("zone2") == "body"
     held = ["lines"] if "lines" in parted.columns else []
-    known = with_ranges(parted, config, width).withColumn("__m", _median(F.when(flow, c("line_height")), *PAGE))
+    known = with_ranges(parted, config).withColumn("__m", _median(F.when(flow, c("line_height")), *PAGE))
     big = (c("__m") > 0) & (c("line_height") >= c("__m") * TITLE) & (c("t") <= height * TITLE_ZONE)
     kind = F.when(~flow, c("zone2")).when(big, "title").when((c("__m") > 0) & (c("line_height") >= c("__m") * HEADING), "heading").otherwise("body_text")
     at = F.when(flow, column_index(c("l"), c("r"), c("ranges"))).otherwise(F.lit(0).cast("long"))
@@ -142,3 +156,15 @@ def bold_words(words: DataFrame, ratio: float = 1.25) -> DataFrame:
     """``bold_by_stroke``: the stroke against the median of the positive strokes of the word's block."""
     m = _median(F.when(c("stroke") > 0, c("stroke")), *PAGE, "block_num")
     return words.withColumn("__m", m).withColumn("bold_by_stroke", F.coalesce((c("__m") > 1e-6) & (c("stroke") > 0) & (c("stroke") / c("__m") >= ratio), F.lit(False))).drop("__m")
+
+
+def page_texts(lines: DataFrame) -> DataFrame:
+    """``full_text`` of each page: its lines in order."""
+    return lines.groupBy(*PAGE).agg(F.expr("listagg(text, '\n') WITHIN GROUP (ORDER BY line_ord)").alias("full_text"))
+
+
+def quad_box(corners: Column | str) -> Column:
+    """``l, t, w, h`` around a detection's corners (an array of ``x, y``), in whole pixels."""
+    xs, ys = F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])
+    whole = lambda v, name: v.cast("long").alias(name)
+    return F.struct(whole(F.array_min(xs), "l"), whole(F.array_min(ys), "t"), whole(F.array_max(xs) - F.array_min(xs), "w"), whole(F.array_max(ys) - F.array_min(ys), "h"))

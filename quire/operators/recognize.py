@@ -23,7 +23,7 @@ from quire.operators import images
 BLOCK_OFFSET = 100_000
 WORDS = (
     "doc_id string, page_index int, word_ord long, text string, l long, t long, w long, h long, confidence double, block_num long, par_num long, line_num long, "
-    "is_bold boolean, is_italic boolean, stroke double"
+    "is_bold boolean, is_italic boolean, stroke double, page_width int, page_height int"
 )
 
 
@@ -144,7 +144,7 @@ def words(pages: DataFrame, config: Config = Config(), make: Callable[[], Engine
         for i, w in enumerate(page_words(engine, image, config.ocr, config.layout)):
             crop = image[max(0, w.t) : max(0, w.t + w.h), max(0, w.l) : max(0, w.l + w.w)]
             italic, stroke = images.style(crop) if config.ocr.detect_bold_italic else (False, 0.0)
-            yield (page.doc_id, page.page_index, i, w.text, w.l, w.t, w.w, w.h, w.confidence, w.block_num, w.par_num, w.line_num, False, italic, stroke)
+            yield (page.doc_id, page.page_index, i, w.text, w.l, w.t, w.w, w.h, w.confidence, w.block_num, w.par_num, w.line_num, False, italic, stroke, page.width, page.height)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         engine = make()

@@ -1,13 +1,20 @@
-"""From pages to rendered books: one lazy plan, hashed by document."""
+"""From pages to rendered books: lazy plans, hashed by page and then by document."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.config import Config
+from quire.errors import Cancelled, EngineNotAvailable, UnsupportedFile
 from quire.functions.text import blank_line_paragraphs
-from quire.operators import layout, packages, reconstruct, render
+from quire.operators import images, layout, packages, reconstruct, recognize, render, translators
+from quire.sources import files
+
+#: Suffixes of formats.
+SUFFIXES = {"txt": "txt", "markdown": "md", "html": "html", "docx": "docx", "epub": "epub"}
 
 
 def from_words(words: DataFrame, config: Config = Config()) -> DataFrame:
@@ -16,6 +23,15 @@ def from_words(words: DataFrame, config: Config = Config()) -> DataFrame:
     return reconstruct.merge_paragraphs(reconstruct.page_blocks(layout.regions(kept, config.layout)))
 
 
+def from_images(pages: DataFrame, config: Config = Config(), make: Callable[[], recognize.Engine] | None = None) -> DataFrame:
+    """Blocks out of page images: prepared, recognised by the engine, words bold by their strokes; each page by its own size."""
+    prepared = images.prepare(pages, config.image).select("doc_id", "page_index", "image", "width", "height")
+    words = recognize.words(prepared, config, make)
+    if config.ocr.detect_bold_italic:
+        words = layout.bold_words(words).withColumn("is_bold", F.col("is_bold") | F.col("bold_by_stroke")).drop("bold_by_stroke")
+    return from_words(words, config)
+
+
 def from_text_layer(pages: DataFrame) -> DataFrame:
     """Blocks out of embedded text: paragraphs between blank lines, no titles, no merging."""
     rows = pages.filter("embedded_text is not null").select("doc_id", "page_index", F.posexplode(blank_line_paragraphs(F.col("embedded_text"))).alias("at", "text"))
@@ -23,14 +39,54 @@ def from_text_layer(pages: DataFrame) -> DataFrame:
     run = F.array(F.struct(F.col("text"), F.lit(False).alias("bold"), F.lit(False).alias("italic")))
     return rows.select(
         "doc_id", number.alias("block_ordinal"), F.lit("paragraph").alias("type"), run.alias("runs"), F.lit(1).alias("level"), F.lit(False).alias("list_ordered"),
-        F.lit(None).cast("string").alias("footnote_marker"), F.lit(False).alias("first_line_indent"), F.col("page_index").alias("source_page"),
+        F.lit(None).cast("string").alias("footnote_marker"), F.lit(False).alias("first_line_indent"), F.col("page_index").cast("long").alias("source_page"),
     )
 
 
+def processed(pages: DataFrame, config: Config = Config(), make: Callable[[], recognize.Engine] | None = None, translator: translators.Chat | translators.Direct | None = None) -> DataFrame:
+    """Blocks of all documents: those with a text layer from it, others from their images; translated if the settings say so."""
+    known = pages.join(files.text_layers(pages), "doc_id")
+    read = from_text_layer(known.filter("has_text_layer"))
+    seen = from_images(known.filter("not has_text_layer"), config, make)
+    blocks = read.unionByName(seen.withColumn("source_page", F.col("source_page").cast("long")))
+    return translators.translated(blocks, config.translation, translator) if config.translation.enabled else blocks
+
+
 def exported(blocks: DataFrame, format_: str, lang: str = "es") -> DataFrame:
     """``doc_id, content`` in a format: txt, markdown, html, docx or epub."""
+    if format_ == "pdf":
+        raise EngineNotAvailable("writing PDF needs an engine")
+    if format_ not in SUFFIXES:
+        raise UnsupportedFile(f"unknown format: {format_}")
     if format_ == "html":
         return render.to_html_body(blocks).select("doc_id", render.html_page(F.col("title"), F.col("body"), F.lit(lang)).alias("content"))
     if format_ == "epub":
         return packages.to_epub(blocks, reconstruct.titles(blocks), lang)
     return {"txt": render.to_text, "markdown": render.to_markdown, "docx": packages.to_docx}[format_](blocks)
+
+
+Progress = Callable[[str, int, int], None]
+
+
+def export(blocks: DataFrame, store: str, out: str, config: Config = Config(), progress: Progress = lambda stage, at, of: None, cancelled: Callable[[], bool] = lambda: False) -> list[str]:
+    """Writes every document in every format to ``out``; returns a name a file, of which there are documents times formats.
+
+    Blocks are worked out once, into the table ``store`` (a shared folder), and each format reads them from there. Between formats the
+    job reports where it is and stops if it has been cancelled.
+    """
+
+    def stop() -> None:
+        if cancelled():
+            raise Cancelled("the job was cancelled")
+
+    stop()
+    blocks.write.mode("overwrite").parquet(store)
+    progress("reconstruction", 1, 1)
+    held, names = blocks.sparkSession.read.parquet(store), []
+    lang = config.translation.target_language if config.translation.enabled else "es"
+    for i, format_ in enumerate(config.export.formats):
+        stop()
+        rendered = exported(held, format_, lang).withColumn("doc_id", files.stem(F.col("doc_id").cast("string")))
+        names += [r.name for r in packages.write_files(rendered, out, SUFFIXES[format_]).collect()]
+        progress("export", i + 1, len(config.export.formats))
+    return names

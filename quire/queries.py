@@ -89,8 +89,7 @@ def words_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = layout.lines(_words(spark, sf_dir))
-    return made.groupBy("doc_id", "page_index").agg(F.expr("listagg(text, '\n') WITHIN GROUP (ORDER BY line_ord)").alias("full_text"))
+    return layout.page_texts(layout.lines(_words(spark, sf_dir)))
 
 
 def margin_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,12 +211,7 @@ def quad_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
     corners = F.array(at(x, y), at(x + 30.5, y + 1.25), at(x + 29.75, y + 12.5), at(x - 0.5, y + 11.0))
     rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", corners.alias("quad"), ((1 - c("l_discount")) * 100 - 50).alias("confidence")).filter("confidence >= 40.5")
-    xs, ys = F.transform("quad", lambda p: p["x"]), F.transform("quad", lambda p: p["y"])
-    whole = lambda v: v.cast("long")
-    return rows.select(
-        "l_orderkey", "l_linenumber", whole(F.array_min(xs)).alias("l"), whole(F.array_min(ys)).alias("t"),
-        whole(F.array_max(xs) - F.array_min(xs)).alias("w"), whole(F.array_max(ys) - F.array_min(ys)).alias("h"),
-    )
+    return rows.withColumn("box", layout.quad_box("quad")).select("l_orderkey", "l_linenumber", "box.*")
 
 
 def _job_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,8 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     tiff = spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").load(path).select("path", "content")
     if many := tiff.mapInPandas(counted, "path string, n int").first():
         raise UnsupportedFile(f"{many['path']} has {many['n']} frames; part it into single images")
-    read = spark.read.format("image").load(path).select("image.*")
+    globs = "*.{" + ",".join(IMAGES + tuple(x.upper() for x in IMAGES)) + "}"
+    read = spark.read.format("image").option("pathGlobFilter", globs).load(path).select("image.*")
     bad = F.raise_error(F.concat(F.lit("not an image: "), F.col("origin"))).cast("string")
     return read.select(F.when(F.col("height") < 1, bad).otherwise(F.col("origin")).alias("doc_id"), F.lit(0).alias("page_index"), F.lit(None).cast("string").alias("embedded_text"), F.col("data").alias("image"), "width", "height")
 
@@ -84,10 +85,50 @@ def pdf_pages(spark: SparkSession, path: str, reader: Callable[[bytes], Iterable
 
 def text_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages of text files, parted by form feeds."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,TXT}").load(path).select(F.col("path").alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
     return files.select("doc_id", F.posexplode(F.split("text", "\f")).alias("page_index", "embedded_text"))
 
 
+def pages(spark: SparkSession, path: str, reader: Callable[[bytes], Iterable[tuple[str | None, bytes | None, int, int]]] | None = None) -> DataFrame:
+    """``PAGE`` columns of a file, or of all files of a folder: images, PDF by the reader, plain text (txt). Other files stop the job.
+
+    Only names are read to find the kinds; one job lists distinct suffixes.
+    """
+    names = spark.read.format("binaryFile").load(path).select("path")
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    found = {r[0] for r in names.select(suffix).distinct().limit(100).collect()}
+    if unknown := found - {*IMAGES, *PDF, "txt"}:
+        raise UnsupportedFile(f"unsupported files: {', '.join(sorted(unknown))}")
+    if not found:
+        raise UnsupportedFile(f"no files in {path}")
+    columns = [x.split()[0] for x in PAGE.split(", ")]
+    parts = []
+    if found & set(IMAGES):
+        parts.append(images(spark, path).select(*columns))
+    if found & set(PDF):
+        parts.append(pdf_pages(spark, path, reader).select(*columns))
+    if "txt" in found:
+        empty = {"image": "binary", "width": "int", "height": "int"}
+        parts.append(text_pages(spark, path).select("doc_id", "page_index", "embedded_text", *[F.lit(None).cast(t).alias(n) for n, t in empty.items()]))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def page_counts(pages: DataFrame) -> DataFrame:
+    """``doc_id, n_pages``."""
+    return pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+
+
+def block_texts(blocks: DataFrame) -> DataFrame:
+    """``doc_id, page_index, embedded_text`` out of the blocks of pages (``ord, kind, text``): text blocks (kind 0) that aren't blank, parted by
+    blank lines."""
+    bare = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    real = blocks.filter("kind = 0").withColumn("bare", bare).filter("bare <> ''")
+    return real.groupBy("doc_id", "page_index").agg(F.expr("listagg(bare, '\n\n') WITHIN GROUP (ORDER BY ord)").alias("embedded_text"))
+
+
 def text_layers(pages: DataFrame, least_share: float = 0.6) -> DataFrame:
     """``doc_id, has_text_layer``: whether enough of a document's pages carry text."""
     return pages.groupBy("doc_id").agg((F.avg(has_meaningful_text(F.col("embedded_text")).cast("double")) >= least_share).alias("has_text_layer"))
