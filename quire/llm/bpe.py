@@ -42,6 +42,8 @@ class SegmentTreeBpe:
         self.keys = np.fromiter(sorted(pairs), np.int64, len(pairs))
         self.found = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        first = self.byte
+        self.begin = self._rank(first[:, None], first[None])  # of each two bytes
         tokens = [b""] * size
         for token, rank in ranks.items():
             tokens[rank] = token
@@ -84,7 +86,7 @@ class SegmentTreeBpe:
         following = np.concatenate([following, np.full((n, 1), leaves)], axis=1)
         live = place < lengths[:, None]
         tree = np.full((n, 2 * leaves), _NONE)
-        rank = self._rank(ids[:, : leaves - 1], ids[:, 1:leaves])
+        rank = self.begin[raw[:, :-1], raw[:, 1:]]
         rank[place[1:] >= lengths[:, None]] = _NONE
         tree[:, leaves : 2 * leaves - 1] = np.where(rank < _NONE, rank * leaves + place[:-1], _NONE)
         for level in range(leaves.bit_length() - 2, -1, -1):
@@ -170,11 +172,11 @@ def load(path: str) -> tuple[SegmentTreeBpe, CachedEncoder]:
     cut = regex.compile(PATTERN.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
 
     def many(words: set[str], known: dict[str, bytes]) -> dict[str, bytes]:
+        plain = [x for x in words if x.isascii() and x.isalpha()]
+        out = dict(zip(plain, bpe.many([b" " + x.encode() for x in plain]), strict=True))
         made, pieces = [], set()
-        for x in words:
-            if x.isascii() and x.isalpha():
-                own = [" " + x]
-            elif m := _WORD.fullmatch(x):
+        for x in words.difference(out):
+            if m := _WORD.fullmatch(x):
                 line, stem, mark = m.groups()
                 own = [line, stem] if line else [" " + stem]
                 if mark:
@@ -183,16 +185,23 @@ def load(path: str) -> tuple[SegmentTreeBpe, CachedEncoder]:
                 own = cut(x if x[:1] == "\n" else " " + x)
             made.append((x, own))
             pieces.update(own)
-        for x in [x for x in pieces if x[:1] == " " and x[1:] in known]:  # a marked word whose stem is known
-            pieces.discard(x)
-        wanted = list(pieces)
-        ids = dict(zip(wanted, bpe.many([p.encode() for p in wanted]), strict=True))
-        out = {}
+        ids = {}
+        for p in pieces:  # of a marked word the stem may be known
+            if p[:1] == " " and (stem := out.get(p[1:]) or known.get(p[1:])):
+                ids[p] = stem
+        wanted = list(pieces.difference(ids))
+        ids |= zip(wanted, bpe.many([p.encode() for p in wanted]), strict=True)
         for x, own in made:
-            out[x] = b"".join([ids[p] if p in ids else known[p[1:]] for p in own])
+            out[x] = b"".join([ids[p] for p in own])
         return out
 
-    return bpe, CachedEncoder(lambda text: b"".join(bpe.many([p.encode() for p in cut(text)])), many)
+    def heads(texts: list[str]) -> list[bytes]:
+        own = [cut(x) for x in texts]
+        pieces = list({p for x in own for p in x})
+        ids = dict(zip(pieces, bpe.many([p.encode() for p in pieces]), strict=True))
+        return [b"".join([ids[p] for p in x]) for x in own]
+
+    return bpe, CachedEncoder(lambda text: heads([text])[0], many, heads)
 
 
 def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:

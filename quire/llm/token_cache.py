@@ -43,11 +43,12 @@ class CachedEncoder:
     """Encodes texts to little-endian uint32 bytes.
 
     ``one`` gives such bytes for a string, ``many`` for each of many parts as ``parts`` gives them; it may use, and add to, those known already.
-    Without it every text is encoded as a whole.
+    Without it every text is encoded as a whole. ``heads`` gives the bytes of the first parts of texts, together; without it ``one`` does.
     """
 
-    def __init__(self, one: Callable[[str], bytes], many: Callable[[set[str], dict[str, bytes]], dict[str, bytes]] | None):
+    def __init__(self, one: Callable[[str], bytes], many: Callable[[set[str], dict[str, bytes]], dict[str, bytes]] | None, heads: Callable[[list[str]], list[bytes]] | None = None):
         self.one, self.many, self.new = one, many, {}
+        self.heads = heads or (lambda texts: [one(t) for t in texts])
 
     def clear(self) -> None:
         self.new = {}
@@ -65,7 +66,9 @@ class CachedEncoder:
         missing = wanted.difference(new)
         new.update(self.many(missing, new))
         get = new.__getitem__
-        out = [self.one(p[0]) + b"".join(map(get, p[1:])) for p in cut]
+        first = list({p[0] for p in cut})
+        head = dict(zip(first, self.heads(first), strict=True))
+        out = [head[p[0]] + b"".join(map(get, p[1:])) for p in cut]
         for x in [x for x in missing if len(x) > LONGEST]:
             del new[x]
         return out
