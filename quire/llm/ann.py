@@ -13,13 +13,15 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import keep, new_path, store
+from quire.llm.common import keep, new_path
+from quire.llm.shard_files import read, there, written
 
 #: Vectors of a shard, and queries of a block, about; shards of a search task.
 SHARD, BLOCK, TOGETHER = 16_000, 256, 4
@@ -92,8 +94,8 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degre
     return out
 
 
-def build(x: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The graph of a shard's distinct vectors, and the nodes from which searches start: the medoid and some spread ones."""
+def build(x: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The graph of a shard's distinct vectors, nodes that it doesn't reach, and those from which searches start: the medoid and some spread ones."""
     n = len(x)
     rng = np.random.Generator(np.random.PCG64(seed))
     medoid = int(((x - x.mean(0)) ** 2).sum(1).argmin())
@@ -111,13 +113,14 @@ def build(x: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
             candidates[candidates == nodes[:, None]] = -1
             graph[nodes] = robust_prune(x, nodes, candidates, DEGREE, alpha)
             _reverse(x, graph, nodes, alpha)
-    return _connected(x, graph, starts), starts
+    return *_connected(x, graph, starts), starts
 
 
-def _connected(x: np.ndarray, graph: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The graph with further edges to nodes that no search could reach, from the nearest that it finds."""
+def _connected(x: np.ndarray, graph: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The graph with further edges to nodes that no search could reach, from the nearest that it finds; and the nodes for which
+    there was no room, which every search looks at."""
     graph = np.concatenate([graph, np.full((len(graph), RESCUE), -1)], 1)
-    for _ in range(4):
+    for tries in count():
         seen = np.zeros(len(graph), bool)
         front = starts
         while len(front):
@@ -126,8 +129,8 @@ def _connected(x: np.ndarray, graph: np.ndarray, starts: np.ndarray) -> np.ndarr
             front = front[(front >= 0)]
             front = front[~seen[front]]
         lost = np.flatnonzero(~seen)
-        if not len(lost):
-            break
+        if not len(lost) or tries == 4:
+            return graph, lost
         for a in range(0, len(lost), BATCH):
             found, _ = beam_search(x, graph, starts, x[lost[a : a + BATCH]], BUILD_BEAM)
             for node, near in zip(lost[a : a + BATCH].tolist(), found.tolist(), strict=True):
@@ -135,7 +138,6 @@ def _connected(x: np.ndarray, graph: np.ndarray, starts: np.ndarray) -> np.ndarr
                     if v >= 0 and v != node and (free := np.flatnonzero(graph[v] < 0)).size:
                         graph[v, free[-1]] = node
                         break
-    return graph
 
 
 def _reverse(x: np.ndarray, graph: np.ndarray, nodes: np.ndarray, alpha: float) -> None:
@@ -144,12 +146,12 @@ def _reverse(x: np.ndarray, graph: np.ndarray, nodes: np.ndarray, alpha: float)
     to, back = to[to >= 0], back[to >= 0]
     order = np.argsort(to, kind="stable")
     to, back = to[order], back[order]
-    ends, first, count = np.unique(to, return_index=True, return_counts=True)
-    place = np.arange(len(to)) - np.repeat(first, count)
-    new = np.full((len(ends), int(count.max()) if len(count) else 0), -1)
-    new[np.repeat(np.arange(len(ends)), count), place] = back
+    ends, first, many = np.unique(to, return_index=True, return_counts=True)
+    place = np.arange(len(to)) - np.repeat(first, many)
+    new = np.full((len(ends), int(many.max()) if len(many) else 0), -1)
+    new[np.repeat(np.arange(len(ends)), many), place] = back
     for a in range(0, len(ends), 512):
-        own, wide = ends[a : a + 512], int(count[a : a + 512].max())
+        own, wide = ends[a : a + 512], int(many[a : a + 512].max())
         graph[own] = robust_prune(x, own, np.concatenate([graph[own], new[a : a + 512, :wide]], 1), DEGREE, alpha)
 
 
@@ -185,9 +187,9 @@ def index(ids: np.ndarray, x: np.ndarray, k: int) -> bytes:
     with np.errstate(over="ignore"):
         small = x.astype(np.float32)
     x = small if (small == x).all() else x
-    graph, starts = build(_single(x, scale))
+    graph, lost, starts = build(_single(x, scale))
     out = io.BytesIO()
-    np.savez(out, x=x, graph=graph.astype(np.int32), starts=starts, ids=ids[held], begin=np.searchsorted(group[held], np.arange(len(first) + 1)), scale=scale)
+    np.savez(out, x=x, graph=graph.astype(np.int32), starts=starts, lost=lost, ids=ids[held], begin=np.searchsorted(group[held], np.arange(len(first) + 1)), scale=scale)
     return out.getvalue()
 
 
@@ -196,7 +198,7 @@ class Shard:
 
     def __init__(self, data: bytes):
         with np.load(io.BytesIO(data)) as z:
-            self.x, self.graph, self.starts, self.ids, self.begin, self.scale = (z[n] for n in ("x", "graph", "starts", "ids", "begin", "scale"))
+            self.x, self.graph, self.starts, self.lost, self.ids, self.begin, self.scale = (z[n] for n in ("x", "graph", "starts", "lost", "ids", "begin", "scale"))
         self.near = _single(self.x, float(self.scale))
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
@@ -206,36 +208,13 @@ class Shard:
             q = _single(queries[a : a + BATCH], float(self.scale))
             found, _ = beam_search(self.near, self.graph, self.starts, q, max(BEAM, 2 * k))
             for query_id, vector, nodes in zip(query_ids[a : a + BATCH].tolist(), queries[a : a + BATCH], found, strict=True):
-                nodes = nodes[nodes >= 0]
+                nodes = np.concatenate([nodes[nodes >= 0], self.lost])
                 score = exact(self.x[nodes].astype(np.float64), vector)
                 own = [(s, i) for s, n in zip(score.tolist(), nodes.tolist(), strict=True) for i in self.ids[self.begin[n] : self.begin[n + 1]].tolist() if i != query_id]
                 out.append(sorted(own)[:k])
         return out
 
 
-def _written(path: str, name: str, data: bytes) -> None:
-    """Writes a file that gets its name only when whole; a task that runs again writes the same."""
-    from pyspark import TaskContext
-
-    files, at = store(path)
-    files.create_dir(at, recursive=True)
-    draft = f"{at}/.draft-{TaskContext.get().taskAttemptId()}-{name}"
-    with files.open_output_stream(draft) as f:
-        f.write(data)
-    files.move(draft, f"{at}/{name}")
-
-
-def _there(path: str, name: str) -> bool:
-    files, at = store(path)
-    return files.get_file_info(f"{at}/{name}").is_file
-
-
-def _read(path: str, name: str) -> bytes:
-    files, at = store(path)
-    with files.open_input_stream(f"{at}/{name}") as f:
-        return f.read()
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query the k nearest found by Euclidean distance, ties to the smaller id, itself left out.
 
@@ -263,14 +242,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
 
     def build_shard(frame: pd.DataFrame) -> pd.DataFrame:
         d, part = int(frame["d"].iloc[0]), int(frame["part"].iloc[0])
-        _written(path, f"shard-{d}-{part}", index(frame["vec_id"].to_numpy(), np.stack(frame["embedding"].to_numpy()), k))
+        written(path, f"shard-{d}-{part}", index(frame["vec_id"].to_numpy(), np.stack(frame["embedding"].to_numpy()), k))
         return pd.DataFrame({"d": [d], "part": [part]})
 
     def write_block(frame: pd.DataFrame) -> pd.DataFrame:
         d, part = int(frame["d"].iloc[0]), int(frame["part"].iloc[0])
         out = io.BytesIO()
         np.savez(out, ids=frame["query_id"].to_numpy(), x=np.stack(frame["embedding"].to_numpy()))
-        _written(path, f"block-{d}-{part}", out.getvalue())
+        written(path, f"block-{d}-{part}", out.getvalue())
         return pd.DataFrame({"d": [d], "part": [part]})
 
     # each shard is a task of its own: little data but much work
@@ -291,11 +270,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for t in frame.itertuples():
-                held = [Shard(_read(path, f"shard-{t.d}-{s}")) for s in t.shards if _there(path, f"shard-{t.d}-{s}")]
+                held = [Shard(read(path, f"shard-{t.d}-{s}")) for s in t.shards if there(path, f"shard-{t.d}-{s}")]
                 for b in range(t.j, blocks[t.d], t.g):
-                    if not _there(path, f"block-{t.d}-{b}"):  # no query fell into it
+                    if not there(path, f"block-{t.d}-{b}"):  # no query fell into it
                         continue
-                    with np.load(io.BytesIO(_read(path, f"block-{t.d}-{b}"))) as z:
+                    with np.load(io.BytesIO(read(path, f"block-{t.d}-{b}"))) as z:
                         ids, x = z["ids"], z["x"]
                     found = [s.search(ids, x, k) for s in held]
                     best = [(q, i, score) for q, *own in zip(ids.tolist(), *found, strict=True) for score, i in sorted(set().union(*own))[:k]]
