@@ -7,12 +7,12 @@ probabilities. Document frequencies are counted over all documents that may be l
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ DIMENSIONS, LONGEST = 1 << 14, 3
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.05, 0.05, 3
 #: What a document gets that has no letter.
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Documents whose counts stand in memory at once.
 TOGETHER = 128
 
