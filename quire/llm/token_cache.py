@@ -25,7 +25,7 @@ _OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u
 #: A word of Latin letters, on which all versions of Unicode agree, perhaps after a line end, and marks behind it.
 _WORD = re.compile("(\n?)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-/:-@\\[-`{-~]*)")
 #: Parts in the cache from which on it is cleared, as it is at the end of a task. Memory stays bounded; results don't depend on it.
-LIMIT = 250_000
+LIMIT = 750_000
 #: Characters of texts that are encoded together, about; a longer text stands alone.
 TEXTS = 4_000_000
 #: Parts longer than this are encoded each time.
