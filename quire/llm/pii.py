@@ -10,7 +10,11 @@ the whole text that lie in no fixed form. Over the corpus, with probabilities as
 A term whose disclosure for any entity reaches ``GENERALISE`` becomes a span to be generalised, from ``REMOVE`` on one to be removed: at every place where it
 stands, in every document.
 All counts are of independent documents: documents count once for each least shingle hash, so copies change no count, and near copies
-of one text count as often as their least shingles differ. A pair is evidence only if it is met in ``SUPPORT`` of them.
+of one text count as often as their least shingles differ. A pair is evidence only if it is met in ``SUPPORT`` of them, and so often that chance hardly
+explains it: were term and entity independent, the probability of as many meetings (by Chernoff's bound), times the number of pairs that are compared,
+would stay below ``CHANCE``. So the more pairs a corpus has, the more support a pair needs.
+
+Of the fixed forms only e-mail addresses hold letters, so terms are the words of what e-mail addresses leave.
 
 Patterns are written so that Java's engine runs in linear time and without recursion on very long texts; they match what the plain
 forms ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)``, ``[0-9]([\\x20-]?[0-9])+`` and
@@ -19,11 +23,13 @@ forms ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, ``[0-9]+(\\.[0-9]+
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.arrays import bound
 from quire.llm.common import bit_map, fresh, keep
 
 PATTERNS = {
@@ -35,6 +41,12 @@ PATTERNS = {
 KINDS = (*PATTERNS, "general", "removed")
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
+#: Terms that chance alone may bring in, over all pairs.
+CHANCE = 0.01
+#: The terms' spans.
+ADDED = "uid long, doc_id long, start int, order int, end int, kind string, value string"
+#: Matches that one fold gathers.
+BLOCK = 128
 #: A term: a word of at least four letters.
 _TERM = r"\p{L}{4,}"
 #: Bits of the map of terms whose document frequency is wanted; a full map only lets more words through to the count.
@@ -42,8 +54,12 @@ MAP_BITS = 1 << 19
 
 
 def spans(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
-    """All matches (that are ``wanted``) as ``array<struct<start, end, value>>`` in code points: lengths of matches and of what lies between them add up."""
+    """All matches (that are ``wanted``) as ``array<struct<start, end, value>>`` in code points: lengths of matches and of what lies between them add up.
+
+    A fold copies what it has gathered at each step, so it goes over ``BLOCK`` matches only; a second one adds up the lengths of the blocks.
+    """
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    none = F.expr("cast(array() as array<struct<start: int, end: int, value: string>>)")
 
     def step(acc: Column, part: Column) -> Column:
         start = acc["at"] + F.length(part["between"])
@@ -52,8 +68,19 @@ def spans(text: Column, pattern: str, wanted: Callable[[Column], Column] | None
         more = F.struct(end.alias("at"), (F.when(wanted(part["found"]), out).otherwise(acc["out"]) if wanted else out).alias("out"))
         return F.when(part["found"].isNull(), acc).otherwise(more)  # the last part is followed by no match
 
-    none = F.expr("cast(array() as array<struct<start: int, end: int, value: string>>)")
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def block(own: Column) -> Column:
+        return F.aggregate(own, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def placed(blocks: Column) -> Column:
+        begins = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+        moved = lambda b, by: F.transform(b["out"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+        return bound(begins, lambda at: F.flatten(F.transform(blocks, lambda b, i: moved(b, F.get(at, i)))))
+
+    def blocks(all_: Column) -> Column:
+        first = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int"))
+        return bound(F.transform(first, lambda i: block(F.slice(all_, i * BLOCK + 1, BLOCK))), placed)
+
+    return bound(parts, lambda all_: F.when(F.size(all_) <= BLOCK, block(all_)["out"]).otherwise(blocks(all_)))
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -86,16 +113,12 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def blanked(text: Column, base: Column) -> Column:
-    """``text`` with a space for every character of the base spans, so that what is left keeps its place."""
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = text.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.concat(acc["out"], gap, F.repeat(F.lit(" "), s["end"] - F.greatest(s["start"], acc["at"])))
-        return F.when(s["end"] > acc["at"], F.struct(s["end"].alias("at"), out.alias("out"))).otherwise(acc)
-
-    done = F.aggregate(base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(base) > 0, F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))).otherwise(text)
+def without_addresses(text: Column) -> Column:
+    """``text`` with a space for every character of e-mail addresses, so that what is left keeps its place."""
+    pattern = PATTERNS["email"]
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    blank = F.transform(parts, lambda p: F.concat(p["between"], F.coalesce(F.repeat(F.lit(" "), F.length(p["found"])), F.lit(""))))
+    return F.when(F.contains(text, F.lit("@")), F.array_join(blank, "")).otherwise(text)
 
 
 def _words(text: Column | str) -> Column:
@@ -107,7 +130,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
 
     ``uid`` is a hash of the text: rows that share id and text share their terms' spans.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
 
     def least_shingle(w: Column) -> Column:
@@ -118,44 +141,68 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     uid = F.xxhash64("text").alias("uid")
     rows = source.select("doc_id", "text", uid, F.explode(F.array(base_spans(F.col("text")))).alias("base"))  # a generator is evaluated once
     has = F.size("base") > 0
-    entities = F.array_distinct(F.flatten(F.transform("base", lambda s: F.array(s["kind"], F.concat_ws(":", s["kind"], F.lower(s["value"]))))))
-    terms = F.array_distinct(_words(blanked(F.col("text"), F.col("base"))))
-    rows = rows.select("doc_id", "uid", "base", F.when(has, entities).alias("entities"), F.when(has, terms).alias("terms"), shingle.alias("print"))
+    values = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    forms = F.array_distinct(F.transform("base", lambda s: s["kind"]))
+    terms = F.array_distinct(_words(without_addresses(F.col("text"))))
+    rows = rows.select("doc_id", "uid", "base", F.when(has, forms).alias("forms"), F.when(has, values).alias("values"), F.when(has, terms).alias("terms"), shingle.alias("print"))
     rows = keep(rows.withColumn("row", F.monotonically_increasing_id()), "pii-base")
 
-    seen = rows.filter("entities is not null").select("row", "print", F.explode("entities").alias("entity"))
-    # an entity met in fewer independent documents can't have evidence
-    entities = seen.select("entity", "print").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= SUPPORT)
-    met = seen.join(entities, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_entity")).alias("met"))
-    pairs = rows.select("row", "print", "terms").join(met, "row").select("print", "met", F.explode("terms").alias("term"))
-    pairs = pairs.select("print", "term", F.explode("met").alias("m")).select("m.*", "term", "print")
-    apart = pairs.groupBy("entity", "n_entity", "term", "print").agg(F.count("*").alias("n"))
-    joint = apart.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_joint"))
-    # a term is at least as frequent as beside personal data of any kind, which bounds what it can tell
     prints = keep(rows.groupBy("print").agg(F.count("*").alias("n_rows")), "pii-prints")
     total = float(max(prints.count(), 1))
+    # only prints that may be shared are counted apart, so that all else is summed before it moves
+    shared = bit_map(prints.filter("n_rows > 1"), "print", MAP_BITS)
+
+    def independent(met: DataFrame, name: str, *keys: str) -> DataFrame:
+        """How many independent documents each key is met in; ``met`` has each key of a document once, and its print (or null, if it is alone)."""
+        apart = met.groupBy(*keys, "copy").agg(F.count("*").alias("n"))
+        return apart.groupBy(*keys).agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(F.lit(1).cast("long"))).alias(name))
+
+    copy = F.when(shared(F.col("print")), F.col("print")).alias("copy")
+    held = rows.filter("values is not null").select("row", copy, "forms", "values", "terms")
+    # terms and entities that are met in fewer independent documents can't have evidence; tables of these cut the plan, so that frequent ones can be split in joins
+    enough = lambda n: F.col(n) >= SUPPORT
+    beside = keep(independent(held.select("copy", F.explode("terms").alias("term")), "n_beside", "term").filter(enough("n_beside")), "pii-beside")
+    entities = keep(independent(held.select("copy", F.explode(F.concat("forms", "values")).alias("entity")), "n_entity", "entity").filter(enough("n_entity")), "pii-entities")
+    n_pairs = beside.count() * entities.count()
     ic = -F.log2(F.col("n_entity") / F.lit(total))
 
     def disclosure(n_term: Column) -> Column:
         return F.when(ic > 0, F.log2(F.col("n_joint") * F.lit(total) / (F.col("n_entity") * n_term)) / ic).otherwise(0.0)
 
-    beside = rows.filter("entities is not null").select("print", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
-    joint = joint.filter(F.col("n_joint") >= SUPPORT).join(beside, "term").filter(disclosure(F.col("n_beside")) >= GENERALISE).drop("n_beside")
-    joint = keep(joint, "pii-joint")
+    def telling(n_term: Column) -> Column:
+        """Whether a term of that frequency (a smaller one only makes it likelier) tells enough, and more than by chance."""
+        k, by_chance = F.col("n_joint"), F.col("n_entity") * n_term / F.lit(total)
+        rare = (k > by_chance) & (k * F.ln(k / by_chance) - k + by_chance >= math.log(max(n_pairs, 1) / CHANCE))
+        return (disclosure(n_term) >= GENERALISE) & rare
+
+    # the few forms go with all terms of a document; values only with those that are rare enough to tell of one: n_term <= n_entity (total / n_entity) ** (1 - GENERALISE)
+    supported = bit_map(beside, "term", MAP_BITS)
+    by_form = held.select("copy", F.explode("forms").alias("entity"), F.filter("terms", supported).alias("terms")).select("copy", "entity", F.explode("terms").alias("term"))
+    known = entities.filter(F.contains("entity", F.lit(":")))
+    most = known.agg(F.max(F.col("n_entity") * F.pow(F.lit(total) / F.col("n_entity"), 1 - GENERALISE))).first()[0] or 0.0
+    rare = bit_map(beside.filter(F.col("n_beside") <= most), "term", MAP_BITS)
+    met = held.select("row", F.explode("values").alias("entity")).join(known, "entity").groupBy("row").agg(F.collect_list("entity").alias("met"))
+    by_value = held.select("row", "copy", F.filter("terms", rare).alias("terms")).filter(F.size("terms") > 0).join(met, "row")
+    by_value = by_value.select("copy", "met", F.explode("terms").alias("term")).select("copy", F.explode("met").alias("entity"), "term")
+    joint = keep(independent(by_form.unionByName(by_value), "n_joint", "entity", "term").filter(enough("n_joint")), "pii-pairs")
+    # a term is at least as frequent as beside personal data of any kind, which bounds what it can tell
+    joint = keep(joint.join(entities, "entity").join(beside, "term").filter(telling(F.col("n_beside"))).drop("n_beside"), "pii-joint")
+    if joint.isEmpty():
+        return rows.select("uid", "doc_id", "base"), spark.createDataFrame([], ADDED)
 
     # document frequencies of the terms over the whole corpus: a map of fixed size thins the words before they are counted, then a join decides
     # (an inner one, which the optimiser leaves above the count)
     wanted = joint.select("term").distinct()
     may_be = bit_map(wanted, "term", MAP_BITS)
-    bare = source.select("doc_id", uid, shingle.alias("print"), F.explode(F.array(blanked(F.col("text"), base_spans(F.col("text"))))).alias("text"))
-    # only prints that may be shared are counted apart, so that the words of all other documents are summed before they move
-    shared = bit_map(prints.filter("n_rows > 1"), "print", MAP_BITS)
-    every = bare.select(F.when(shared(F.col("print")), F.col("print")).alias("copy"), F.explode(F.array_distinct(F.filter(_words("text"), may_be))).alias("term"))
-    once = every.groupBy("term", "copy").agg(F.count("*").alias("n")).withColumn("n", F.when(F.col("copy").isNull(), F.col("n")).otherwise(F.lit(1).cast("long")))
-    frequency = once.groupBy("term").agg(F.sum("n").alias("n_term")).join(wanted, "term")
-    told = joint.join(frequency, "term").withColumn("disclosure", disclosure(F.col("n_term"))).filter(F.col("disclosure") >= GENERALISE)
+    bare = source.select("doc_id", uid, F.col("text").alias("whole"), F.explode(F.array(without_addresses(F.col("text")))).alias("text"))
+    alike = bit_map(rows.filter(shared(F.col("print"))), "uid", MAP_BITS)  # texts whose print has to be worked out again
+    once = bare.select(F.when(alike(F.col("uid")), bound(F.split("whole", " "), least_shingle)).alias("copy"), F.explode(F.array(F.array_distinct(F.filter(_words("text"), may_be)))).alias("terms"))
+    frequency = independent(once.select("copy", F.explode("terms").alias("term")), "n_term", "term").join(wanted, "term")
+    told = joint.join(frequency, "term").withColumn("disclosure", disclosure(F.col("n_term"))).filter(telling(F.col("n_term")))
     kind = F.when(F.max("disclosure") >= REMOVE, "removed").otherwise("general")
     told = keep(told.groupBy(F.col("term").alias("value")).agg(kind.alias("kind")), "pii-told")
+    if told.isEmpty():
+        return rows.select("uid", "doc_id", "base"), spark.createDataFrame([], ADDED)
 
     # every occurrence of these terms, in all documents
     there = bit_map(told, "value", MAP_BITS)
