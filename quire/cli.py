@@ -14,6 +14,7 @@ from quire import config as settings
 from quire.operators import recognize, translators
 from quire.plans import books
 from quire.sources import files
+from quire.tables import is_local
 
 
 def parser() -> argparse.ArgumentParser:
@@ -49,6 +50,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             builder = SparkSession.builder.appName("quire")
             spark = (builder.master(f"local[{args.workers}]") if args.workers else builder).getOrCreate()
         out = config.export.output_dir
+        if not is_local(spark) and ("://" not in out or out.startswith("file:")):
+            raise ValueError(f"{out} is a folder of one machine: on a cluster the output must be a shared one, with its scheme")
         out = out if "://" in out else "file://" + os.path.abspath(out)
         blocks = books.processed(files.pages(spark, args.input), config)
         names = books.export(blocks, f"{out}/.blocks", out, config, lambda stage, at, of: print(f"[{stage}] {at}/{of}"))

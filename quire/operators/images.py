@@ -5,6 +5,7 @@ Images are two-dimensional arrays of grey values, ink dark. Each kernel is a fun
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 
 from quire.config import ImageConfig
 
+log = logging.getLogger(__name__)
 
 # Fixed values of the adaptive threshold.
 ADAPTIVE_WINDOW, ADAPTIVE_MARGIN = 31, 15
@@ -342,7 +344,7 @@ def bottom_cut(image: np.ndarray, zone: float = 0.35) -> int:
 
 
 def prepared(image: np.ndarray, config: ImageConfig) -> np.ndarray:
-    """The steps in their fixed order; a step that fails leaves the image as it is."""
+    """The steps in their fixed order; a step that fails leaves the image as it is, and a line in the log."""
     image = cap_dimension(to_gray(image), config.max_dimension_px)
     steps = [deskew] * config.deskew + [denoise] * config.denoise + [enhance_contrast] * config.enhance_contrast + [remove_black_borders] * config.remove_borders
     steps += [crop_margins] * config.crop_margins + [lambda x: binarize(x, config.binarization)]
@@ -350,7 +352,7 @@ def prepared(image: np.ndarray, config: ImageConfig) -> np.ndarray:
         try:
             image = step(image)
         except (ValueError, IndexError):
-            continue
+            log.warning("step %s failed, the image stays as it is", getattr(step, "__name__", step), exc_info=True)
     return image
 
 

@@ -30,7 +30,10 @@ def newest(jobs: DataFrame, n: int = 100, created: str = "ts", tie: str = "job_i
     return jobs.orderBy(F.desc(created), F.desc(tie)).limit(n)
 
 
-def older_than(jobs: DataFrame, cutoff: datetime | str, created: str = "ts") -> DataFrame:
+def older_than(jobs: DataFrame, cutoff: datetime | str, created: str = "ts", among: int | None = None, tie: str = "job_id") -> DataFrame:
+    """Jobs created before the cutoff; ``among``: of the newest so many only, as a cleaning run looks at."""
+    if among is not None:
+        jobs = newest(jobs, among, created, tie)
     return jobs.filter(F.col(created) < F.lit(str(cutoff)).cast("timestamp_ntz"))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import render
+from quire.sources import files
+from quire.tables import ranked
 
 #: Word styles of block types (fixed values).
 STYLES = {"title": "Title", "heading": "Heading1", "quote": "IntenseQuote", "list_item": "ListBullet"}
@@ -128,8 +130,25 @@ def to_epub(blocks: DataFrame, titles: DataFrame, lang: str = "es") -> DataFrame
     return held.select("doc_id", "title", "chapters").mapInPandas(one, f"doc_id {blocks.schema['doc_id'].dataType.simpleString()}, content binary")
 
 
-def write_files(rendered: DataFrame, path: str, extension: str) -> DataFrame:
-    """Writes each document's content to ``path/<doc_id>.<extension>`` from the tasks; a file appears only when whole. Returns the names."""
+def file_names(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, name`` of every document: the stem of its path, made unique.
+
+    Of documents that share a stem the first by id has it alone, the next ones are called ``stem~2``, ``stem~3``. A stem that ends like that itself always gets a
+    number, so that no two names meet. A stem that most documents share is ranked in chunks, see ``tables.ranked``.
+    """
+    rows = docs.select(id_col).distinct().withColumn("stem", files.stem(F.col(id_col).cast("string")))
+    plain = (F.col("rank") == 1) & ~F.col("stem").rlike("~[0-9]+$")
+    named = F.when(plain, F.col("stem")).otherwise(F.concat_ws("~", "stem", F.col("rank").cast("string")))
+    return ranked(rows, ["stem"], [id_col], "rank").select(id_col, named.alias("name"))
+
+
+MANIFEST = "format string, name string, bytes long, sha256 string"
+
+
+def write_files(rendered: DataFrame, path: str, format_: str, extension: str) -> DataFrame:
+    """Writes each row's ``content`` to ``path/<name>.<extension>`` from the tasks; a file appears only when whole. Gives ``doc_id`` and ``MANIFEST``, a row a file,
+    once the files are there: write it to make it happen. A task that runs again writes the same files."""
+    kind = rendered.schema["doc_id"].dataType.simpleString()
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         from pyarrow import fs
@@ -138,14 +157,14 @@ def write_files(rendered: DataFrame, path: str, extension: str) -> DataFrame:
         store, at = fs.FileSystem.from_uri(path)
         store.create_dir(at, recursive=True)
         for frame in frames:
-            names = []
-            for doc_id, content in zip(frame["doc_id"], frame["content"], strict=True):
-                name = f"{str(doc_id).replace('/', '_')}.{extension}"
+            rows = []
+            for doc_id, own, content in zip(frame["doc_id"], frame["name"], frame["content"], strict=True):
+                name, data = f"{own}.{extension}", content if isinstance(content, bytes) else content.encode()
                 draft = f"{at}/.{name}.{TaskContext.get().taskAttemptId()}"
                 with store.open_output_stream(draft) as out:
-                    out.write(content if isinstance(content, bytes) else content.encode())
+                    out.write(data)
                 store.move(draft, f"{at}/{name}")
-                names.append(name)
-            yield pd.DataFrame({"name": names})
+                rows.append((doc_id, format_, name, len(data), hashlib.sha256(data).hexdigest()))
+            yield pd.DataFrame(rows, columns=["doc_id", *[c.split()[0] for c in MANIFEST.split(", ")]])
 
-    return rendered.select("doc_id", "content").mapInPandas(run, "name string")
+    return rendered.select("doc_id", "name", "content").mapInPandas(run, f"doc_id {kind}, {MANIFEST}")

@@ -69,9 +69,15 @@ class Tesseract(Engine):
     def recognize(self, image: np.ndarray, config: OcrConfig) -> list[Word]:
         import pytesseract
 
-        found = pytesseract.image_to_data(image, lang="+".join(config.languages), config=f"--psm {config.psm} --oem {config.oem}", output_type=pytesseract.Output.DATAFRAME)
-        found = found[found["text"].notna()]
-        return [Word(str(r.text), r.left, r.top, r.width, r.height, float(r.conf), r.block_num, r.par_num, r.line_num) for r in found.itertuples()]
+        found = pytesseract.image_to_data(image, lang="+".join(config.languages), config=f"--psm {config.psm} --oem {config.oem}", output_type=pytesseract.Output.DICT)
+        return table_words(found)
+
+
+def table_words(found: dict[str, list]) -> list[Word]:
+    """Words out of columns by name (text, conf, left, top, ...), as recognition programs list them: texts as they are, whatever they look like, without the
+    white space around them; rows without a text, or for a box and not a word (a negative confidence), go."""
+    rows = zip(*(found[n] for n in ("text", "left", "top", "width", "height", "conf", "block_num", "par_num", "line_num")), strict=True)
+    return [Word(text.strip(), *map(int, box), float(conf), *map(int, nums)) for text, *box, conf, b, p, l in rows for nums in [(b, p, l)] if text.strip() and float(conf) >= 0]  # noqa: E741
 
 
 ENGINES: dict[str, Callable[[], Engine]] = {"tesseract": Tesseract}

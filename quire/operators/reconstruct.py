@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions.arrays import bound
 from quire.operators.layout import BLOCK, PAGE
+from quire.tables import kept
 
 # Fixed thresholds.
 GAP, CHAR, INDENT, QUOTE = 1.6, 0.55, 1.8, 1.8
@@ -110,17 +111,51 @@ def page_blocks(regions: DataFrame) -> DataFrame:
     )
 
 
+_REST = ["level", "list_ordered", "footnote_marker", "first_line_indent"]
+
+
+def page_rows(blocks: DataFrame) -> DataFrame:
+    """A row a page: its blocks as the array ``held``, with paragraphs joined that go on within the page; ``n`` of them; whether the first could go on
+    one before (``joins``) and whether the last is a paragraph that ends no sentence (``open``). All in the partitioning of pages."""
+    order = Window.partitionBy(*PAGE).orderBy("reading_order", "para")
+    b = blocks.withColumn("ends", T.ends_sentence(plain("runs")))
+    goes_on = (c("type") == "paragraph") & (F.lag("type").over(order) == "paragraph") & ~F.lag("ends").over(order)
+    b = b.withColumn("starts", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("local", F.sum("starts").over(order))
+    at = F.struct("reading_order", "para")
+    parts = F.sort_array(F.collect_list(F.struct("reading_order", "para", "runs")))
+    first = F.min_by(F.struct("type", *_REST), at)
+    whole = b.groupBy(*PAGE, "local").agg(first.alias("f"), continued(F.transform(parts, lambda p: p["runs"])).alias("runs"), F.max_by("ends", at).alias("ends"))
+    held = whole.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("local", "f.type", "runs", "ends", *[f"f.{n}" for n in _REST]))).alias("held"))
+    last = F.element_at("held", -1)
+    return held.select(*PAGE, "held", F.size("held").cast("long").alias("n"), (F.get("held", F.lit(0))["type"] == "paragraph").alias("joins"), ((last["type"] == "paragraph") & ~last["ends"]).alias("open"))
+
+
+def numbered_pages(pages: DataFrame) -> DataFrame:
+    """``doc_id, page_index, before, joined, goes_on`` of ``page_rows``: blocks of the document before the page's first, whether the first goes on the last one
+    of the page before, and whether the last goes on on the next page. The scan over a book sees a narrow row a page, and no text."""
+    order = Window.partitionBy("doc_id").orderBy("page_index")
+    flags = pages.select(*PAGE, "n", (c("joins") & F.coalesce(F.lag("open").over(order), F.lit(False))).alias("joined"), (c("open") & F.coalesce(F.lead("joins").over(order), F.lit(False))).alias("goes_on"))
+    new = c("n") - c("joined").cast("long")
+    return flags.select(*PAGE, F.coalesce(F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"), "joined", "goes_on")
+
+
 def merge_paragraphs(blocks: DataFrame) -> DataFrame:
-    """Joins a paragraph to the one before it, across columns and pages, if that one doesn't end a sentence; numbers the blocks."""
-    order = Window.partitionBy("doc_id").orderBy("page_index", "reading_order", "para")
-    b = blocks.withColumn("before", F.lag("type").over(order)).withColumn("before_text", F.lag(plain("runs")).over(order))
-    goes_on = (c("type") == "paragraph") & (c("before") == "paragraph") & ~T.ends_sentence(c("before_text"))
-    b = b.withColumn("opens", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("block_ordinal", F.sum("opens").over(order) - 1)
-    parts = F.sort_array(F.collect_list(F.struct("page_index", "reading_order", "para", "runs")))
-    whole = continued(F.transform(parts, lambda p: p["runs"]))
-    first = F.min_by(F.struct("page_index", "level", "list_ordered", "footnote_marker", "first_line_indent"), F.struct("page_index", "reading_order", "para"))
-    made = b.groupBy("doc_id", "block_ordinal").agg(F.first("type").alias("type"), whole.alias("runs"), first.alias("f"))
-    return made.select("doc_id", c("block_ordinal").cast("long").alias("block_ordinal"), "type", "runs", "f.level", "f.list_ordered", "f.footnote_marker", "f.first_line_indent", c("f.page_index").alias("source_page"))
+    """Joins a paragraph to the one before it, across columns and pages, if that one doesn't end a sentence; numbers the blocks.
+
+    Pages are joined within themselves and kept as a table; a scan over their flags numbers them. Then only paragraphs at the borders of pages that do go on move once
+    more; all other blocks stay where they are. So no task holds more of a book than a paragraph or a narrow row for each of its pages.
+    """
+    pages = kept(page_rows(blocks), "pages")
+    met = pages.join(kept(numbered_pages(pages), "page-numbers"), list(PAGE))
+    rows = met.select(*PAGE, "before", "joined", "goes_on", "n", F.posexplode("held").alias("at", "b"))
+    edge = ((c("at") == 0) & c("joined")) | ((c("at") == c("n") - 1) & c("goes_on"))
+    rows = rows.select("doc_id", (c("before") + c("at") - c("joined").cast("long")).alias("block_ordinal"), "page_index", "b.type", "b.runs", *[f"b.{n}" for n in _REST], edge.alias("edge"))
+    columns = ["doc_id", "block_ordinal", "type", "runs", *_REST, "source_page"]
+    inner = rows.filter(~c("edge")).withColumn("source_page", c("page_index")).select(*columns)
+    parts = F.sort_array(F.collect_list(F.struct("page_index", "runs")))
+    first = F.min_by(F.struct(*_REST, "page_index"), "page_index")
+    outer = rows.filter("edge").groupBy("doc_id", "block_ordinal").agg(F.first("type").alias("type"), continued(F.transform(parts, lambda p: p["runs"])).alias("runs"), first.alias("f"))
+    return inner.unionByName(outer.select("doc_id", "block_ordinal", "type", "runs", *[f"f.{n}" for n in _REST], c("f.page_index").alias("source_page")))
 
 
 def title() -> Column:

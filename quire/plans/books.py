@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from quire.errors import Cancelled, EngineNotAvailable, UnsupportedFile
 from quire.functions.text import blank_line_paragraphs
 from quire.operators import images, layout, packages, reconstruct, recognize, render, translators
 from quire.sources import files
+from quire.tables import kept, path_of
 
 #: Suffixes of formats.
 SUFFIXES = {"txt": "txt", "markdown": "md", "html": "html", "docx": "docx", "epub": "epub"}
@@ -24,9 +26,13 @@ def from_words(words: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def from_images(pages: DataFrame, config: Config = Config(), make: Callable[[], recognize.Engine] | None = None) -> DataFrame:
-    """Blocks out of page images: prepared, recognised by the engine, words bold by their strokes; each page by its own size."""
+    """Blocks out of page images: prepared, recognised by the engine, words bold by their strokes; each page by its own size.
+
+    Pages are worked on where they are: ``files.placed`` spreads those of one book over all tasks.
+    """
     prepared = images.prepare(pages, config.image).select("doc_id", "page_index", "image", "width", "height")
-    words = recognize.words(prepared, config, make)
+    # words below the confidence count for nothing, not even for the stroke that is usual in their block
+    words = layout.confident(recognize.words(prepared, config, make), config.ocr.min_confidence)
     if config.ocr.detect_bold_italic:
         words = layout.bold_words(words).withColumn("is_bold", F.col("is_bold") | F.col("bold_by_stroke")).drop("bold_by_stroke")
     return from_words(words, config)
@@ -45,9 +51,10 @@ def from_text_layer(pages: DataFrame) -> DataFrame:
 
 def processed(pages: DataFrame, config: Config = Config(), make: Callable[[], recognize.Engine] | None = None, translator: translators.Chat | translators.Direct | None = None) -> DataFrame:
     """Blocks of all documents: those with a text layer from it, others from their images; translated if the settings say so."""
-    known = pages.join(files.text_layers(pages), "doc_id")
-    read = from_text_layer(known.filter("has_text_layer"))
-    seen = from_images(known.filter("not has_text_layer"), config, make)
+    if config.translation.enabled and translator is None and translators.engine_for(config.translation) is None:
+        raise EngineNotAvailable("translation is switched on, but no engine is named")
+    texts, scans = files.routed(pages)
+    read, seen = from_text_layer(texts), from_images(scans, config, make)
     blocks = read.unionByName(seen.withColumn("source_page", F.col("source_page").cast("long")))
     return translators.translated(blocks, config.translation, translator) if config.translation.enabled else blocks
 
@@ -68,12 +75,24 @@ def exported(blocks: DataFrame, format_: str, lang: str = "es") -> DataFrame:
 Progress = Callable[[str, int, int], None]
 
 
-def export(blocks: DataFrame, store: str, out: str, config: Config = Config(), progress: Progress = lambda stage, at, of: None, cancelled: Callable[[], bool] = lambda: False) -> list[str]:
-    """Writes every document in every format to ``out``; returns a name a file, of which there are documents times formats.
+class Written:
+    """What an export has written: ``table`` has ``doc_id`` and ``packages.MANIFEST``, a row a file. Going through it gives the files' names, one partition after another."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def __iter__(self) -> Iterator[str]:
+        return (r["name"] for r in self.table.select("name").toLocalIterator())
+
+
+def export(blocks: DataFrame, store: str, out: str, config: Config = Config(), progress: Progress = lambda stage, at, of: None, cancelled: Callable[[], bool] = lambda: False) -> Written:
+    """Writes every document in every format to ``out``, under the names of ``packages.file_names``.
 
     Blocks are worked out once, into the table ``store`` (a shared folder), and each format reads them from there. Between formats the
-    job reports where it is and stops if it has been cancelled.
+    job reports where it is and stops if it has been cancelled. Tasks note name, size and checksum of each file; these rows become the table ``out/manifest`` by a
+    rename at the very end, so a manifest stands for a whole export. That of an earlier export goes before the first file is written.
     """
+    spark = blocks.sparkSession
 
     def stop() -> None:
         if cancelled():
@@ -82,11 +101,17 @@ def export(blocks: DataFrame, store: str, out: str, config: Config = Config(), p
     stop()
     blocks.write.mode("overwrite").parquet(store)
     progress("reconstruction", 1, 1)
-    held, names = blocks.sparkSession.read.parquet(store), []
+    held = spark.read.parquet(store)
+    names = kept(packages.file_names(held), "names")
     lang = config.translation.target_language if config.translation.enabled else "es"
+    manifest, store_ = path_of(spark, f"{out}/manifest")
+    draft, _ = path_of(spark, f"{out}/.manifest-{uuid.uuid4().hex[:12]}")
+    store_.delete(manifest, True)
     for i, format_ in enumerate(config.export.formats):
         stop()
-        rendered = exported(held, format_, lang).withColumn("doc_id", files.stem(F.col("doc_id").cast("string")))
-        names += [r.name for r in packages.write_files(rendered, out, SUFFIXES[format_]).collect()]
+        rendered = exported(held, format_, lang).join(names, "doc_id")
+        packages.write_files(rendered, out, format_, SUFFIXES[format_]).write.mode("append").parquet(draft.toString())
         progress("export", i + 1, len(config.export.formats))
-    return names
+    if not store_.rename(draft, manifest):
+        raise OSError(f"the manifest can't be moved to {manifest.toString()}")
+    return Written(spark.read.parquet(manifest.toString()))

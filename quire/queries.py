@@ -176,7 +176,7 @@ def _text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def translation_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return translate.batches(_text_blocks(spark, sf_dir)).select("doc_id", "block_ordinal", "batch_id", "local_i")
+    return translate.numbered(_text_blocks(spark, sf_dir))
 
 
 def translation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

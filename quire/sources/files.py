@@ -132,3 +132,21 @@ def block_texts(blocks: DataFrame) -> DataFrame:
 def text_layers(pages: DataFrame, least_share: float = 0.6) -> DataFrame:
     """``doc_id, has_text_layer``: whether enough of a document's pages carry text."""
     return pages.groupBy("doc_id").agg((F.avg(has_meaningful_text(F.col("embedded_text")).cast("double")) >= least_share).alias("has_text_layer"))
+
+
+def placed(pages: DataFrame) -> DataFrame:
+    """Pages hashed by document and page into as many tasks as the session shuffles into, however few bytes they have: what comes next takes long for each."""
+    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "page_index")
+
+
+def routed(pages: DataFrame, least_share: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """Pages of documents that have a text layer, without their pixels, and those of the others, ``placed``.
+
+    Which is decided on ids and a flag alone. Pixels meet the decision page by page, never by their document, whose pages would gather in one task; they cross the
+    network once.
+    """
+    flags = pages.select("doc_id", "page_index", has_meaningful_text(F.col("embedded_text")).cast("double").alias("has_text"))
+    layered = flags.groupBy("doc_id").agg((F.avg("has_text") >= least_share).alias("has_text_layer"))
+    texts = pages.withColumn("image", F.lit(None).cast("binary")).join(layered.filter("has_text_layer"), "doc_id", "left_semi")
+    scanned = flags.join(layered.filter("not has_text_layer"), "doc_id", "left_semi").select("doc_id", "page_index").distinct()
+    return texts, placed(pages).join(scanned, ["doc_id", "page_index"], "left_semi")
