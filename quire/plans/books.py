@@ -28,7 +28,7 @@ def from_words(words: DataFrame, config: Config = Config()) -> DataFrame:
 def from_images(pages: DataFrame, config: Config = Config(), make: Callable[[], recognize.Engine] | None = None) -> DataFrame:
     """Blocks out of page images: prepared, recognised by the engine, words bold by their strokes; each page by its own size.
 
-    Pages are worked on where they are: ``files.placed`` spreads those of one book over all tasks.
+    Pages are worked on where they are: ``files.routed`` spreads those of one book over all tasks.
     """
     prepared = images.prepare(pages, config.image).select("doc_id", "page_index", "image", "width", "height")
     # words below the confidence count for nothing, not even for the stroke that is usual in their block

@@ -6,11 +6,12 @@ import struct
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.errors import EngineNotAvailable, UnsupportedFile
 from quire.functions.text import has_meaningful_text
+from quire.sources import frames as page_frames
 
 IMAGES, PDF = ("jpg", "jpeg", "png", "bmp", "tif", "tiff"), ("pdf",)
 PAGE = "doc_id string, page_index int, embedded_text string, image binary, width int, height int"
@@ -40,34 +41,49 @@ def frames(content: bytes) -> int:
     return len(seen)
 
 
-def images(spark: SparkSession, path: str) -> DataFrame:
-    """One page an image, with its pixels as blue, green, red bytes; ``doc_id`` is the path, so files of one name stay apart.
+def framed(spark: SparkSession, path: str, dpi: int = 300, pixels: bool = True) -> DataFrame:
+    """``frames.SCHEMA`` of image and text files: a row a frame. Without ``pixels`` only headers are read, which is what page counts need."""
+    page_frames.register(spark)
+    return spark.read.format("book_pages").option("dpi", dpi).option("pixels", str(pixels).lower()).load(path)
 
-    Spark's decoder reads the first frame only, so a TIFF with more stops the call with an error, as a file that can't be decoded
-    stops the job.
-    """
 
-    def counted(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for b in batches:
-            own = pd.DataFrame({"path": b["path"], "n": [frames(x) for x in b["content"]]})
-            yield own[own["n"] > 1]
+def images(spark: SparkSession, path: str, dpi: int = 300) -> DataFrame:
+    """One page a frame, with its pixels as blue, green, red bytes; ``doc_id`` is the path, so files of one name stay apart.
 
-    tiff = spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").load(path).select("path", "content")
-    if many := tiff.mapInPandas(counted, "path string, n int").first():
-        raise UnsupportedFile(f"{many['path']} has {many['n']} frames; part it into single images")
-    globs = "*.{" + ",".join(IMAGES + tuple(x.upper() for x in IMAGES)) + "}"
-    read = spark.read.format("image").option("pathGlobFilter", globs).load(path).select("image.*")
+    Frames of TIFF files are read by the format of ``frames``, a task each; others by Spark's decoder. A file that can't be decoded stops the job.
+    """
+    suffixes = {x for x in page_frames.OTHER for x in (x, x.upper())}
+    read = spark.read.format("image").option("pathGlobFilter", "*.{" + ",".join(sorted(suffixes)) + "}").load(path).select("image.*")
     bad = F.raise_error(F.concat(F.lit("not an image: "), F.col("origin"))).cast("string")
-    return read.select(F.when(F.col("height") < 1, bad).otherwise(F.col("origin")).alias("doc_id"), F.lit(0).alias("page_index"), F.lit(None).cast("string").alias("embedded_text"), F.col("data").alias("image"), "width", "height")
+    rows = read.select(F.when(F.col("height") < 1, bad).otherwise(F.col("origin")).alias("doc_id"), F.lit(0).alias("page_index"), F.lit(None).cast("string").alias("embedded_text"), F.col("data").alias("image"), "width", "height")
+    if not any(page_frames.suffix_of(p) in page_frames.TIFF for p in suffix_paths(spark, path)):
+        return rows
+    page_frames.planned(path, page_frames.TIFF)  # says here and now what no image is
+    tiff = framed(spark, path, dpi).filter("image is not null")
+    return rows.unionByName(tiff.select(*rows.columns))
+
+
+def suffix_paths(spark: SparkSession, path: str) -> list[str]:
+    """One path for each suffix below a path: only names are read, and there are as many rows as suffixes."""
+    names = spark.read.format("binaryFile").load(path).select("path")
+    return [r[0] for r in names.groupBy(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).agg(F.min("path")).select("min(path)").limit(100).collect()]
 
 
 def uploads(spark: SparkSession, path: str, max_mb: int = 300) -> DataFrame:
-    """Files of a folder that may be taken: known kinds, not empty, not too large. Only names and sizes are read."""
+    """Files of a folder that may be taken: known kinds, not empty, not too large. Only names and sizes are read; see ``with_page_counts``."""
     rows = spark.read.format("binaryFile").load(path).select("path", "length")
     known = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*IMAGES, *PDF)
     return rows.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1)).withColumn("accepted", known & (F.col("length") > 0) & (F.col("length") <= max_mb * 1024 * 1024))
 
 
+def with_page_counts(spark: SparkSession, files: DataFrame, path: str, reader: Callable[[bytes], Iterable[tuple[str | None, bytes | None, int, int]]] | None = None) -> DataFrame:
+    """``uploads`` with ``n_pages``: of PDF files by the reader, null for other kinds and where there is no reader. Files meet their counts by path."""
+    if reader is None:
+        return files.withColumn("n_pages", F.lit(None).cast("long"))
+    counts = page_counts(pdf_pages(spark, path, reader).select("doc_id")).withColumnRenamed("doc_id", "path")
+    return files.join(counts, "path", "left")
+
+
 def pdf_pages(spark: SparkSession, path: str, reader: Callable[[bytes], Iterable[tuple[str | None, bytes | None, int, int]]] | None = None) -> DataFrame:
     """Pages of PDF files by ``reader`` (bytes to text, image, width, height of each page); without one there is no engine."""
     if reader is None:
@@ -89,14 +105,12 @@ def text_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.select("doc_id", F.posexplode(F.split("text", "\f")).alias("page_index", "embedded_text"))
 
 
-def pages(spark: SparkSession, path: str, reader: Callable[[bytes], Iterable[tuple[str | None, bytes | None, int, int]]] | None = None) -> DataFrame:
+def pages(spark: SparkSession, path: str, reader: Callable[[bytes], Iterable[tuple[str | None, bytes | None, int, int]]] | None = None, dpi: int = 300) -> DataFrame:
     """``PAGE`` columns of a file, or of all files of a folder: images, PDF by the reader, plain text (txt). Other files stop the job.
 
     Only names are read to find the kinds; one job lists distinct suffixes.
     """
-    names = spark.read.format("binaryFile").load(path).select("path")
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    found = {r[0] for r in names.select(suffix).distinct().limit(100).collect()}
+    found = {page_frames.suffix_of(p) for p in suffix_paths(spark, path)}
     if unknown := found - {*IMAGES, *PDF, "txt"}:
         raise UnsupportedFile(f"unsupported files: {', '.join(sorted(unknown))}")
     if not found:
@@ -104,7 +118,7 @@ def pages(spark: SparkSession, path: str, reader: Callable[[bytes], Iterable[tup
     columns = [x.split()[0] for x in PAGE.split(", ")]
     parts = []
     if found & set(IMAGES):
-        parts.append(images(spark, path).select(*columns))
+        parts.append(images(spark, path, dpi).select(*columns))
     if found & set(PDF):
         parts.append(pdf_pages(spark, path, reader).select(*columns))
     if "txt" in found:
@@ -134,19 +148,18 @@ def text_layers(pages: DataFrame, least_share: float = 0.6) -> DataFrame:
     return pages.groupBy("doc_id").agg((F.avg(has_meaningful_text(F.col("embedded_text")).cast("double")) >= least_share).alias("has_text_layer"))
 
 
-def placed(pages: DataFrame) -> DataFrame:
-    """Pages hashed by document and page into as many tasks as the session shuffles into, however few bytes they have: what comes next takes long for each."""
-    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "page_index")
-
-
 def routed(pages: DataFrame, least_share: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """Pages of documents that have a text layer, without their pixels, and those of the others, ``placed``.
+    """Pages of documents that have a text layer, without their pixels, and those of the others.
 
     Which is decided on ids and a flag alone. Pixels meet the decision page by page, never by their document, whose pages would gather in one task; they cross the
-    network once.
+    network once, into as many tasks as the session shuffles into, however few bytes they have: what comes next takes long for each page. (A join would leave its planner
+    free to move them by other keys, or not at all.)
     """
     flags = pages.select("doc_id", "page_index", has_meaningful_text(F.col("embedded_text")).cast("double").alias("has_text"))
     layered = flags.groupBy("doc_id").agg((F.avg("has_text") >= least_share).alias("has_text_layer"))
     texts = pages.withColumn("image", F.lit(None).cast("binary")).join(layered.filter("has_text_layer"), "doc_id", "left_semi")
     scanned = flags.join(layered.filter("not has_text_layer"), "doc_id", "left_semi").select("doc_id", "page_index").distinct()
-    return texts, placed(pages).join(scanned, ["doc_id", "page_index"], "left_semi")
+    both = pages.withColumn("__mark", F.lit(False)).unionByName(scanned.withColumn("__mark", F.lit(True)), allowMissingColumns=True)
+    spread = both.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "page_index")
+    wanted = spread.withColumn("__wanted", F.max("__mark").over(Window.partitionBy("doc_id", "page_index")))
+    return texts, wanted.filter("__wanted and not __mark").drop("__mark", "__wanted")
