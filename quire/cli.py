@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if not is_local(spark) and ("://" not in out or out.startswith("file:")):
             raise ValueError(f"{out} is a folder of one machine: on a cluster the output must be a shared one, with its scheme")
         out = out if "://" in out else "file://" + os.path.abspath(out)
-        blocks = books.processed(files.pages(spark, args.input, dpi=config.image.target_dpi), config)
+        blocks = books.processed(files.pages(spark, args.input, dpi=config.image.target_dpi), config, replies=f"{out}/.replies")
         names = books.export(blocks, f"{out}/.blocks", out, config, lambda stage, at, of: print(f"[{stage}] {at}/{of}"))
     except Exception as error:
         print(f"Error: {error}", file=sys.stderr)

@@ -15,3 +15,7 @@ class EngineNotAvailable(QuireError):
 
 class Cancelled(QuireError):
     """The job was cancelled."""
+
+
+class Conflict(QuireError):
+    """Another writer was first."""

@@ -40,3 +40,12 @@ def older_than(jobs: DataFrame, cutoff: datetime | str, created: str = "ts", amo
 def with_formats(jobs: DataFrame, column: str = "output_formats_json") -> DataFrame:
     """The JSON list of formats as an array."""
     return jobs.withColumn("output_formats", F.from_json(column, "array<string>")).drop(column)
+
+
+def compacted(log: DataFrame, before: int | None = None, key: str = "job_id", order: str = "seq") -> DataFrame:
+    """A snapshot: the last row of every job. Tombstones stay until the next compaction, so that a reader who joins an older snapshot to newer changes isn't misled:
+    those of versions up to ``before``, which an earlier snapshot has held, go."""
+    others = [c for c in log.columns if c != key]
+    last = log.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("__last")).select(key, "__last.*").select(*log.columns)
+    gone = F.coalesce("deleted", F.lit(False)) & (F.col(order) <= F.lit(before if before is not None else 0))
+    return last.filter(~gone) if "deleted" in log.columns else last

@@ -15,15 +15,14 @@ from pyspark.sql import functions as F
 
 from quire.config import TranslationConfig
 from quire.errors import EngineNotAvailable
-from quire.operators import reconstruct, translate
+from quire.operators import reconstruct, replies, translate
 
 c = F.col
 log = logging.getLogger(__name__)
 
 SYSTEM = (
-    "You translate books block by block. Each block stands between <<<BLOCK_i>>> and <<<END_i>>>; answer with the same marks, numbers and order and "
-    "nothing outside of them. Never join, drop or add blocks. Keep tone, meaning, names, figures and punctuation that carries structure. A block that "
-    "is in the target language already comes back as it is."
+    "The message holds blocks of a book, numbered by marks: <<<BLOCK_i>>> opens block i and <<<END_i>>> closes it. Give every block back, translated, between the same two marks, and "
+    "write nothing else. What was one block stays one block. Leave as it is what already is in the language asked for."
 )
 
 
@@ -127,11 +126,24 @@ def _direct(texts: DataFrame, langs: DataFrame, engine: Direct, target: str) ->
     return real.select("doc_id", "block_ordinal", "text", "lang").mapInPandas(run, f"doc_id {kind}, block_ordinal long, translated string")
 
 
-def translated(blocks: DataFrame, config: TranslationConfig, engine: Chat | Direct | None = None, detect: Callable[[str], str | None] | None = None) -> DataFrame:
+def _paid_once(asked: DataFrame, engine: Chat | Direct, name: str, target: str, store: str) -> DataFrame:
+    """``asked`` with ``reply``, from the table of replies at ``store``; see ``replies``."""
+    chat = isinstance(engine, Chat)
+    given = ["prompt", "max_tokens"] if chat else ["text", "lang"]
+    keyed = asked.withColumn("key", replies.key_of(F.lit(name), F.lit(target), F.lit(SYSTEM if chat else ""), *given))
+
+    def make() -> Callable[..., str]:
+        ask = engine.make()
+        return (lambda prompt, most: ask(SYSTEM, prompt, int(most))) if chat else (lambda text, lang: ask(text, lang, target))
+
+    return keyed.join(replies.answered(keyed.select("key", *given), make, store), "key")
+
+
+def translated(blocks: DataFrame, config: TranslationConfig, engine: Chat | Direct | None = None, detect: Callable[[str], str | None] | None = None, store: str | None = None) -> DataFrame:
     """``blocks`` (as ``reconstruct.merge_paragraphs`` gives them) in the target language; all else about a block stays.
 
-    A translated block has one run without style. ``engine`` stands in for the one that the settings name. Each call to an engine may cost:
-    write the result before using it twice.
+    A translated block has one run without style. ``engine`` stands in for the one that the settings name. With ``store``, a path in the shared folder, replies are kept
+    there, and no call is made twice, neither by a task nor by a job that runs again; else each call may cost again: write the result before using it twice.
     """
     engine = engine or engine_for(config)
     if engine is None:
@@ -139,10 +151,21 @@ def translated(blocks: DataFrame, config: TranslationConfig, engine: Chat | Dire
     texts = blocks.select("doc_id", c("block_ordinal").cast("long").alias("block_ordinal"), reconstruct.plain("runs").alias("text"))
     if isinstance(engine, Chat):
         batched = translate.batches(texts)
-        replies = _replies(translate.prompts(batched, f"Translate the following into the language with the code '{config.target_language}'."), engine)
-        met = batched.join(translate.parse_replies(replies), ["doc_id", "batch_id", "local_i"]).select("doc_id", "block_ordinal", "translated")
+        asked = translate.prompts(batched, f"Translate the following into the language with the code '{config.target_language}'.")
+        got = _paid_once(asked, engine, config.engine, config.target_language, store).select("doc_id", "batch_id", "reply") if store else _replies(asked, engine)
+        met = batched.join(translate.parse_replies(got), ["doc_id", "batch_id", "local_i"]).select("doc_id", "block_ordinal", "translated")
     else:
         langs = texts.select("doc_id").distinct().withColumn("lang", F.lit(config.source_language)) if config.source_language else languages(blocks, detect)
-        met = _direct(texts, langs, engine, config.target_language)
+        if store:
+            asked = texts.filter(translate.strip(c("text")) != "").join(langs, "doc_id")
+            met = _paid_once(asked, engine, config.engine, config.target_language, store).select("doc_id", "block_ordinal", c("reply").alias("translated"))
+        else:
+            met = _direct(texts, langs, engine, config.target_language)
     flat = F.array(F.struct(c("translated").alias("text"), F.lit(False).alias("bold"), F.lit(False).alias("italic")))
     return blocks.join(met, ["doc_id", "block_ordinal"], "left").withColumn("runs", F.when(c("translated").isNotNull(), flat).otherwise(c("runs"))).select(*blocks.columns)
+
+
+def titles(blocks: DataFrame, before: DataFrame) -> DataFrame:
+    """``title`` of each translated document: its first title block's text, else the title that it had before (``doc_id, title``)."""
+    now = reconstruct.titles(blocks).withColumnRenamed("title", "now")
+    return before.join(now, "doc_id", "left").select("doc_id", F.coalesce(F.nullif("now", F.lit("")), "title").alias("title"))

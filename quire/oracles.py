@@ -226,3 +226,26 @@ ORACLES |= {
         FROM body JOIN documents USING (doc_id)""",
     "job_age_cutoff": "SELECT user_id AS job_id, event_id AS seq, ts, event_type AS status FROM events WHERE ts < (SELECT date_trunc('day', max(ts)) - INTERVAL 5 DAY FROM events)",
 }
+
+_FORMS = """f AS (SELECT o_orderkey, o_orderkey % 23 = 0 AS bad, CASE WHEN o_orderkey % 11 = 3 THEN 'none' WHEN o_orderkey % 3 = 0 THEN 'tesseract' WHEN o_orderkey % 3 = 1 THEN 'easyocr' ELSE 'paddleocr' END AS engine,
+        o_orderkey % 7 = 0 AS no_language, o_orderkey % 13 = 0 AS odt, o_orderkey % 13 <> 0 AND o_orderkey % 17 = 0 AS no_format, o_orderkey % 19 AS psm, o_orderkey % 10 AS columns_ FROM orders)"""
+_IN_FLOW = "type IN ('title', 'heading', 'body_text')"
+_SHIFTED = "shifted AS (SELECT * REPLACE (CASE WHEN par_num % 3 = 1 AND block_num BETWEEN 100000 AND 599999 THEN l + 100 ELSE l END AS l) FROM words),\nlines AS ("
+
+ORACLES |= {
+    "column_assign": f"WITH {_ORDERED} SELECT doc_id, page_index, block_num, par_num, zone, l, r, column_index::BIGINT AS column_index FROM regions WHERE {_IN_FLOW}",
+    "title_heading_classify": f"""WITH {_ORDERED} SELECT doc_id, page_index, block_num, par_num, zone, type, round(p.line_height, 6) AS line_height
+        FROM typed JOIN parted p USING (doc_id, page_index, zone, block_num, par_num) WHERE {_IN_FLOW}""",
+    "quote_detect": f"""WITH {_MERGED.replace("lines AS (", _SHIFTED, 1).replace("AS n_words FROM words", "AS n_words FROM shifted", 1)}
+        SELECT doc_id, page_index, reading_order, para::BIGINT AS para, kind AS type FROM kind WHERE kind IN ('paragraph', 'quote', 'list_item')""",
+    "export_names": """WITH p AS (SELECT DISTINCT source || '/' || (doc_id % 7) || CASE WHEN doc_id % 5 = 0 THEN '~2' ELSE '' END || '.png' AS doc_id FROM documents),
+        r AS (SELECT doc_id, regexp_extract(doc_id, '([^/]+)\\.png$', 1) AS stem, row_number() OVER (PARTITION BY regexp_extract(doc_id, '([^/]+)\\.png$', 1) ORDER BY doc_id) AS n FROM p)
+        SELECT doc_id, CASE WHEN n = 1 AND stem NOT LIKE '%~2' THEN stem ELSE stem || '~' || n END AS name FROM r""",
+    "config_rules": f"""WITH {_FORMS}, v AS (SELECT o_orderkey, CASE WHEN bad THEN 0 WHEN no_language THEN 1 WHEN no_format THEN 2 WHEN engine = 'none' THEN 3 WHEN psm > 13 THEN 4 WHEN odt THEN 8 WHEN columns_ NOT BETWEEN 1 AND 8 THEN 9 END AS position FROM f)
+        SELECT o_orderkey, coalesce(position, -1)::INTEGER AS position, CASE position WHEN 0 THEN 'no JSON object' WHEN 1 THEN 'ocr.languages: one at least' WHEN 2 THEN 'export.formats: one at least' WHEN 3 THEN 'ocr.engine: unknown'
+          WHEN 4 THEN 'ocr.psm: 0 to 13' WHEN 8 THEN 'export.formats: unknown' WHEN 9 THEN 'layout.max_columns: 1 to 8' ELSE '' END AS message FROM v""",
+    "runnable_forms": f"WITH {_FORMS} SELECT o_orderkey FROM f WHERE NOT bad AND engine IN ('tesseract', 'easyocr')",
+    "job_compaction": f"WITH {_LATEST} SELECT * FROM latest WHERE status <> 'purchase'",
+    "job_cleanup": f"""WITH {_LATEST}, newest AS (SELECT * FROM latest ORDER BY ts DESC, job_id DESC LIMIT 200)
+        SELECT * FROM newest WHERE ts < (SELECT max(ts) - INTERVAL 6 HOUR FROM latest)""",
+}

@@ -49,14 +49,14 @@ def from_text_layer(pages: DataFrame) -> DataFrame:
     )
 
 
-def processed(pages: DataFrame, config: Config = Config(), make: Callable[[], recognize.Engine] | None = None, translator: translators.Chat | translators.Direct | None = None) -> DataFrame:
-    """Blocks of all documents: those with a text layer from it, others from their images; translated if the settings say so."""
+def processed(pages: DataFrame, config: Config = Config(), make: Callable[[], recognize.Engine] | None = None, translator: translators.Chat | translators.Direct | None = None, replies: str | None = None) -> DataFrame:
+    """Blocks of all documents: those with a text layer from it, others from their images; translated if the settings say so, with the table of ``replies`` if it is named."""
     if config.translation.enabled and translator is None and translators.engine_for(config.translation) is None:
         raise EngineNotAvailable("translation is switched on, but no engine is named")
     texts, scans = files.routed(pages)
     read, seen = from_text_layer(texts), from_images(scans, config, make)
     blocks = read.unionByName(seen.withColumn("source_page", F.col("source_page").cast("long")))
-    return translators.translated(blocks, config.translation, translator) if config.translation.enabled else blocks
+    return translators.translated(blocks, config.translation, translator, store=replies) if config.translation.enabled else blocks
 
 
 def exported(blocks: DataFrame, format_: str, lang: str = "es") -> DataFrame:

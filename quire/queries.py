@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import jobs, layout, reconstruct, render, translate
+from quire.operators import jobs, layout, packages, reconstruct, render, settings, translate
 from quire.sources import typeset
 
 c = F.col
@@ -243,6 +243,67 @@ def indent_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.filter(c("l") > c("m")).select("doc_id", "page_index", "line_num", "block_num", F.element_at(F.split("text", " "), 1).alias("word"))
 
 
+def column_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column of every block of the body."""
+    made = layout.classified(_parted(spark, sf_dir)).filter(c("type").isin("title", "heading", "body_text"))
+    return made.select("doc_id", "page_index", "block_num", "par_num", "zone", "l", "r", "column_index")
+
+
+def title_heading_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = layout.classified(_parted(spark, sf_dir)).filter(c("type").isin("title", "heading", "body_text"))
+    return made.select("doc_id", "page_index", "block_num", "par_num", "zone", "type", F.round("line_height", 6).alias("line_height"))
+
+
+def quote_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of body paragraphs before any are joined, every third block set further in."""
+    shifted = (c("par_num") % 3 == 1) & c("block_num").between(100_000, 599_999)
+    words = _words(spark, sf_dir).withColumn("l", F.when(shifted, c("l") + 100).otherwise(c("l")))
+    made = reconstruct.page_blocks(layout.regions(words))
+    return made.filter(c("type").isin("paragraph", "quote", "list_item")).select("doc_id", "page_index", "reading_order", "para", "type")
+
+
+def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of exported files for paths that share stems, some of which end like a number that is added."""
+    path = F.concat("source", F.lit("/"), (c("doc_id") % 7).cast("string"), F.when(c("doc_id") % 5 == 0, "~2").otherwise(""), F.lit(".png"))
+    return packages.file_names(_table(spark, sf_dir, "documents").select(path.alias("doc_id")))
+
+
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings as JSON out of the orders, most of them broken in some way."""
+    key = c("o_orderkey")
+    engine = F.when(key % 11 == 3, "none").when(key % 3 == 0, "tesseract").when(key % 3 == 1, "easyocr").otherwise("paddleocr")
+    languages = F.when(key % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("spa"), F.lit("eng")))
+    formats = F.when(key % 13 == 0, F.array(F.lit("txt"), F.lit("odt"))).when(key % 17 == 0, F.lit(None).cast("array<string>")).otherwise(F.array(F.lit("html")))
+    made = F.struct(F.struct(engine.alias("engine"), languages.alias("languages"), (key % 19).cast("int").alias("psm")).alias("ocr"), F.struct(formats.alias("formats")).alias("export"), F.struct((key % 10).cast("int").alias("max_columns")).alias("layout"))
+    json = F.when(key % 23 == 0, "no settings").otherwise(F.to_json(made))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", json.alias("config_json"))
+
+
+def config_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule that each submitted form breaks (-1: none)."""
+    return settings.checked(_forms(spark, sf_dir)).select("o_orderkey", F.coalesce("position", F.lit(-1)).alias("position"), F.coalesce("message", F.lit("")).alias("message"))
+
+
+def runnable_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms whose engine can run where two of three engines are there."""
+    return settings.runnable(_forms(spark, sf_dir), settings.choices(spark, ("tesseract", "easyocr"))).select("o_orderkey")
+
+
+def job_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Present jobs out of a snapshot of the first half of the log and the changes after it; a purchase deletes a job until its next change."""
+    log = _job_log(spark, sf_dir).withColumn("deleted", c("status") == "purchase")
+    half = log.agg(F.max("seq")).first()[0] // 2  # one value
+    whole = jobs.compacted(log.filter(c("seq") <= half)).unionByName(log.filter(c("seq") > half))
+    return jobs.latest(whole).select("job_id", "seq", "ts", "status")
+
+
+def job_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the 200 newest jobs those that are six hours older than the newest."""
+    now = jobs.latest(_job_log(spark, sf_dir))
+    cutoff = now.agg(F.expr("cast(max(ts) - interval 6 hours as timestamp_ntz)")).first()[0]  # one value
+    return jobs.older_than(now, cutoff, among=200).select("job_id", "seq", "ts", "status")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -250,5 +311,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         words_confidence_filter, words_to_lines, page_full_text, margin_split, footnote_split, column_ranges, reading_order, split_paragraphs, style_runs, bold_vs_block_median,
         dominant_style, document_blocks, infer_title, render_text, render_markdown, render_html, list_islands, chapters, translation_batches, translation_prompts, translation_apply,
         language_sample, lang_code_lookup, quad_boxes, job_latest_status, job_history_topk, job_age_cutoff, job_formats, indent_words,
+        column_assign, title_heading_classify, quote_detect, export_names, config_rules, runnable_forms, job_compaction, job_cleanup,
     )
 }
