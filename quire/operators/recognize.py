@@ -153,9 +153,10 @@ def words(pages: DataFrame, config: Config = Config(), make: Callable[[], Engine
             yield (page.doc_id, page.page_index, i, w.text, w.l, w.t, w.w, w.h, w.confidence, w.block_num, w.par_num, w.line_num, False, italic, stroke, page.width, page.height)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        engine = make()
+        engine = None
         for frame in frames:
             for page in frame.itertuples():
+                engine = engine or make()  # a task without pages needs none
                 yield pd.DataFrame(list(rows(engine, page)), columns=columns)
 
     return pages.filter("image is not null").select("doc_id", "page_index", "image", "width", "height").mapInPandas(run, WORDS)
