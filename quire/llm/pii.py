@@ -186,19 +186,23 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     by_value = by_value.select("copy", "met", F.explode("terms").alias("term")).select("copy", F.explode("met").alias("entity"), "term")
     joint = keep(independent(by_form.unionByName(by_value), "n_joint", "entity", "term").filter(enough("n_joint")), "pii-pairs")
     # a term is at least as frequent as beside personal data of any kind, which bounds what it can tell
-    joint = keep(joint.join(entities, "entity").join(beside, "term").filter(telling(F.col("n_beside"))).drop("n_beside"), "pii-joint")
+    joint = keep(joint.join(entities, "entity").join(beside, "term").filter(telling(F.col("n_beside"))), "pii-joint")
     if joint.isEmpty():
         return rows.select("uid", "doc_id", "base"), spark.createDataFrame([], ADDED)
 
-    # document frequencies of the terms over the whole corpus: a map of fixed size thins the words before they are counted, then a join decides
-    # (an inner one, which the optimiser leaves above the count)
-    wanted = joint.select("term").distinct()
-    may_be = bit_map(wanted, "term", MAP_BITS)
+    # document frequencies of the terms over the whole corpus: a map of fixed size thins the words before they are counted. First in all documents whose print is their
+    # own, where counts are summed before they move; what these leave of the terms is then counted in the others, print by print
     bare = source.select("doc_id", uid, F.col("text").alias("whole"), F.explode(F.array(without_addresses(F.col("text")))).alias("text"))
-    alike = bit_map(rows.filter(shared(F.col("print"))), "uid", MAP_BITS)  # texts whose print has to be worked out again
-    once = bare.select(F.when(alike(F.col("uid")), bound(F.split("whole", " "), least_shingle)).alias("copy"), F.explode(F.array(F.array_distinct(F.filter(_words("text"), may_be)))).alias("terms"))
-    frequency = independent(once.select("copy", F.explode("terms").alias("term")), "n_term", "term").join(wanted, "term")
-    told = joint.join(frequency, "term").withColumn("disclosure", disclosure(F.col("n_term"))).filter(telling(F.col("n_term")))
+    alike = bit_map(rows.filter(shared(F.col("print"))), "uid", MAP_BITS)
+    may_be = bit_map(joint.select("term").distinct(), "term", MAP_BITS)
+    alone = bare.filter(~alike(F.col("uid"))).select(F.explode(F.array_distinct(F.filter(_words("text"), may_be))).alias("term")).groupBy("term").agg(F.count("*").alias("n_alone"))
+    joint = joint.join(alone, "term", "left").withColumn("n_alone", F.coalesce("n_alone", F.lit(0).cast("long")))
+    joint = keep(joint.filter(telling(F.greatest("n_beside", "n_alone"))), "pii-alone")
+    left_over = bit_map(joint.select("term").distinct(), "term", MAP_BITS)
+    once = bare.filter(alike(F.col("uid"))).select(bound(F.split("whole", " "), least_shingle).alias("copy"), F.explode(F.array(F.array_distinct(F.filter(_words("text"), left_over)))).alias("terms"))
+    others = independent(once.select("copy", F.explode("terms").alias("term")), "n_others", "term")
+    n_term = F.col("n_alone") + F.coalesce("n_others", F.lit(0).cast("long"))
+    told = joint.join(others, "term", "left").withColumn("n_term", n_term).withColumn("disclosure", disclosure(F.col("n_term"))).filter(telling(F.col("n_term")))
     kind = F.when(F.max("disclosure") >= REMOVE, "removed").otherwise("general")
     told = keep(told.groupBy(F.col("term").alias("value")).agg(kind.alias("kind")), "pii-told")
     if told.isEmpty():
