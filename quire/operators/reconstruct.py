@@ -67,6 +67,19 @@ def continued(parts: Column) -> Column:
     return bound(flat, lambda all_: _joined(F.transform(all_, lambda r, i: token(all_, r, i))))
 
 
+def run_rows(words: DataFrame, keys: list[str], order: str = "word_ord", line: str = "line_ord") -> DataFrame:
+    """``run, text, bold, italic`` of each paragraph, out of a row a word: windows in the partitioning of ``keys``, as ``styled`` does for words that are held in an array."""
+    by = Window.partitionBy(*keys).orderBy(order)
+    following = F.lead("text").over(by)
+    cut = F.coalesce(F.lead(line).over(by) != c(line), F.lit(False)) & T.joins_hyphen(c("text"), c("__next"))
+    rows = words.withColumn("__next", following).withColumn("__cut", cut)
+    changed = F.coalesce((c("is_bold") != F.lag("is_bold").over(by)) | (c("is_italic") != F.lag("is_italic").over(by)), F.lit(False))
+    token = F.when(c("__cut"), F.left("text", F.length("text") - 1)).when(c("__next").isNull(), c("text")).otherwise(F.concat("text", F.lit(" ")))
+    rows = rows.withColumn("__token", token).withColumn("__changed", changed.cast("int")).withColumn("run", F.sum("__changed").over(by))
+    made = rows.groupBy(*keys, "run").agg(F.expr(f"listagg(__token, '') WITHIN GROUP (ORDER BY {order})").alias("text"), F.first("is_bold").alias("bold"), F.first("is_italic").alias("italic"))
+    return made.select(*keys, c("run").cast("long").alias("run"), "text", "bold", "italic")
+
+
 def runs(words: DataFrame, keys: list[str], order: str = "word_ord", line: str = "line_ord") -> DataFrame:
     """``runs`` of each paragraph, out of a row a word."""
     held = F.sort_array(F.collect_list(F.struct(c(order).alias("word_ord"), c(line).alias("line_ord"), "text", "is_bold", "is_italic")))

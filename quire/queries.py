@@ -112,7 +112,7 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _words(spark, sf_dir)
-    body = layout.with_zone(layout.lines(layout.by_page(words))).filter("zone = 'body'")
+    body = layout.with_zone(layout.lines(words)).filter("zone = 'body'")
     made = reconstruct.paragraphs(body, reconstruct.REGION)
     return made.select("doc_id", "page_index", "block_num", "par_num", "line_num", c("para").cast("long").alias("para"), F.round("indent_threshold", 6).alias("indent_threshold"), "baseline_left")
 
@@ -120,8 +120,7 @@ def split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def style_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every block, as if it were one paragraph."""
     words = _words(spark, sf_dir).withColumn("line_ord", c("line_num"))
-    made = reconstruct.runs(words, ["doc_id", "page_index", "block_num", "par_num"])
-    return made.select("doc_id", "page_index", "block_num", "par_num", F.posexplode("runs").alias("run", "x")).select("doc_id", "page_index", "block_num", "par_num", c("run").cast("long").alias("run"), "x.text", "x.bold", "x.italic")
+    return reconstruct.run_rows(words, ["doc_id", "page_index", "block_num", "par_num"])
 
 
 def bold_vs_block_median(spark: SparkSession, sf_dir: str) -> DataFrame:
