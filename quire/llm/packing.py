@@ -1,8 +1,8 @@
 """Sequence packing by length patterns: non-negative least squares on the histogram, then best fit for what is left.
 
 The histogram of piece lengths has at most ``capacity`` entries, whatever the input's size. On the driver, patterns of one to three
-lengths that fill a sequence are enumerated, their repeat counts are fitted to the histogram by non-negative least squares,
-rounded down to what is there, and the rest is packed best fit, longest first, count by count. The result is a plan: a
+lengths that fill a sequence are enumerated (those of three by their price, a column generation), their repeat counts are fitted to the histogram by non-negative
+least squares, rounded down to what is there, and the rest is packed best fit, longest first, count by count. The result is a plan: a
 list of patterns with repeats. Every piece then finds its place by its rank among the pieces of its length.
 """
 
@@ -23,29 +23,42 @@ from quire.llm.token_cache import TEXTS, library_encoder
 
 #: Pieces that one window over (chunk, length) may hold, about.
 CHUNK = 1 << 16
-#: Patterns of three are enumerated in steps of their smallest length so that there are about as many at most.
-PATTERNS = 120_000
+#: Patterns of three that one pricing adds at most, pricings, and steps of a fit.
+PATTERNS, PRICINGS = 120_000, 3
+#: Sequences beyond the least number, as a share, with which a plan is good enough.
+NEAR = 0.001
 ROUNDS = 400
 
 
 def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Rows of three lengths (0: none) that add up to the capacity, all of them present in ``lengths``."""
+    """Rows of one or two lengths (0: none) that add up to the capacity, all of them present in ``lengths``."""
     there = np.zeros(capacity + 1, bool)
     there[lengths] = True
     two = [(a, capacity - a, 0) for a in range(1, capacity // 2 + 1) if there[a] and there[capacity - a]]
-    small = np.flatnonzero(there[: capacity // 3 + 1])
-    step = max(1, int(len(small) * capacity // 4 // PATTERNS))
-    three = [np.zeros((0, 3), np.int64)]
-    for a in small[::step].tolist():
-        b = np.arange(a, (capacity - a) // 2 + 1)
-        b = b[there[b] & there[capacity - a - b]]
-        three.append(np.stack([np.full(len(b), a), b, capacity - a - b], 1))
     one = [(capacity, 0, 0)] if there[capacity] else []
-    return np.concatenate([np.array(one + two, np.int64).reshape(-1, 3), *three])
+    return np.array(one + two, np.int64).reshape(-1, 3)
 
 
-def fit(histogram: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Repeat counts >= 0 of the patterns whose sum of squared differences to the histogram is least (accelerated projected gradient)."""
+def priced(lengths: np.ndarray, capacity: int, price: np.ndarray, most: int = PATTERNS) -> np.ndarray:
+    """Of all patterns of three lengths that add up to the capacity, those with a negative price (a sum over their lengths), the ``most`` cheapest of them."""
+    there = np.zeros(capacity + 1, bool)
+    there[lengths] = True
+    rows, prices = np.zeros((0, 3), np.int64), np.zeros(0)
+    for a in np.flatnonzero(there[: capacity // 3 + 1]).tolist():
+        b = np.arange(max(a, 1), (capacity - a) // 2 + 1)
+        own = price[a] + price[b] + price[capacity - a - b]
+        b, own = (v[there[b] & there[capacity - a - b] & (own < 0)] for v in (b, own))
+        rows, prices = np.concatenate([rows, np.stack([np.full(len(b), a), b, capacity - a - b], 1)]), np.append(prices, own)
+        if len(rows) > 2 * most:
+            best = np.argpartition(prices, most)[:most]
+            rows, prices = rows[best], prices[best]
+    best = np.argsort(prices, kind="stable")[:most]
+    return rows[best]
+
+
+def fit(histogram: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Repeat counts >= 0 of the patterns whose sum of squared differences to the histogram is least (accelerated projected gradient), and what a piece of each
+    length more would change: the price by which further patterns are chosen."""
     n = len(histogram)
     used = (rows > 0).astype(float)
     weight = np.sqrt(np.arange(n) / n)  # short pieces find a place anyway
@@ -66,7 +79,7 @@ def fit(histogram: np.ndarray, rows: np.ndarray) -> np.ndarray:
         new = np.maximum(0, y - (((made(y) - want) * weight)[rows] * used).sum(1) / max(1.05 * scale, 1e-12))
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y, x, t = new + (t - 1) / t_new * (new - x), new, t_new
-    return x
+    return x, (made(x) - want) * weight
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -94,31 +107,46 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
     return [x for own in open_.values() for x in own]
 
 
+def rounded(histogram: np.ndarray, rows: np.ndarray, x: np.ndarray, capacity: int, strength: float) -> list[tuple[tuple[int, ...], int]]:
+    """A plan out of fitted counts times ``strength``: rounded, no more than there is, most frequent patterns first; the rest best fit."""
+    left, made = histogram.copy(), []
+    whole = np.floor(x * strength + 0.5).astype(np.int64)
+    for i in np.argsort(-whole, kind="stable").tolist():
+        if whole[i] == 0:
+            break
+        own = tuple(int(v) for v in rows[i] if v)
+        n = min(int(whole[i]), *(int(left[v]) // own.count(v) for v in own))
+        if n > 0:
+            for v in own:
+                left[v] -= n
+            made.append((own, n))
+    return made + best_fit(left, capacity)
+
+
 def plan(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and repeats that hold every piece of the histogram (``histogram[length]``, index 0 unused).
 
-    The fitted counts are tried at a few strengths; the plan with the fewest sequences is kept.
+    Patterns of three come in by their price against what the fit so far leaves, so that each of them is considered whatever the capacity: ``PRICINGS`` times, or until a
+    plan has no more than ``NEAR`` sequences beyond the least number that the ids allow. Fitted counts are tried at a few strengths; the plan with the
+    fewest sequences is kept.
     """
     histogram = histogram.astype(np.int64)
-    rows = patterns(np.flatnonzero(histogram), capacity)
-    best: list[tuple[tuple[int, ...], int]] | None = None
-    x = fit(histogram, rows) if len(rows) else np.zeros(0)
-    for strength in (1.0, 0.97, 0.9, 0.75, 0.5):
-        left, made = histogram.copy(), []
-        whole = np.floor(x * strength + 0.5).astype(np.int64)
-        for i in np.argsort(-whole, kind="stable").tolist():
-            if whole[i] == 0:
-                break
-            own = tuple(int(v) for v in rows[i] if v)
-            n = min(int(whole[i]), *(int(left[v]) // own.count(v) for v in own))
-            if n > 0:
-                for v in own:
-                    left[v] -= n
-                made.append((own, n))
-        made += best_fit(left, capacity)
-        if best is None or sum(n for _, n in made) < sum(n for _, n in best):
-            best = made
-    return best or []
+    lengths = np.flatnonzero(histogram)
+    rows = patterns(lengths, capacity)
+    size = lambda made: sum(n for _, n in made)
+    least = -(-int((histogram * np.arange(len(histogram))).sum()) // capacity)
+    best: list[tuple[tuple[int, ...], int]] = []
+    _, price = fit(histogram, rows)
+    for _ in range(PRICINGS):
+        known = len(rows)
+        rows = np.unique(np.concatenate([rows, priced(lengths, capacity, price)]), axis=0)
+        if len(rows) == known and best:
+            break
+        x, price = fit(histogram, rows)
+        best = min([*([best] if best else []), *(rounded(histogram, rows, x, capacity, strength) for strength in (1.0, 0.97, 0.9, 0.75, 0.5))], key=size)
+        if size(best) <= least * (1 + NEAR) + 1:
+            break
+    return best
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
