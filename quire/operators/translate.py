@@ -62,7 +62,7 @@ def numbered(blocks: DataFrame, limit: int = LIMIT) -> DataFrame:
         on = jump.filter(c("to") < c("last")).select("doc_id", "r", "to", "last")
         starts = starts.unionByName(starts.join(on, ["doc_id", "r"]).select("doc_id", c("to").alias("r"), (c("batch_id") + (1 << k)).alias("batch_id")))
         jump = on.join(jump.select("doc_id", c("r").alias("to"), c("to").alias("then")), ["doc_id", "to"]).select("doc_id", "r", c("then").alias("to"), "last")
-        if k % 2:  # the plan doubles too
+        if k % 3 == 2:  # the plan doubles too
             starts, jump = kept(starts, "batch-starts"), kept(jump, "batch-jumps")
     spans = starts.join(first.select("doc_id", "r", "to"), ["doc_id", "r"])
     held = spans.select("doc_id", "batch_id", F.posexplode(F.sequence("r", c("to") - 1)).alias("local_i", "r"))
