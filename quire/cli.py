@@ -11,6 +11,7 @@ from dataclasses import replace
 from pyspark.sql import SparkSession
 
 from quire import config as settings
+from quire import logs
 from quire.operators import recognize, translators
 from quire.plans import books
 from quire.sources import files
@@ -28,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--translate-to", help="language code; switches translation on")
     p.add_argument("--translation-engine", choices=["none", *sorted(translators.ENGINES)])
     p.add_argument("--workers", type=int, help="threads of a local session; a session that spark-submit gives stays as it is")
+    p.add_argument("--log-file", help="a file for the log, besides the console")
     p.add_argument("-v", "--verbose", action="store_true")
     return p
 
@@ -43,7 +45,7 @@ def configured(args: argparse.Namespace) -> settings.Config:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """0, or 1 after an error, which goes to standard error."""
     args = parser().parse_args(argv)
-    logging.basicConfig(level=logging.DEBUG if args.verbose else logging.INFO)
+    logs.configure(logging.DEBUG if args.verbose else logging.INFO, args.log_file)
     try:
         config = configured(args)
         if spark is None:

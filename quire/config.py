@@ -1,4 +1,4 @@
-"""Settings that have an effect, as frozen dataclasses; unknown names are rejected at every level."""
+"""Settings that have an effect, as frozen dataclasses; unknown names are rejected at every level. Names, defaults and ranges are fixed values."""
 
 from __future__ import annotations
 

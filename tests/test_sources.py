@@ -175,3 +175,34 @@ def test_pages_of_one_book_are_recognised_in_all_tasks(spark):
         assert made.filter(F.col("doc_id") == "t.pdf").count() == 1 and made.filter(F.col("doc_id") == "book.tif").count() >= 1
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+
+
+def test_pdf_reader_and_uploads(spark, tmp_path):
+    for name, data in (("a.pdf", b"2"), ("b.PDF", b""), ("c.pdf", b"3"), ("d.exe", b"x"), ("e.png", b"x" * 3_000_000)):
+        (tmp_path / name).write_bytes(data)
+
+    def reader(content):
+        return [(f"pagina {i}", None, 10, 20) for i in range(int(content or b"0"))]
+
+    got = sorted((r.doc_id.rsplit("/", 1)[1], r.page_index, r.embedded_text) for r in files.pdf_pages(spark, str(tmp_path), reader).collect())
+    assert got == [("a.pdf", 0, "pagina 0"), ("a.pdf", 1, "pagina 1"), *[("c.pdf", i, f"pagina {i}") for i in range(3)]]
+    up = files.uploads(spark, str(tmp_path), max_mb=2)
+    assert {r["name"]: r.accepted for r in up.collect()} == {"a.pdf": True, "c.pdf": True, "d.exe": False, "e.png": False}  # Spark lists no empty files
+    counted = {r["name"]: r.n_pages for r in files.with_page_counts(spark, up, str(tmp_path), reader).collect()}
+    assert counted["a.pdf"] == 2 and counted["c.pdf"] == 3 and counted["e.png"] is None and files.with_page_counts(spark, up, str(tmp_path)).filter("n_pages is null").count() == 4
+    with pytest.raises(EngineNotAvailable):
+        files.pdf_pages(spark, str(tmp_path))
+
+
+def test_log_goes_to_console_and_file_once(tmp_path, capsys):
+    import logging
+
+    from quire import logs
+
+    for _ in range(2):
+        logs.configure(logging.INFO, f"{tmp_path}/logs/quire.log")
+    logging.getLogger("quire.plans").info("started")
+    logging.getLogger("quire.plans").debug("hidden")
+    logs.configure()
+    assert (tmp_path / "logs/quire.log").read_text().count("started") == 1 and "hidden" not in (tmp_path / "logs/quire.log").read_text()
+    assert capsys.readouterr().err.count("started") == 1
