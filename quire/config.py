@@ -34,6 +34,7 @@ class ImageConfig:
 
 @dataclass(frozen=True)
 class LayoutConfig:
+    analyzer: str = "heuristic"
     detect_columns: bool = True
     max_columns: int = 4
     detect_headers: bool = True

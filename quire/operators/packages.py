@@ -145,9 +145,13 @@ def file_names(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 MANIFEST = "format string, name string, bytes long, sha256 string"
 
 
-def write_files(rendered: DataFrame, path: str, format_: str, extension: str) -> DataFrame:
+def write_files(rendered: DataFrame, path: str, extension: str, format_: str | None = None) -> DataFrame:
     """Writes each row's ``content`` to ``path/<name>.<extension>`` from the tasks; a file appears only when whole. Gives ``doc_id`` and ``MANIFEST``, a row a file,
-    once the files are there: write it to make it happen. A task that runs again writes the same files."""
+    once the files are there: write it to make it happen. A task that runs again writes the same files. Rows without a ``name`` are called by their id, slashes as
+    underscores; see ``file_names`` for names that never meet."""
+    if "name" not in rendered.columns:
+        rendered = rendered.withColumn("name", F.replace(F.col("doc_id").cast("string"), F.lit("/"), F.lit("_")))
+    format_ = format_ or extension
     kind = rendered.schema["doc_id"].dataType.simpleString()
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.config import Config
+from quire.config import Config, LayoutConfig
 from quire.errors import Cancelled, EngineNotAvailable, UnsupportedFile
 from quire.functions.text import blank_line_paragraphs
 from quire.operators import images, layout, packages, reconstruct, recognize, render, translators
@@ -19,10 +19,16 @@ from quire.tables import kept, path_of
 SUFFIXES = {"txt": "txt", "markdown": "md", "html": "html", "docx": "docx", "epub": "epub"}
 
 
+#: Layout analyzers by name: words and settings to regions in reading order (as ``layout.regions`` gives them).
+ANALYZERS: dict[str, Callable[[DataFrame, LayoutConfig], DataFrame]] = {"heuristic": layout.regions}
+
+
 def from_words(words: DataFrame, config: Config = Config()) -> DataFrame:
     """Blocks of each document out of recognised words."""
     kept = layout.confident(words, config.ocr.min_confidence)
-    return reconstruct.merge_paragraphs(reconstruct.page_blocks(layout.regions(kept, config.layout)))
+    if config.layout.analyzer not in ANALYZERS:
+        raise EngineNotAvailable(f"unknown layout analyzer: {config.layout.analyzer}")
+    return reconstruct.merge_paragraphs(reconstruct.page_blocks(ANALYZERS[config.layout.analyzer](kept, config.layout)))
 
 
 def from_images(pages: DataFrame, config: Config = Config(), make: Callable[[], recognize.Engine] | None = None) -> DataFrame:
@@ -59,17 +65,27 @@ def processed(pages: DataFrame, config: Config = Config(), make: Callable[[], re
     return translators.translated(blocks, config.translation, translator, store=replies) if config.translation.enabled else blocks
 
 
+def _html(blocks: DataFrame, lang: str) -> DataFrame:
+    return render.to_html_body(blocks).select("doc_id", render.html_page(F.col("title"), F.col("body"), F.lit(lang)).alias("content"))
+
+
+#: Exporters by format: blocks and a language to ``doc_id, content``; a further one needs a suffix in ``SUFFIXES`` too.
+EXPORTERS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
+    "txt": lambda blocks, lang: render.to_text(blocks),
+    "markdown": lambda blocks, lang: render.to_markdown(blocks),
+    "html": _html,
+    "docx": lambda blocks, lang: packages.to_docx(blocks),
+    "epub": lambda blocks, lang: packages.to_epub(blocks, reconstruct.titles(blocks), lang),
+}
+
+
 def exported(blocks: DataFrame, format_: str, lang: str = "es") -> DataFrame:
-    """``doc_id, content`` in a format: txt, markdown, html, docx or epub."""
-    if format_ == "pdf":
+    """``doc_id, content`` in a format of ``EXPORTERS``."""
+    if format_ == "pdf" and format_ not in EXPORTERS:
         raise EngineNotAvailable("writing PDF needs an engine")
-    if format_ not in SUFFIXES:
+    if format_ not in EXPORTERS:
         raise UnsupportedFile(f"unknown format: {format_}")
-    if format_ == "html":
-        return render.to_html_body(blocks).select("doc_id", render.html_page(F.col("title"), F.col("body"), F.lit(lang)).alias("content"))
-    if format_ == "epub":
-        return packages.to_epub(blocks, reconstruct.titles(blocks), lang)
-    return {"txt": render.to_text, "markdown": render.to_markdown, "docx": packages.to_docx}[format_](blocks)
+    return EXPORTERS[format_](blocks, lang)
 
 
 Progress = Callable[[str, int, int], None]
@@ -110,7 +126,7 @@ def export(blocks: DataFrame, store: str, out: str, config: Config = Config(), p
     for i, format_ in enumerate(config.export.formats):
         stop()
         rendered = exported(held, format_, lang).join(names, "doc_id")
-        packages.write_files(rendered, out, format_, SUFFIXES[format_]).write.mode("append").parquet(draft.toString())
+        packages.write_files(rendered, out, SUFFIXES[format_], format_).write.mode("append").parquet(draft.toString())
         progress("export", i + 1, len(config.export.formats))
     if not store_.rename(draft, manifest):
         raise OSError(f"the manifest can't be moved to {manifest.toString()}")

@@ -383,3 +383,22 @@ def test_tombstones_go_with_the_second_compaction(spark):
 
 def test_file_names_of_no_documents(spark):
     assert packages.file_names(spark.createDataFrame([], "doc_id string")).collect() == []
+
+
+def test_analyzers_and_exporters_plug_in(spark, monkeypatch):
+    row = ("d", 0, 0, "linea", 100, 400, 300, 20, 95.0, 1, 1, 0, False, False, 4.0, 800, 1000)
+    words = spark.createDataFrame([row], recognize.WORDS)
+    seen = []
+
+    def upside_down(words, config):
+        seen.append(config.max_columns)
+        return layout.regions(words, config)
+
+    monkeypatch.setitem(books.ANALYZERS, "other", upside_down)
+    blocks = books.from_words(words, Config(layout=LayoutConfig(analyzer="other", max_columns=2)))
+    assert seen == [2] and blocks.count() == 1
+    with pytest.raises(EngineNotAvailable):
+        books.from_words(words, Config(layout=LayoutConfig(analyzer="none")))
+    monkeypatch.setitem(books.EXPORTERS, "pdf", lambda blocks, lang: blocks.groupBy("doc_id").agg(F.lit(f"%PDF {lang}").alias("content")))
+    assert books.exported(blocks, "pdf", "fr").first().content == "%PDF fr"
+    assert all(rule in books.exported(blocks, "html", "fr").first().content for rule in ("<style>", "font-family", 'lang="fr"', "p.footnote"))
