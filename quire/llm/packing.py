@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import id_text, keep, releasing, slices
-from quire.llm.token_cache import TEXTS, library_encoder
+from quire.llm.token_cache import LIMIT, TEXTS, library_encoder
 
 #: Pieces that one window over (chunk, length) may hold, about.
 CHUNK = 1 << 16
@@ -149,13 +149,13 @@ def plan(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], in
     return best
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", cache: int = LIMIT) -> DataFrame:
     """``uid, doc_id, piece, start, length, ids_crc32`` of every piece; the first piece of a cut document takes the remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode, end = library_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = library_encoder(tokenizer, limit=cache), np.array([end_id], "<u4").tobytes()
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, chars=TEXTS):
@@ -178,16 +178,16 @@ _NAMES = ["uid", "doc_id", "piece", "start", "length", "ids_crc32"]
 _KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cache: int = LIMIT) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``: every piece's place in sequences of ``capacity`` ids.
 
     Only narrow rows are shuffled. A piece's rank among those of its length is its rank in its chunk (a bounded window) plus the counts
     of the chunks before it, so no length, however frequent, gathers in one task.
 
-    A null text is an empty one: its end id alone. Repeated rows, or rows with equal or null ids, are packed each for itself. An empty
+    ``cache``: encoded parts that a task holds before it clears them; results don't depend on it. A null text is an empty one: its end id alone. Repeated rows, or rows with equal or null ids, are packed each for itself. An empty
     table gives no rows. Other columns are not read.
     """
-    cut = keep(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "packing-pieces")
+    cut = keep(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, cache), "packing-pieces")
     counts = cut.groupBy("length").count().collect()  # at most ``capacity`` rows
     histogram = np.zeros(capacity + 1, np.int64)
     for row in counts:

@@ -46,8 +46,8 @@ class CachedEncoder:
     Without it every text is encoded as a whole. ``heads`` gives the bytes of the first parts of texts, together; without it ``one`` does.
     """
 
-    def __init__(self, one: Callable[[str], bytes], many: Callable[[set[str], dict[str, bytes]], dict[str, bytes]] | None, heads: Callable[[list[str]], list[bytes]] | None = None):
-        self.one, self.many, self.new = one, many, {}
+    def __init__(self, one: Callable[[str], bytes], many: Callable[[set[str], dict[str, bytes]], dict[str, bytes]] | None, heads: Callable[[list[str]], list[bytes]] | None = None, limit: int = LIMIT):
+        self.one, self.many, self.new, self.limit = one, many, {}, limit
         self.heads = heads or (lambda texts: [one(t) for t in texts])
 
     def clear(self) -> None:
@@ -60,7 +60,7 @@ class CachedEncoder:
         wanted: set[str] = set()
         for p in cut:
             wanted.update(p[1:])
-        if len(self.new) > LIMIT:
+        if len(self.new) > self.limit:
             self.clear()
         new = self.new
         missing = wanted.difference(new)
@@ -85,7 +85,7 @@ def byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str, special_as_text: bool = False) -> CachedEncoder:
+def library_encoder(path: str, special_as_text: bool = False, limit: int = LIMIT) -> CachedEncoder:
     """By the tokenizers library, from its JSON file. As by its default, a special token's string in a text gives that token's id, unless
     ``special_as_text``: then it is ordinary text.
 
@@ -164,7 +164,7 @@ def library_encoder(path: str, special_as_text: bool = False) -> CachedEncoder:
         out.update((x, array("I", e.ids).tobytes()) for x, e in zip(rest, got, strict=True))
         return out
 
-    return CachedEncoder(one, many)
+    return CachedEncoder(one, many, limit=limit)
 
 
 def tokenizer_path(name: str) -> str:
