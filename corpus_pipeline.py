@@ -14,8 +14,17 @@ from quire.llm.common import drop, keep
 from quire.llm.token_cache import tokenizer_path
 
 
+#: Rows of an Arrow batch, and parts in the encoder's cache: less than operators take by themselves, since a worker that all stages share keeps what each has needed at most.
+BATCH_ROWS, CACHE = 500, 100_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null, no letters, or hardly better than a guess) go; without labelled rows, only those without letters."""
+    _small_batches(spark)
     return language_id.accepted(docs)
 
 
@@ -26,6 +35,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of similarity 0.8 on shingles of five words join, the one with the smallest id stays."""
+    _small_batches(spark)
     return ngram_join.one_of_each(docs, width=5, num=80, den=100)
 
 
@@ -37,7 +47,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece's place in sequences of 1024 ids; a null text is its end id alone."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), 1024, 2)
+    _small_batches(spark)
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), 1024, 2, cache=CACHE)
 
 
 STAGES = [
