@@ -110,7 +110,7 @@ def language_sample(blocks: DataFrame, most: int = 4000) -> DataFrame:
     head = blocks.filter(strip(c("text")) != "").select("doc_id", "block_ordinal", F.left("text", F.lit(most)).alias("text"))
     head = head.withColumn("r", F.row_number().over(order)).filter(c("r") <= most // 2 + 1)
     before = F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    head = head.withColumn("e", F.coalesce(before, F.lit(0))).filter(c("e") < most)
+    head = head.withColumn("e", F.coalesce(before, F.lit(0))).filter(c("e") <= most)  # what begins right behind the sample brings the space that ends it
     return head.groupBy("doc_id").agg(F.left(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY block_ordinal)"), F.lit(most)).alias("sample"))
 
 
