@@ -1,5 +1,8 @@
 """Long lines, samples that end between blocks, capitals, and what the layout queries move."""
 
+from pyspark.sql import functions as F
+
+from quire.functions import text as T
 from quire.operators import translate
 
 
@@ -7,3 +10,8 @@ def test_a_sample_ends_with_the_space_before_the_next_block(spark):
     for first, want in ((3998, "x" * 3998 + " b"), (3999, "x" * 3999 + " "), (4000, "x" * 4000)):
         blocks = spark.createDataFrame([(1, 0, "x" * first), (1, 1, "b")], "doc_id long, block_ordinal long, text string")
         assert translate.language_sample(blocks).first().sample == want
+
+
+def test_a_capital_is_one_letter(spark):
+    rows = spark.createDataFrame([("ß",), ("a",), ("é",), ("ᾳ",), ("ᾀ",), ("ﬁ",), ("ŉ",), ("7",), ("",)], "x string")
+    assert [r[0] for r in rows.select(T.upper_letter(F.col("x"))).collect()] == ["ẞ", "A", "É", "ᾼ", "ᾈ", "ﬁ", "ŉ", "7", ""]
