@@ -1,5 +1,7 @@
 """Long lines, samples that end between blocks, capitals, and what the layout queries move."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -15,3 +17,12 @@ def test_a_sample_ends_with_the_space_before_the_next_block(spark):
 def test_a_capital_is_one_letter(spark):
     rows = spark.createDataFrame([("ß",), ("a",), ("é",), ("ᾳ",), ("ᾀ",), ("ﬁ",), ("ŉ",), ("7",), ("",)], "x string")
     assert [r[0] for r in rows.select(T.upper_letter(F.col("x"))).collect()] == ["ẞ", "A", "É", "ᾼ", "ᾈ", "ﬁ", "ŉ", "7", ""]
+
+
+def test_pairs_of_lines_with_a_very_long_one(spark):
+    texts = ["a\nb\nc\nd\ne", "a", "a\n", "x" * 300_000, "a\nb\n" + "y" * 300_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    start = time.monotonic()
+    got = [r[0] for r in rows.orderBy("i").select(T.in_pairs(F.col("t"))).collect()]
+    assert got == ["a\nb\n \nc\nd\n \ne", "a", "a\n", texts[3], "a\nb\n \n" + texts[4][4:]]
+    assert time.monotonic() - start < 15
