@@ -54,6 +54,24 @@ def lines(words: DataFrame, with_words: bool = False) -> DataFrame:
     return made.filter(T.strip(c("text")) != "")
 
 
+def held_lines(rows: DataFrame, with_words: bool = False) -> DataFrame:
+    """What ``lines`` gives, out of a row a line that holds its ``words`` in their order (an array of ``word_ord, text, l, r, confidence, is_bold, is_italic``) and their
+    common ``t, h``: no sort, a column function of each row. Only lines that are to hold their words move, by page."""
+    total = F.aggregate("words.confidence", F.lit(0).cast("long"), lambda s, x: s + x)
+    parts = ("word_ord", "text", "is_bold", "is_italic")
+    made = rows.select(
+        *PAGE, *_sized(rows), "block_num", "par_num", "line_num", F.array_min("words.word_ord").alias("line_ord"), F.array_join("words.text", " ").alias("text"), F.array_min("words.l").alias("l"), "t",
+        F.array_max("words.r").alias("r"), (c("t") + c("h")).alias("b"), (total.cast("double") / F.size("words")).alias("confidence"), F.size("words").cast("long").alias("n_words"),
+        *([c(f"words.{n}").alias(f"__{n}") for n in parts] if with_words else []),
+    )
+    made = made.filter(T.strip(c("text")) != "")
+    if not with_words:
+        return made
+    # words move as plain arrays, and their text once
+    moved = by_page(made.drop("text")).withColumn("text", F.array_join("__text", " "))
+    return moved.withColumn("words", F.arrays_zip(*[c(f"__{n}").alias(n) for n in parts])).drop(*[f"__{n}" for n in parts])
+
+
 def with_zone(lines: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
     """``zone``: page_number, header, footer or body, decided in this order by the box's middle."""
     _, height = page_size(lines)
@@ -65,9 +83,10 @@ def with_zone(lines: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFr
     return lines.withColumn("zone", zone)
 
 
-def blocks(zoned: DataFrame) -> DataFrame:
-    """A row for each (zone, block, paragraph) of a page; lines that carry their words are held in ``lines``."""
-    held = [F.collect_list(F.struct("line_ord", "text", "l", "t", "r", "b", "words")).alias("lines")] if "words" in zoned.columns else []
+def blocks(zoned: DataFrame, with_text: bool = False) -> DataFrame:
+    """A row for each (zone, block, paragraph) of a page; lines that carry their words are held in ``lines``, others if ``with_text`` with order and text only."""
+    text = [F.collect_list(F.struct("line_ord", "text")).alias("lines")] if with_text else []
+    held = [F.collect_list(F.struct("line_ord", "text", "l", "t", "r", "b", "words")).alias("lines")] if "words" in zoned.columns else text
     return zoned.groupBy(*BLOCK, *_sized(zoned)).agg(
         F.min("line_ord").alias("block_ord"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"), F.avg(c("b") - c("t")).alias("line_height"),
         F.min_by("text", "line_ord").alias("first_text"), F.count("*").alias("n_lines"), *held,
@@ -125,8 +144,12 @@ def column_index(l: Column, r: Column, ranges: Column) -> Column:  # noqa: E741
 
 def regions(words: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
     """Regions with type, column and reading order; each holds its ``lines``, and these their ``words``."""
-    zoned = with_zone(lines(by_page(words), with_words=True), config)
-    return classified(split_footnotes(blocks(zoned), config), config)
+    return line_regions(lines(by_page(words), with_words=True), config)
+
+
+def line_regions(lines: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
+    """``regions`` of lines that hold their words."""
+    return classified(split_footnotes(blocks(with_zone(lines, config)), config), config)
 
 
 def classified(parted: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:

@@ -1,61 +1,144 @@
-"""A deterministic typesetter: documents of plain text become words with boxes, as if set on pages and recognised.
+"""A deterministic typesetter: documents of plain text become lines of words with boxes, as if set on pages and recognised.
 
 It gives the layout operators input of any size. All values are whole numbers (the stroke is a double); pages are 1700 by 2200.
+A document is set where its row is, a column function of it, so no word is shuffled or sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need numpy and pyarrow, not this package
 PAGE_WIDTH, PAGE_HEIGHT = 1700, 2200
 ROWS = 30
 WORDS = "doc_id page_index word_ord text l t w h confidence block_num par_num line_num is_bold is_italic stroke".split()
+#: A set line: its words in order, which share top and height.
+LINE = (
+    "struct<page_index: long, block_num: long, par_num: long, line_num: long, t: long, h: long, "
+    "words: array<struct<word_ord: long, text: string, l: long, r: long, confidence: long, is_bold: boolean, is_italic: boolean>>>"
+)
+#: Characters that are set at once, about; a longer document goes alone.
+AT_ONCE = 1 << 20
 
 
-def words(docs: DataFrame) -> DataFrame:
-    """``WORDS`` columns for every word, header, page number and footnote. One shuffle, by document."""
-    c = F.col
-    lines = docs.select(c("doc_id"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    split = lines.select("doc_id", "ln", F.posexplode(F.split("line", " ")).alias("wo", "word"))
-    by_doc = Window.partitionBy("doc_id")
-    two = c("doc_id") % 3 == 0
-    split = split.select("doc_id", "ln", c("wo").cast("long").alias("wo"), "word", F.when(two, 44).otherwise(88).alias("cap"))
-    before = F.coalesce(F.sum(F.length("word") + 1).over(Window.partitionBy("doc_id", "ln").orderBy("wo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = split.withColumn("cs", before).withColumn("tl", F.floor(c("cs") / c("cap")).cast("long")).withColumn("cc", c("cs") % c("cap"))
-    cut = (F.length("word") >= 8) & (c("cc") + F.length("word") > c("cap"))
-    part = lambda text, order, tl, cc: F.struct(text.alias("text"), order.alias("wo2"), tl.alias("tl"), cc.alias("cc"))
-    whole = F.array(part(c("word"), 2 * c("wo"), c("tl"), c("cc")))
-    halves = F.array(part(F.concat(F.substring("word", 1, 4), F.lit("-")), 2 * c("wo"), c("tl"), c("cc")), part(c("word").substr(F.lit(5), F.length("word")), 2 * c("wo") + 1, c("tl") + 1, F.lit(0).cast("long")))
-    pieces = placed.select("doc_id", "ln", "wo", F.explode(F.when(cut, halves).otherwise(whole)).alias("p")).select("doc_id", "ln", "wo", "p.*")
-    set_ = pieces.withColumn("g", (F.dense_rank().over(by_doc.orderBy("ln", "tl")) - 1).cast("long"))
-    columns = F.when(two, 2).otherwise(1)
-    set_ = set_.withColumn("page_index", F.floor(c("g") / (ROWS * columns)).cast("long")).withColumn("col", F.floor(c("g") % (ROWS * columns) / ROWS).cast("long")).withColumn("row", c("g") % ROWS)
-    opens = ((c("tl") == 0) & (c("ln") % 4 == 0) & (c("ln") > 0) & (c("wo2") == 0)).cast("long")
-    set_ = set_.withColumn("opened", F.sum(opens).over(Window.partitionBy("doc_id", "page_index", "col").orderBy("g")))
-    indent = F.when((c("tl") == 0) & (c("ln") % 4 != 0) & (c("ln") > 0), 60).otherwise(0)
-    heading = (c("tl") == 0) & (c("ln") % 10 == 5)
-    left, width = F.when(two, 150 + 740 * c("col")).otherwise(180), F.when(two, 660).otherwise(1340)
-    size = F.length("text")
-    l = left + F.least(15 * c("cc") + indent, width - 15)  # noqa: E741
-    body = set_.select(
-        "doc_id", "page_index", (c("g") * 100000 + c("wo2")).alias("word_ord"), "text", l.cast("long").alias("l"), (240 + 46 * c("row") + 30 * c("opened")).alias("t"),
-        F.least(15 * size, left + width - l).cast("long").alias("w"), F.when(c("g") == 0, 60).when(heading, 48).otherwise(40).cast("long").alias("h"),
-        (30 + (13 * size + 7 * c("wo")) % 70).cast("long").alias("confidence"), (100000 * (c("col") + 1) + F.when(c("g") == 0, 0).when(heading, 2).otherwise(1)).cast("long").alias("block_num"),
-        F.when(heading, c("ln")).otherwise(F.floor(c("ln") / 4)).cast("long").alias("par_num"), c("g").alias("line_num"), (size % 9 == 0).alias("is_bold"), (size % 11 == 0).alias("is_italic"),
-        F.when(size % 9 == 0, 6.0).otherwise(4.0).alias("stroke"),
+def _split(texts: pa.Array, mark: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The parts of all texts, the text that each is of, and its place in it."""
+    held = pc.split_pattern(texts, mark)
+    of = pc.list_parent_indices(held).to_numpy()
+    counts = pc.list_value_length(held).to_numpy()
+    return held.flatten(), of, np.arange(len(of)) - (np.cumsum(counts) - counts)[of]
+
+
+def _starts(of: np.ndarray, n: int) -> np.ndarray:
+    """Where each of ``n`` owners' members begin, and the end."""
+    return np.searchsorted(of, np.arange(n + 1))
+
+
+def _set(ids: np.ndarray, texts: pa.Array) -> pa.Array:
+    """Lists of ``LINE``, one for each text; none is null."""
+    lines, line_doc, ln = _split(texts, "\n")
+    word, word_line, wo = _split(lines, " ")
+    two = ids % 3 == 0
+    size = pc.utf8_length(word).to_numpy().astype(np.int64)
+    before = np.cumsum(size + 1) - (size + 1)
+    cs = before - before[_starts(word_line, len(lines))[:-1]][word_line]
+    cap = np.where(two, 44, 88)[line_doc][word_line]
+    tl, cc = cs // cap, cs % cap
+    # a long word that leaves its line is cut in two
+    cut = (size >= 8) & (cc + size > cap)
+    of, n, k = np.repeat(np.arange(len(word)), 1 + cut), len(word), int(cut.sum())
+    second = np.zeros(len(of), bool)
+    second[1:] = of[1:] == of[:-1]
+    whole, nth = ~cut[of], np.cumsum(cut)[of] - 1
+    cuts = word.filter(pa.array(cut))
+    heads = pc.binary_join_element_wise(pc.utf8_slice_codeunits(cuts, 0, 4), "-", "")
+    text = pa.concat_arrays([word, heads, pc.utf8_slice_codeunits(cuts, 4)]).take(pa.array(np.where(whole, of, np.where(second, n + k + nth, n + nth))))
+    size = np.where(whole, size[of], np.where(second, size[of] - 4, 5))
+    tl, cc, wo, line = tl[of] + second, np.where(second, 0, cc[of]), wo[of], word_line[of]
+    # set lines, numbered in their document
+    new = np.ones(len(of), bool)
+    new[1:] = (line[1:] != line[:-1]) | (tl[1:] != tl[:-1])
+    first, at = np.flatnonzero(new), np.cumsum(new) - 1
+    tl, ln, doc = tl[first], ln[line[first]], line_doc[line[first]]
+    g = np.arange(len(first)) - _starts(doc, len(ids))[:-1][doc]
+    both = two[doc]
+    columns = np.where(both, 2, 1)
+    page, col, row = g // (ROWS * columns), g % (ROWS * columns) // ROWS, g % ROWS
+    heading, opens = (tl == 0) & (ln % 10 == 5), (tl == 0) & (ln % 4 == 0) & (ln > 0)
+    top = np.arange(len(first)) - row
+    opened = np.cumsum(opens) - np.cumsum(opens)[top] + opens[top]
+    indent = np.where((tl == 0) & (ln % 4 != 0) & (ln > 0), 60, 0)
+    left, width = np.where(both, 150 + 740 * col, 180), np.where(both, 660, 1340)
+    l = left[at] + np.minimum(15 * cc + indent[at], width[at] - 15)  # noqa: E741
+    r = l + np.minimum(15 * size, (left + width)[at] - l)
+    # headers, page numbers and footnotes
+    last = page[_starts(doc, len(ids))[1:] - 1]
+    m_doc = np.repeat(np.arange(len(ids)), last + 1)
+    m_page = np.arange(len(m_doc)) - _starts(m_doc, len(ids))[:-1][m_doc]
+    noted = (ids[m_doc] + m_page) % 2 == 0
+    string = lambda x: pa.array(x).cast(pa.string())
+    named = lambda start, x: pc.binary_join_element_wise(start, string(x), "")
+    margins = [
+        (m_doc, m_page, named("Libro ", ids[m_doc]), -1, 60, 20, 1),
+        (m_doc[noted], m_page[noted], named("1 Nota al pie ", m_page[noted]), 900_000_000_000, 1960, 28, 600_001),
+        (m_doc, m_page, string(m_page + 1), 900_000_000_001, 2110, 20, 600_002),
+    ]
+    sizes = [pc.utf8_length(m[2]).to_numpy().astype(np.int64) for m in margins]
+    joined = lambda body, *rest: np.concatenate([body, *rest]).astype(np.int64)
+    each = lambda i: [np.full(len(m[0]), m[i]) for m in margins]
+    none = [np.zeros(len(m[0])) for m in margins]
+    words = pa.StructArray.from_arrays(
+        [
+            pa.array(joined(g[at] * 100_000 + 2 * wo + second, *each(3))), pa.concat_arrays([text, *[m[2] for m in margins]]), pa.array(joined(l, *[x + 180 for x in none])), pa.array(joined(r, *[180 + 15 * s for s in sizes])),
+            pa.array(joined(30 + (13 * size + 7 * wo) % 70, *[x + 95 for x in none])), pa.array(np.concatenate([size % 9 == 0, *[x > 0 for x in none]])), pa.array(np.concatenate([size % 11 == 0, *[x > 0 for x in none]])),
+        ],
+        ["word_ord", "text", "l", "r", "confidence", "is_bold", "is_italic"],
     )
-    pages = set_.groupBy("doc_id").agg(F.max("page_index").alias("last")).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("page_index"))
-    row = lambda order, text, t, h, block: F.struct(F.lit(order).cast("long").alias("word_ord"), text.alias("text"), F.lit(t).cast("long").alias("t"), F.lit(h).cast("long").alias("h"), F.lit(block).cast("long").alias("block_num"))
-    margin = F.array(
-        row(-1, F.concat(F.lit("Libro "), c("doc_id").cast("string")), 60, 20, 1),
-        row(900000000001, (c("page_index") + 1).cast("string"), 2110, 20, 600002),
-        F.when((c("doc_id") + c("page_index")) % 2 == 0, row(900000000000, F.concat(F.lit("1 Nota al pie "), c("page_index").cast("string")), 1960, 28, 600001)),
-    )
-    extra = pages.select("doc_id", "page_index", F.explode(F.filter(margin, lambda m: m.isNotNull())).alias("m")).select("doc_id", "page_index", "m.*")
-    zero = F.lit(0).cast("long")
-    extra = extra.select(
-        "doc_id", "page_index", "word_ord", "text", F.lit(180).cast("long").alias("l"), "t", (15 * F.length("text")).cast("long").alias("w"), "h", F.lit(95).cast("long").alias("confidence"), "block_num",
-        zero.alias("par_num"), zero.alias("line_num"), F.lit(False).alias("is_bold"), F.lit(False).alias("is_italic"), F.lit(4.0).alias("stroke"),
+    ends = np.concatenate([first, np.arange(len(of), len(words) + 1)]).astype(np.int32)
+    made = pa.StructArray.from_arrays(
+        [
+            pa.array(joined(page, *[m[1] for m in margins])), pa.array(joined(100_000 * (col + 1) + np.where(g == 0, 0, np.where(heading, 2, 1)), *each(6))), pa.array(joined(np.where(heading, ln, ln // 4), *none)),
+            pa.array(joined(g, *none)), pa.array(joined(240 + 46 * row + 30 * opened, *each(4))), pa.array(joined(np.where(g == 0, 60, np.where(heading, 48, 40)), *each(5))), pa.ListArray.from_arrays(pa.array(ends), words),
+        ],
+        ["page_index", "block_num", "par_num", "line_num", "t", "h", "words"],
     )
-    return body.unionByName(extra)
+    docs = joined(doc, *[m[0] for m in margins])
+    order = np.argsort(docs, kind="stable")
+    return pa.ListArray.from_arrays(pa.array(_starts(docs[order], len(ids)).astype(np.int32)), made.take(pa.array(order)))
+
+
+def _lists(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for ids, texts in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+        start = 0
+        while start < len(texts):
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + AT_ONCE, "right")))
+            own, number = texts.slice(start, end - start), ids.slice(start, end - start)
+            there = pc.is_valid(own)
+            made = _set(number.filter(there).to_numpy(), own.filter(there)) if pc.any(there).as_py() else pa.array([], pa.null())
+            # a document without a text has no lines
+            yield made if own.null_count == 0 else made.take(pa.array(np.cumsum(there.to_numpy(zero_copy_only=False)) - 1, mask=~there.to_numpy(zero_copy_only=False)))
+            start = end
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and the columns of ``LINE`` for every line of a page, its header, page number and footnote too."""
+    hints = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    _lists.__annotations__ = hints
+    made = F.arrow_udf(_lists, f"array<{LINE}>")
+    return docs.select(F.col("doc_id"), made(F.col("doc_id"), F.col("text")).alias("lines")).select("doc_id", F.inline("lines"))
+
+
+def words(docs: DataFrame) -> DataFrame:
+    """``WORDS`` columns for every word, header, page number and footnote."""
+    c = F.col
+    flat = lines(docs).select("doc_id", "page_index", "block_num", "par_num", "line_num", "t", "h", F.inline("words"))
+    return flat.withColumn("w", c("r") - c("l")).withColumn("stroke", F.when(c("is_bold"), 6.0).otherwise(4.0)).select(*WORDS)

@@ -2,10 +2,12 @@
 
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import translate
+from quire.operators import layout, reconstruct, translate
+from quire.sources import typeset
 
 
 def test_a_sample_ends_with_the_space_before_the_next_block(spark):
@@ -26,3 +28,36 @@ def test_pairs_of_lines_with_a_very_long_one(spark):
     got = [r[0] for r in rows.orderBy("i").select(T.in_pairs(F.col("t"))).collect()]
     assert got == ["a\nb\n \nc\nd\n \ne", "a", "a\n", texts[3], "a\nb\n \n" + texts[4][4:]]
     assert time.monotonic() - start < 15
+
+
+def _documents(spark):
+    long = " ".join("palabra" * (1 + i % 3) + ("." if i % 9 == 0 else "") for i in range(3000))
+    texts = ["Uno dos.\n\n tres  cuatro\n" + "\n".join(f"linea {i} extraordinariamente larga para una columna estrecha de texto" for i in range(90)), "", None, long, " ", "ñandú extraordinario"]
+    return spark.createDataFrame([(i - 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+def test_setting_moves_no_words(spark):
+    docs = _documents(spark)
+    assert "Exchange" not in typeset.words(docs)._jdf.queryExecution().executedPlan().toString()
+    rows = typeset.words(docs).collect()
+    assert {r.doc_id for r in rows} == {-1, 0, 2, 3, 4}  # a null text gives nothing
+    assert [(r.text, r.l, r.t, r.w, r.h, r.block_num) for r in rows if r.doc_id == 4] == [("ñandú", 180, 240, 75, 60, 100000), ("extraordinario", 270, 240, 210, 60, 100000), ("Libro 4", 180, 60, 105, 20, 1), ("1 Nota al pie 0", 180, 1960, 225, 28, 600001), ("1", 180, 2110, 15, 20, 600002)]
+    assert typeset.words(docs.filter("text is null")).count() == 0 == typeset.words(docs.limit(0)).count()
+
+
+def test_documents_are_set_alike_in_any_batch(spark, monkeypatch):
+    pairs = [(r.doc_id, r.text) for r in _documents(spark).collect()] * 3
+    batch = (pa.array([i for i, _ in pairs]), pa.array([t for _, t in pairs]))
+    whole = [x for a in typeset._lists(iter([batch])) for x in a.to_pylist()]
+    monkeypatch.setattr(typeset, "AT_ONCE", 100)
+    alone = [x for a in typeset._lists(iter([batch])) for x in a.to_pylist()]
+    assert whole == alone and len(whole) == len(pairs) and whole[:6] == whole[6:12]
+
+
+def test_lines_from_held_words_are_those_from_words(spark):
+    docs = _documents(spark)
+    for with_words in (False, True):
+        flat, held = layout.lines(typeset.words(docs), with_words), layout.held_lines(typeset.lines(docs), with_words)
+        order = F.sort_array("words").alias("words") if with_words else F.lit(0)
+        rows = [sorted(map(str, df.select(*sorted(set(flat.columns) - {"words"}), order).collect())) for df in (flat, held)]
+        assert rows[0] == rows[1] and len(rows[0]) > 100
