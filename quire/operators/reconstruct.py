@@ -181,6 +181,14 @@ def titles(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id").agg(title())
 
 
+def region_titles(regions: DataFrame) -> DataFrame:
+    """What ``titles`` gives for the merged blocks of ``regions``. Titles are whole regions and never joined, so the first one's lines are enough: no runs, no merging."""
+    kept = regions.filter(c("type").isin("title", "heading", "body_text", "footnote"))
+    text = F.when(c("type") == "title", F.array_join(F.sort_array("lines")["text"], " "))
+    rows = kept.select("doc_id", text.alias("text"), F.when(c("type") == "title", F.struct("page_index", "reading_order")).alias("at"))
+    return rows.groupBy("doc_id").agg(F.coalesce(F.min_by("text", "at"), F.lit("")).alias("title"))
+
+
 def merge_lines(docs: DataFrame) -> DataFrame:
     """The same continuation rule on the lines of plain texts: ``doc_id, para, text, n_lines``."""
     order = Window.partitionBy("doc_id").orderBy("ln")

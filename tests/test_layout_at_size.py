@@ -61,3 +61,12 @@ def test_lines_from_held_words_are_those_from_words(spark):
         order = F.sort_array("words").alias("words") if with_words else F.lit(0)
         rows = [sorted(map(str, df.select(*sorted(set(flat.columns) - {"words"}), order).collect())) for df in (flat, held)]
         assert rows[0] == rows[1] and len(rows[0]) > 100
+
+
+def test_titles_need_no_merging(spark):
+    docs = _documents(spark)
+    regions = layout.regions(typeset.words(docs))
+    want = reconstruct.titles(reconstruct.merge_paragraphs(reconstruct.page_blocks(regions)))
+    zoned = layout.with_zone(layout.held_lines(typeset.lines(docs)))
+    got = reconstruct.region_titles(layout.classified(layout.split_footnotes(layout.blocks(zoned, with_text=True))))
+    assert sorted(got.collect()) == sorted(want.collect()) and any(r.title for r in got.collect())
