@@ -5,6 +5,7 @@ import time
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quire import queries
 from quire.functions import text as T
 from quire.operators import layout, reconstruct, translate
 from quire.sources import typeset
@@ -70,3 +71,8 @@ def test_titles_need_no_merging(spark):
     zoned = layout.with_zone(layout.held_lines(typeset.lines(docs)))
     got = reconstruct.region_titles(layout.classified(layout.split_footnotes(layout.blocks(zoned, with_text=True))))
     assert sorted(got.collect()) == sorted(want.collect()) and any(r.title for r in got.collect())
+
+
+def test_kinds_of_paragraphs_move_no_words(spark):
+    plan = queries.quote_detect(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "__word_ord" not in plan
