@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document through rANS files and back; see ``rans_store``."""
     docs = _table(spark, sf_dir, "documents")
-    return rans_store.write_and_read(spark, docs, tokenizer_path("byte_bpe_50k.json")).drop("ids")
+    return rans_store.write_and_read(spark, docs, tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

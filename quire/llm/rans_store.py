@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import id_text, keep, new_path, releasing, slices, store
-from quire.llm.token_cache import TEXTS, library_encoder
+from quire.llm.token_cache import library_encoder
 
 MAGIC = b"QRANS001"
 #: Ids of a segment, about; a longer document makes a longer one.
 SEGMENT = 1 << 21
+#: Characters of texts that are encoded together, about: few enough that their words stay in the processor's cache.
+TEXTS = 500_000
 LANES, STEPS, BITS = 32, 512, 20
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<8sIIQII")
@@ -185,7 +187,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
                     total += len(got) // 4 + 1
                     if total >= SEGMENT:
                         flush()
-        encode.clear()
+        # known words stay for the worker's next task: most of the time goes into words met for the first time
         if held:
             flush()
         if out is not None:
@@ -204,8 +206,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
 _ARROW = pa.schema([("file", pa.string()), ("part", pa.int32()), ("segment", pa.int32()), ("offset", pa.int64()), ("size", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def read(manifest: DataFrame) -> DataFrame:
-    """Decodes the segments of a manifest in parallel: ``doc_id, start, n_tokens, ids_crc32, ids`` (ids: little-endian uint32)."""
+def read(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Decodes the segments of a manifest in parallel: ``doc_id, start, n_tokens, ids_crc32, ids`` (ids: little-endian uint32; only ``with_ids``)."""
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -219,14 +222,15 @@ def read(manifest: DataFrame) -> DataFrame:
                 runs = [held[4 * a : 4 * b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
                 null = doc_ids == np.iinfo(np.int64).min
                 yield pd.DataFrame(
-                    {"doc_id": pd.Series(doc_ids, dtype="Int64").mask(null), "start": start + row.first_token, "n_tokens": lengths.astype(np.int64), "ids_crc32": [zlib.crc32(x) for x in runs], "ids": runs}
+                    {"doc_id": pd.Series(doc_ids, dtype="Int64").mask(null), "start": start + row.first_token, "n_tokens": lengths.astype(np.int64), "ids_crc32": [zlib.crc32(x) for x in runs]}
+                    | ({"ids": runs} if with_ids else {})
                 )
 
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = manifest.repartition(tasks, F.col("part"), F.col("segment"))  # a set number: segments are small rows but much work
-    return spread.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return spread.mapInPandas(run, schema)
 
 
-def write_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+def write_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """Files in the shared folder, and what they hold."""
-    return read(keep(write(docs, new_path(spark, "rans"), tokenizer, end_id), "rans-segments"))
+    return read(keep(write(docs, new_path(spark, "rans"), tokenizer, end_id), "rans-segments"), with_ids)

@@ -24,7 +24,7 @@ _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word of Latin letters, on which all versions of Unicode agree, perhaps after a line end, and marks behind it.
 _WORD = re.compile("(\n?)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-/:-@\\[-`{-~]*)")
-#: Parts in the cache from which on it is cleared, as it is at the end of a task. Memory stays bounded; results don't depend on it.
+#: Parts in the cache from which on only those stay that the texts at hand have. Memory stays bounded; results don't depend on it.
 LIMIT = 750_000
 #: Characters of texts that are encoded together, about; a longer text stands alone.
 TEXTS = 4_000_000
@@ -61,7 +61,7 @@ class CachedEncoder:
         for p in cut:
             wanted.update(p[1:])
         if len(self.new) > self.limit:
-            self.clear()
+            self.new = {x: self.new[x] for x in wanted if x in self.new}
         new = self.new
         missing = wanted.difference(new)
         new.update(self.many(missing, new))
