@@ -9,7 +9,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,23 +95,41 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def bit_map(df: DataFrame, value: Column | str, bits: int = MAP_BITS) -> Callable[[Column], Column]:
-    """Whether a value may be one of ``value`` in ``df``: a map of hashed values whose size is fixed. When full it only lets more through."""
+class BitMap:
+    """Whether a value may be one of those that a map of hashed values was made of, as a column function; ``among`` keeps such elements of an array.
+
+    The map is a table of one row that a scalar subquery reads: as a literal it would stand in the text of every plan, which the driver holds for each query that ran.
+    """
+
+    def __init__(self, table: DataFrame, bits: int):
+        self.table, self.bits = table, bits
+
+    def _test(self, held: Column, v: Column | str) -> Column:
+        at = _spot(v, self.bits)
+        return F.getbit(F.get(held, (at / 64).cast("int")), at % 64) == 1
+
+    def __call__(self, v: Column | str) -> Column:
+        return self._test(self.table.scalar(), v)
+
+    def within(self, made: Callable[[Callable[[Column], Column]], Column]) -> Column:
+        """``made`` of the test, for use in functions of elements. No subquery may stand there, so that the map is a literal."""
+        held = F.split(F.lit(",".join(map(str, self.table.first()["held"]))), ",").cast("array<bigint>")  # folded once; a list of literals would take the driver long
+        return made(lambda v: self._test(held, v))
+
+    def among(self, values: Column | str) -> Column:
+        return self.within(lambda test: F.filter(values, test))
 
-    def spot(v: Column | str) -> Column:
-        return F.pmod(F.xxhash64(v), F.lit(bits)).cast("int")
 
-    words = df.select(spot(value).alias("spot")).groupBy((F.col("spot") / 64).cast("int").alias("w"))
-    held = np.zeros(bits // 64, np.int64)
-    table = words.agg(F.expr("bit_or(shiftleft(1L, spot % 64))").alias("b")).toArrow()  # bits / 64 rows at most
-    held[table["w"].to_numpy()] = table["b"].to_numpy()
-    spotted = F.split(F.lit(",".join(map(str, held.tolist()))), ",").cast("array<bigint>")  # folded once; a list of literals would take the driver long
+def _spot(v: Column | str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(v), F.lit(bits)).cast("int")
 
-    def may_be(v: Column) -> Column:
-        at = spot(v)
-        return F.getbit(F.get(spotted, (at / 64).cast("int")), at % 64) == 1
 
-    return may_be
+def bit_map(df: DataFrame, value: Column | str, bits: int = MAP_BITS) -> BitMap:
+    """The map of ``value`` in ``df``, whose size is fixed: when full it only lets more through."""
+    words = df.select(_spot(value, bits).alias("spot")).groupBy((F.col("spot") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, spot % 64))").alias("b"))
+    every = df.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("b"))
+    whole = words.unionByName(every).groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
+    return BitMap(keep(whole.agg(F.sort_array(F.collect_list(F.struct("w", "b")))["b"].alias("held")), "map"), bits)  # bits / 64 words
 
 
 def releasing(run: Callable[..., Iterator]) -> Callable[..., Iterator]:

@@ -177,12 +177,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
 
     # the few forms go with all terms of a document; values only with those that are rare enough to tell of one: n_term <= n_entity (total / n_entity) ** (1 - GENERALISE)
     supported = bit_map(beside, "term", MAP_BITS)
-    by_form = held.select("copy", F.explode("forms").alias("entity"), F.filter("terms", supported).alias("terms")).select("copy", "entity", F.explode("terms").alias("term"))
+    by_form = held.select("copy", F.explode("forms").alias("entity"), supported.among("terms").alias("terms")).select("copy", "entity", F.explode("terms").alias("term"))
     known = entities.filter(F.contains("entity", F.lit(":")))
     most = known.agg(F.max(F.col("n_entity") * F.pow(F.lit(total) / F.col("n_entity"), 1 - GENERALISE))).first()[0] or 0.0
     rare = bit_map(beside.filter(F.col("n_beside") <= most), "term", MAP_BITS)
     met = held.select("row", F.explode("values").alias("entity")).join(known, "entity").groupBy("row").agg(F.collect_list("entity").alias("met"))
-    by_value = held.select("row", "copy", F.filter("terms", rare).alias("terms")).filter(F.size("terms") > 0).join(met, "row")
+    by_value = held.select("row", "copy", rare.among("terms").alias("terms")).filter(F.size("terms") > 0).join(met, "row")
     by_value = by_value.select("copy", "met", F.explode("terms").alias("term")).select("copy", F.explode("met").alias("entity"), "term")
     joint = keep(independent(by_form.unionByName(by_value), "n_joint", "entity", "term").filter(enough("n_joint")), "pii-pairs")
     # a term is at least as frequent as beside personal data of any kind, which bounds what it can tell
@@ -195,11 +195,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     bare = source.select("doc_id", uid, F.col("text").alias("whole"), F.explode(F.array(without_addresses(F.col("text")))).alias("text"))
     alike = bit_map(rows.filter(shared(F.col("print"))), "uid", MAP_BITS)
     may_be = bit_map(joint.select("term").distinct(), "term", MAP_BITS)
-    alone = bare.filter(~alike(F.col("uid"))).select(F.explode(F.array_distinct(F.filter(_words("text"), may_be))).alias("term")).groupBy("term").agg(F.count("*").alias("n_alone"))
+    alone = bare.filter(~alike(F.col("uid"))).select(F.explode(F.array_distinct(may_be.among(_words("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_alone"))
     joint = joint.join(alone, "term", "left").withColumn("n_alone", F.coalesce("n_alone", F.lit(0).cast("long")))
     joint = keep(joint.filter(telling(F.greatest("n_beside", "n_alone"))), "pii-alone")
     left_over = bit_map(joint.select("term").distinct(), "term", MAP_BITS)
-    once = bare.filter(alike(F.col("uid"))).select(bound(F.split("whole", " "), least_shingle).alias("copy"), F.explode(F.array(F.array_distinct(F.filter(_words("text"), left_over)))).alias("terms"))
+    once = bare.filter(alike(F.col("uid"))).select(bound(F.split("whole", " "), least_shingle).alias("copy"), F.explode(F.array(F.array_distinct(left_over.among(_words("text"))))).alias("terms"))
     others = independent(once.select("copy", F.explode("terms").alias("term")), "n_others", "term")
     n_term = F.col("n_alone") + F.coalesce("n_others", F.lit(0).cast("long"))
     told = joint.join(others, "term", "left").withColumn("n_term", n_term).withColumn("disclosure", disclosure(F.col("n_term"))).filter(telling(F.col("n_term")))
@@ -210,7 +210,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
 
     # every occurrence of these terms, in all documents
     there = bit_map(told, "value", MAP_BITS)
-    places = bare.select("doc_id", "uid", F.explode(spans(F.col("text"), _TERM, lambda t: there(F.lower(t)))).alias("t"))
+    places = bare.select("doc_id", "uid", F.explode(there.within(lambda test: spans(F.col("text"), _TERM, lambda t: test(F.lower(t))))).alias("t"))
     places = places.select("doc_id", "uid", "t.start", "t.end", F.lower("t.value").alias("value")).distinct()
     added = places.join(told, "value").select("uid", "doc_id", "start", F.when(F.col("kind") == "general", 4).otherwise(5).alias("order"), "end", "kind", "value")
     return rows.select("uid", "doc_id", "base"), keep(added, "pii-added")
