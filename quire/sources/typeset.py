@@ -133,7 +133,8 @@ def lines(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the columns of ``LINE`` for every line of a page, its header, page number and footnote too."""
     hints = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     _lists.__annotations__ = hints
-    made = F.arrow_udf(_lists, f"array<{LINE}>")
+    # a deterministic function would be worked out twice: the filter that goes with ``inline`` is pushed below it, with a copy of it
+    made = F.arrow_udf(_lists, f"array<{LINE}>").asNondeterministic()
     return docs.select(F.col("doc_id"), made(F.col("doc_id"), F.col("text")).alias("lines")).select("doc_id", F.inline("lines"))
 
 

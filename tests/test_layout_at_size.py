@@ -76,3 +76,10 @@ def test_titles_need_no_merging(spark):
 def test_kinds_of_paragraphs_move_no_words(spark):
     plan = queries.quote_detect(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and "__word_ord" not in plan
+
+
+def test_documents_are_set_once_and_after_they_are_dealt(spark):
+    names = "words_to_lines page_full_text margin_split column_ranges reading_order split_paragraphs style_runs bold_vs_block_median indent_words column_assign title_heading_classify"
+    for name in names.split():
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("REPARTITION_BY_NUM"), name
