@@ -67,17 +67,42 @@ def continued(parts: Column) -> Column:
     return bound(flat, lambda all_: _joined(F.transform(all_, lambda r, i: token(all_, r, i))))
 
 
-def run_rows(words: DataFrame, keys: list[str], order: str = "word_ord", line: str = "line_ord") -> DataFrame:
-    """``run, text, bold, italic`` of each paragraph, out of a row a word: windows in the partitioning of ``keys``, as ``styled`` does for words that are held in an array."""
+def line_parts(rows: DataFrame, keys: list[str], line: str = "line_num") -> DataFrame:
+    """Stretches of one style out of a row a line that holds its ``words`` in their order: what ``run_rows`` takes, with ``first`` and ``last``, the words at the line's
+    ends where a part has them. A column function of each row, so that parts move and not words. Styles are not null."""
+
+    def part(text: Column, ord_: Column, bold: Column, italic: Column, at: Column, start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(at, k + 1), F.size(text))
+        return F.struct(
+            F.get(ord_, start).alias("word_ord"), F.array_join(F.slice(text, start + 1, end - start), " ").alias("text"), F.get(bold, start).alias("is_bold"), F.get(italic, start).alias("is_italic"),
+            F.when(start == 0, F.get(text, start)).alias("first"), F.when(end == F.size(text), F.get(text, end - 1)).alias("last"),
+        )
+
+    def parts(text: Column, ord_: Column, bold: Column, italic: Column) -> Column:
+        changed = lambda i: (i == 0) | (F.get(bold, i) != F.get(bold, i - 1)) | (F.get(italic, i) != F.get(italic, i - 1))
+        opening = F.filter(F.sequence(F.lit(0), F.size(text) - 1), changed)
+        return bound(opening, lambda at: F.transform(at, lambda start, k: part(text, ord_, bold, italic, at, start, k)))
+
+    own = bound(c("words.text"), lambda t: bound(c("words.word_ord"), lambda o: bound(c("words.is_bold"), lambda b: bound(c("words.is_italic"), lambda i: parts(t, o, b, i)))))
+    # a plain inline would work the parts out twice, for the filter that goes with it
+    return rows.filter(F.size("words") > 0).select(*keys, c(line).alias("line_ord"), F.inline_outer(own))
+
+
+def run_rows(words: DataFrame, keys: list[str], order: str = "word_ord", line: str = "line_ord", first: str = "text", last: str = "text") -> DataFrame:
+    """``run, text, bold, italic`` of each paragraph, out of a row a word or a part of a line (``first`` and ``last`` are the words at the line's ends): windows in the
+    partitioning of ``keys``, as ``styled`` does for words that are held in an array."""
     by = Window.partitionBy(*keys).orderBy(order)
-    following = F.lead("text").over(by)
-    cut = F.coalesce(F.lead(line).over(by) != c(line), F.lit(False)) & T.joins_hyphen(c("text"), c("__next"))
-    rows = words.withColumn("__next", following).withColumn("__cut", cut)
+    following, next_line = F.lead(first).over(by), F.lead(line).over(by)
+    cut = F.coalesce(next_line != c(line), F.lit(False)) & T.joins_hyphen(c(last), c("__next"))
+    rows = words.withColumn("__next", following).withColumn("__cut", cut).withColumn("__end", next_line.isNull())
     changed = F.coalesce((c("is_bold") != F.lag("is_bold").over(by)) | (c("is_italic") != F.lag("is_italic").over(by)), F.lit(False))
-    token = F.when(c("__cut"), F.left("text", F.length("text") - 1)).when(c("__next").isNull(), c("text")).otherwise(F.concat("text", F.lit(" ")))
-    rows = rows.withColumn("__token", token).withColumn("__changed", changed.cast("int")).withColumn("run", F.sum("__changed").over(by))
-    made = rows.groupBy(*keys, "run").agg(F.expr(f"listagg(__token, '') WITHIN GROUP (ORDER BY {order})").alias("text"), F.first("is_bold").alias("bold"), F.first("is_italic").alias("italic"))
-    return made.select(*keys, c("run").cast("long").alias("run"), "text", "bold", "italic")
+    token = F.when(c("__cut"), F.left("text", F.length("text") - 1)).when(c("__end"), c("text")).otherwise(F.concat("text", F.lit(" ")))
+    rows = rows.withColumn("__token", token).withColumn("__changed", changed.cast("int")).withColumn("__opens", F.lag(line).over(by).isNull() | changed)
+    rows = rows.withColumn("run", F.sum("__changed").over(by))
+    # runs are many and short: a window that sorts rows is cheaper here than an aggregate, whose buffers are objects
+    whole = Window.partitionBy(*keys, "run").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    made = rows.withColumn("__text", F.array_join(F.collect_list("__token").over(whole), "")).filter("__opens")
+    return made.select(*keys, c("run").cast("long").alias("run"), c("__text").alias("text"), c("is_bold").alias("bold"), c("is_italic").alias("italic"))
 
 
 def runs(words: DataFrame, keys: list[str], order: str = "word_ord", line: str = "line_ord") -> DataFrame:

@@ -83,3 +83,23 @@ def test_documents_are_set_once_and_after_they_are_dealt(spark):
     for name in names.split():
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("REPARTITION_BY_NUM"), name
+
+
+def test_runs_from_parts_of_lines_are_those_from_words(spark):
+    word = lambda n, text, bold=False, italic=False: (n, text, 0, 0, 90, bold, italic)
+    made = [(1, 0, 1, 0, 0, 0, 20, [word(0, "Una", True), word(2, "pa-", True)]), (1, 0, 1, 0, 1, 50, 20, [word(10, "labra", True), word(12, "y"), word(14, "X-")]), (1, 0, 1, 0, 2, 99, 20, [word(20, "Y"), word(22, "", True, True), word(24, "z-", False, True)]), (1, 0, 1, 0, 3, 140, 20, [])]
+    small = spark.createDataFrame(made, f"doc_id long, {typeset.LINE[7:-1]}")
+    keys = ["doc_id", "page_index", "block_num", "par_num"]
+    for rows, least in ((small, 4), (typeset.lines(_documents(spark)), 100)):
+        words = rows.select(*keys, F.col("line_num").alias("line_ord"), F.inline("words"))
+        parts = reconstruct.line_parts(rows, keys)
+        assert parts.count() < words.count()
+        got, want = reconstruct.run_rows(parts, keys, first="first", last="last"), reconstruct.run_rows(words, keys)
+        assert sorted(got.collect()) == sorted(want.collect()) and got.count() >= least
+    runs = reconstruct.run_rows(reconstruct.line_parts(small, keys), keys, first="first", last="last")
+    assert [tuple(r)[5:] for r in runs.orderBy("run").collect()] == [("Una palabra ", True, False), ("y X- Y ", False, False), (" ", True, True), ("z-", False, True)]
+
+
+def test_style_runs_move_no_words(spark):
+    plan = queries.style_runs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate inline(words" not in plan and "listagg" not in plan
