@@ -55,16 +55,17 @@ def lines(words: DataFrame, with_words: bool = False) -> DataFrame:
 
 
 def held_lines(rows: DataFrame, with_words: bool = False) -> DataFrame:
-    """What ``lines`` gives, out of a row a line that holds its ``words`` in their order (an array of ``word_ord, text, l, r, confidence, is_bold, is_italic``) and their
-    common ``t, h``: no sort, a column function of each row. Only lines that are to hold their words move, by page."""
+    """What ``lines`` gives, out of a row a line that holds its ``words`` in their order (an array of ``word_ord, text, l, r, confidence, is_bold, is_italic``, or an array
+    for each of these; styles only if lines are to hold their words) and their common ``t, h``: no sort, a column function of each row. Only lines that are to hold their words move, by page."""
     total = F.aggregate("words.confidence", F.lit(0).cast("long"), lambda s, x: s + x)
     parts = ("word_ord", "text", "is_bold", "is_italic")
-    made = rows.select(
+    # whether a line is blank, its first words tell; asked of its text, the text would be joined once for the filter and once more for the rows that stay
+    there = rows.filter(F.exists("words.text", T.has_mark))
+    made = there.select(
         *PAGE, *_sized(rows), "block_num", "par_num", "line_num", F.array_min("words.word_ord").alias("line_ord"), F.array_join("words.text", " ").alias("text"), F.array_min("words.l").alias("l"), "t",
-        F.array_max("words.r").alias("r"), (c("t") + c("h")).alias("b"), (total.cast("double") / F.size("words")).alias("confidence"), F.size("words").cast("long").alias("n_words"),
+        F.array_max("words.r").alias("r"), (c("t") + c("h")).alias("b"), (total.cast("double") / F.size("words.text")).alias("confidence"), F.size("words.text").cast("long").alias("n_words"),
         *([c(f"words.{n}").alias(f"__{n}") for n in parts] if with_words else []),
     )
-    made = made.filter(T.strip(c("text")) != "")
     if not with_words:
         return made
     # words move as plain arrays, and their text once
@@ -78,7 +79,7 @@ def with_zone(lines: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFr
     y = (c("t") + c("b")) / 2
     top, bottom = y <= height * HEADER, y >= height * (1 - FOOTER)
     on = F.lit
-    number = on(config.detect_page_numbers) & T.looks_like_page_number(c("text")) & (top | bottom)
+    number = on(config.detect_page_numbers) & (top | bottom) & T.looks_like_page_number(c("text"))
     zone = F.when(number, "page_number").when(on(config.detect_headers) & top, "header").when(on(config.detect_footers) & bottom, "footer").otherwise("body")
     return lines.withColumn("zone", zone)
 

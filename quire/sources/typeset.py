@@ -25,6 +25,9 @@ LINE = (
     "struct<page_index: long, block_num: long, par_num: long, line_num: long, t: long, h: long, "
     "words: array<struct<word_ord: long, text: string, l: long, r: long, confidence: long, is_bold: boolean, is_italic: boolean>>>"
 )
+#: What ``lines`` gives of a word, and what lines take of it that are to hold no words.
+FIELDS = {"word_ord": "long", "text": "string", "l": "long", "r": "long", "confidence": "long", "is_bold": "boolean", "is_italic": "boolean"}
+PLACED = ("word_ord", "text", "l", "r", "confidence")
 #: Characters that are set at once, about; a longer document goes alone.
 AT_ONCE = 1 << 20
 
@@ -42,8 +45,8 @@ def _starts(of: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(of, np.arange(n + 1))
 
 
-def _set(ids: np.ndarray, texts: pa.Array) -> pa.Array:
-    """Lists of ``LINE``, one for each text; none is null."""
+def _set(ids: np.ndarray, texts: pa.Array, fields: tuple[str, ...] = ()) -> pa.Array:
+    """Lists of ``LINE``, one for each text; none is null. With ``fields``, a line's words are an array for each of them."""
     lines, line_doc, ln = _split(texts, "\n")
     word, word_line, wo = _split(lines, " ")
     two = ids % 3 == 0
@@ -95,18 +98,19 @@ def _set(ids: np.ndarray, texts: pa.Array) -> pa.Array:
     joined = lambda body, *rest: np.concatenate([body, *rest]).astype(np.int64)
     each = lambda i: [np.full(len(m[0]), m[i]) for m in margins]
     none = [np.zeros(len(m[0])) for m in margins]
-    words = pa.StructArray.from_arrays(
-        [
+    words = dict(zip(FIELDS, (
             pa.array(joined(g[at] * 100_000 + 2 * wo + second, *each(3))), pa.concat_arrays([text, *[m[2] for m in margins]]), pa.array(joined(l, *[x + 180 for x in none])), pa.array(joined(r, *[180 + 15 * s for s in sizes])),
             pa.array(joined(30 + (13 * size + 7 * wo) % 70, *[x + 95 for x in none])), pa.array(np.concatenate([size % 9 == 0, *[x > 0 for x in none]])), pa.array(np.concatenate([size % 11 == 0, *[x > 0 for x in none]])),
-        ],
-        ["word_ord", "text", "l", "r", "confidence", "is_bold", "is_italic"],
-    )
-    ends = np.concatenate([first, np.arange(len(of), len(words) + 1)]).astype(np.int32)
+    )))
+    ends = pa.array(np.concatenate([first, np.arange(len(of), len(words["text"]) + 1)]).astype(np.int32))
+    if fields:
+        held = pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, words[f]) for f in fields], list(fields))
+    else:
+        held = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(list(words.values()), list(words)))
     made = pa.StructArray.from_arrays(
         [
             pa.array(joined(page, *[m[1] for m in margins])), pa.array(joined(100_000 * (col + 1) + np.where(g == 0, 0, np.where(heading, 2, 1)), *each(6))), pa.array(joined(np.where(heading, ln, ln // 4), *none)),
-            pa.array(joined(g, *none)), pa.array(joined(240 + 46 * row + 30 * opened, *each(4))), pa.array(joined(np.where(g == 0, 60, np.where(heading, 48, 40)), *each(5))), pa.ListArray.from_arrays(pa.array(ends), words),
+            pa.array(joined(g, *none)), pa.array(joined(240 + 46 * row + 30 * opened, *each(4))), pa.array(joined(np.where(g == 0, 60, np.where(heading, 48, 40)), *each(5))), held,
         ],
         ["page_index", "block_num", "par_num", "line_num", "t", "h", "words"],
     )
@@ -115,7 +119,7 @@ def _set(ids: np.ndarray, texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(_starts(docs[order], len(ids)).astype(np.int32)), made.take(pa.array(order)))
 
 
-def _lists(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def _lists(batches: Iterator[tuple[pa.Array, pa.Array]], fields: tuple[str, ...] = ()) -> Iterator[pa.Array]:
     for ids, texts in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
         start = 0
@@ -123,18 +127,23 @@ def _lists(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + AT_ONCE, "right")))
             own, number = texts.slice(start, end - start), ids.slice(start, end - start)
             there = pc.is_valid(own)
-            made = _set(number.filter(there).to_numpy(), own.filter(there)) if pc.any(there).as_py() else pa.array([], pa.null())
+            made = _set(number.filter(there).to_numpy(), own.filter(there), fields) if pc.any(there).as_py() else pa.array([], pa.null())
             # a document without a text has no lines
             yield made if own.null_count == 0 else made.take(pa.array(np.cumsum(there.to_numpy(zero_copy_only=False)) - 1, mask=~there.to_numpy(zero_copy_only=False)))
             start = end
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the columns of ``LINE`` for every line of a page, its header, page number and footnote too."""
-    hints = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    _lists.__annotations__ = hints
+def lines(docs: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id`` and the columns of ``LINE`` for every line of a page, its header, page number and footnote too. With ``fields`` (some of ``FIELDS``), ``words`` is
+    a struct of an array for each of them: whole columns of numbers cross from Python and are read as they are, where an array of structs is taken apart word by word."""
+
+    def _lists_of(batches):  # noqa: ANN001, ANN202
+        return _lists(batches, fields)
+
+    _lists_of.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    line = LINE if not fields else LINE[: LINE.index("words:")] + "words: struct<" + ", ".join(f"{f}: array<{FIELDS[f]}>" for f in fields) + ">>"
     # a deterministic function would be worked out twice: the filter that goes with ``inline`` is pushed below it, with a copy of it
-    made = F.arrow_udf(_lists, f"array<{LINE}>").asNondeterministic()
+    made = F.arrow_udf(_lists_of, f"array<{line}>").asNondeterministic()
     return docs.select(F.col("doc_id"), made(F.col("doc_id"), F.col("text")).alias("lines")).select("doc_id", F.inline("lines"))
 
 

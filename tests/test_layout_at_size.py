@@ -64,6 +64,27 @@ def test_lines_from_held_words_are_those_from_words(spark):
         assert rows[0] == rows[1] and len(rows[0]) > 100
 
 
+def test_lines_from_words_held_as_columns_are_those_from_words(spark):
+    docs = _documents(spark)
+    for with_words, fields in ((False, typeset.PLACED), (True, tuple(typeset.FIELDS))):
+        rows = typeset.lines(docs, fields)
+        assert rows.schema["words"].dataType.names == list(fields)
+        flat, held = layout.lines(typeset.words(docs), with_words), layout.held_lines(rows, with_words)
+        order = F.sort_array("words").alias("words") if with_words else F.lit(0)
+        got, want = (sorted(map(str, df.select(*sorted(set(flat.columns) - {"words"}), order).collect())) for df in (held, flat))
+        assert got == want and len(got) > 100
+
+
+def test_blank_lines_go_and_text_is_joined_once(spark):
+    word = lambda n, text: (n, text, 0, 0, 90, False, False)
+    texts = [[" ", ""], ["", "\u3000", "x"], [], ["\u00a0\u2003"], ["\u200b"], None]
+    made = [(1, 0, 1, 0, i, 0, 20, t and [word(j, x) for j, x in enumerate(t)] if t is not None else None) for i, t in enumerate(texts)]
+    rows = spark.createDataFrame(made, f"doc_id long, {typeset.LINE[7:-1]}")
+    assert sorted(r.line_num for r in layout.held_lines(rows).collect()) == [1, 4]
+    plan = queries.words_to_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("array_join") == 1 and "is_bold" not in plan
+
+
 def test_titles_need_no_merging(spark):
     docs = _documents(spark)
     regions = layout.regions(typeset.words(docs))
