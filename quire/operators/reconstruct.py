@@ -21,12 +21,14 @@ PARAGRAPH = [*REGION, "para"]
 def paragraphs(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``para, indent_threshold, baseline_left`` to lines of regions: a new paragraph at an indent, a large gap or a list marker."""
     whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("line_ord")
-    first = lines.withColumn("gap", c("t") - F.lag("b").over(order))
-    first = first.withColumn("baseline_left", F.median("l").over(whole)).withColumn("indent_threshold", F.coalesce(F.median(c("b") - c("t")).over(whole), F.lit(20.0)) * CHAR * INDENT)
+    # markers are looked for before rows move, so that windows need no text
+    first = lines.withColumn("__item", T.is_list_item(c("text"))).withColumn("__height", c("b") - c("t")).withColumn("gap", c("t") - F.lag("b").over(order))
+    middles = {"baseline_left": F.median("l").over(whole), "indent_threshold": F.coalesce(F.median("__height").over(whole), F.lit(20.0)) * CHAR * INDENT}
+    first = first.withColumns(middles)
     first = first.withColumn("typical", F.coalesce(F.median(F.when(c("gap") > 0, c("gap"))).over(whole), F.lit(0.0)))
-    opens = (c("l") - c("baseline_left") > c("indent_threshold")) | ((c("typical") > 0) & (c("gap") > c("typical") * GAP)) | T.is_list_item(c("text"))
+    opens = (c("l") - c("baseline_left") > c("indent_threshold")) | ((c("typical") > 0) & (c("gap") > c("typical") * GAP)) | c("__item")
     opens = F.when(c("gap").isNull(), 0).when(opens, 1).otherwise(0)
-    return first.withColumn("opens", opens).withColumn("para", F.sum("opens").over(order)).drop("opens", "gap", "typical")
+    return first.withColumn("opens", opens).withColumn("para", F.sum("opens").over(order)).drop("opens", "gap", "typical", "__item", "__height")
 
 
 def _joined(tokens: Column) -> Column:

@@ -85,6 +85,18 @@ def test_blank_lines_go_and_text_is_joined_once(spark):
     assert plan.count("array_join") == 1 and "is_bold" not in plan
 
 
+ODD = ["", " ", None, "1. a", "1.", "1. ", "\u00a0\n2)\u2003b", " • x", "•x", "-\u3000", "xiv) y", "xivx) y", "abc. d", "a) ", "1234. x", "a\n1. b", "\u0661. x", "¹x", " ²", "3 ", "3 \u00a0", " 4 x", "5.) x", "*", "* ", "*\tn", "\u20071)\n\nz", "12.\u0085q"]
+
+
+def test_paragraphs_move_no_text(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "i int, x string")
+    x = F.col("x")
+    apart = T.lstrip(x).rlike(T.BULLET) | T.lstrip(x).rlike(T.NUMBERED)
+    assert rows.filter(~T.is_list_item(x).eqNullSafe(apart)).count() == 0 < rows.filter(T.is_list_item(x)).count()
+    plan = queries.split_paragraphs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan[: plan.index("Exchange")] and plan.count("Window [percentile(") == 2
+
+
 def test_titles_need_no_merging(spark):
     docs = _documents(spark)
     regions = layout.regions(typeset.words(docs))
