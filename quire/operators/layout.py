@@ -85,12 +85,13 @@ def with_zone(lines: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFr
 
 
 def blocks(zoned: DataFrame, with_text: bool = False) -> DataFrame:
-    """A row for each (zone, block, paragraph) of a page; lines that carry their words are held in ``lines``, others if ``with_text`` with order and text only."""
+    """A row for each (zone, block, paragraph) of a page; lines that carry their words are held in ``lines``, others if ``with_text`` with order and text only.
+    ``first_marks``: whether the first line begins with a footnote's marker. All of a block but its lines has a fixed size, so rows without them are neither sorted nor carry text."""
     text = [F.collect_list(F.struct("line_ord", "text")).alias("lines")] if with_text else []
     held = [F.collect_list(F.struct("line_ord", "text", "l", "t", "r", "b", "words")).alias("lines")] if "words" in zoned.columns else text
-    return zoned.groupBy(*BLOCK, *_sized(zoned)).agg(
+    return zoned.withColumn("__marks", T.looks_like_footnote_marker(c("text"))).groupBy(*BLOCK, *_sized(zoned)).agg(
         F.min("line_ord").alias("block_ord"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"), F.avg(c("b") - c("t")).alias("line_height"),
-        F.min_by("text", "line_ord").alias("first_text"), F.count("*").alias("n_lines"), *held,
+        F.min_by("__marks", "line_ord").alias("first_marks"), F.count("*").alias("n_lines"), *held,
     )
 
 
@@ -105,7 +106,7 @@ def split_footnotes(blocks: DataFrame, config: LayoutConfig = LayoutConfig()) ->
     with_median = blocks.withColumn("__m", _median(F.when(body, c("line_height")), *PAGE))
     small = (c("__m") > 0) & (c("line_height") <= c("__m") * SMALL)
     low = (y >= height * (1 - FOOTNOTE)) & (y < height * (1 - FOOTER))
-    note = F.lit(config.detect_footnotes) & body & low & (small | T.looks_like_footnote_marker(c("first_text")))
+    note = F.lit(config.detect_footnotes) & body & low & (small | c("first_marks"))
     return with_median.withColumn("zone2", F.when(note, "footnote").otherwise(c("zone"))).drop("__m")
 
 

@@ -97,6 +97,17 @@ def test_paragraphs_move_no_text(spark):
     assert "text#" not in plan[: plan.index("Exchange")] and plan.count("Window [percentile(") == 2
 
 
+def test_blocks_are_neither_sorted_nor_carry_text(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "i int, x string")
+    x = F.col("x")
+    stripped = T.strip(x).rlike(r"^((?U:\d{1,3})[.)]?(?U:\s)|\*(?U:\s)|[¹²³⁴⁵⁶⁷⁸⁹])")
+    assert rows.filter(~T.looks_like_footnote_marker(x).eqNullSafe(stripped)).count() == 0 < rows.filter(T.looks_like_footnote_marker(x)).count()
+    for name in ("column_assign", "column_ranges", "title_heading_classify"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        steps = [x for x in plan.split("\n") if "Aggregate(" in x and "min_by" in x]
+        assert len(steps) == 2 and all("HashAggregate" in x and "text#" not in x for x in steps), name
+
+
 def test_titles_need_no_merging(spark):
     docs = _documents(spark)
     regions = layout.regions(typeset.words(docs))
