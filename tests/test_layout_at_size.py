@@ -108,6 +108,11 @@ def test_blocks_are_neither_sorted_nor_carry_text(spark):
         assert len(steps) == 2 and all("HashAggregate" in x and "text#" not in x for x in steps), name
 
 
+def test_first_words_move_and_no_lines(spark):
+    plan = queries.indent_words(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan[: plan.index("Exchange")]
+
+
 def test_titles_need_no_merging(spark):
     docs = _documents(spark)
     regions = layout.regions(typeset.words(docs))
