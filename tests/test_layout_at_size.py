@@ -31,6 +31,19 @@ def test_pairs_of_lines_with_a_very_long_one(spark):
     assert time.monotonic() - start < 15
 
 
+def test_pairs_of_odd_lines_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from quire.oracles import ORACLES
+
+    texts = ["a\n\nb", "x  y \n\tz\n\n\n", "", None, "\n", "a\n \nb\nc", " lead\u3000\r\nq\u00a0", "a\nb", "a\nb\nc"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = base.execute(ORACLES["blank_line_paragraphs"]).fetchall()
+    assert sorted(map(tuple, queries.blank_line_paragraphs(spark, str(tmp_path)).collect())) == sorted(want) and len(want) == 13
+
+
 def _documents(spark):
     long = " ".join("palabra" * (1 + i % 3) + ("." if i % 9 == 0 else "") for i in range(3000))
     texts = ["Uno dos.\n\n tres  cuatro\n" + "\n".join(f"linea {i} extraordinariamente larga para una columna estrecha de texto" for i in range(90)), "", None, long, " ", "ñandú extraordinario"]
