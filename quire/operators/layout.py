@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.config import LayoutConfig
 from quire.functions import text as T
+from quire.functions.arrays import bound
 from quire.sources.typeset import PAGE_HEIGHT, PAGE_WIDTH
 
 PAGE = ("doc_id", "page_index")
@@ -54,9 +55,30 @@ def lines(words: DataFrame, with_words: bool = False) -> DataFrame:
     return made.filter(T.strip(c("text")) != "")
 
 
-def held_lines(rows: DataFrame, with_words: bool = False) -> DataFrame:
+def line_style(text: Column, bold: Column, italic: Column) -> Column:
+    """What runs need of a line, out of arrays of its words' fields in their order: ``text, bold, italic`` (an array each) of its stretches of one style, how many words
+    it has and how many of them are bold and italic, whether its last one is cut by a hyphen (``cut``), and whether its first one begins ``small``."""
+
+    def made(text: Column, bold: Column, italic: Column) -> Column:
+        changed = lambda i: (i == 0) | (F.get(bold, i) != F.get(bold, i - 1)) | (F.get(italic, i) != F.get(italic, i - 1))
+        opening = F.filter(F.sequence(F.lit(0), F.size(text) - 1), changed)
+        stretch = lambda at, start, k: F.array_join(F.slice(text, start + 1, F.coalesce(F.get(at, k + 1), F.size(text)) - start), " ")
+        length = lambda at: F.transform(at, lambda start, k: F.coalesce(F.get(at, k + 1), F.size(text)) - start)
+        many = lambda at, flags: F.aggregate(F.zip_with(at, length(at), lambda start, n: F.when(F.get(flags, start), n).otherwise(0)), F.lit(0), lambda s, x: s + x)
+        there = lambda flag: F.coalesce(flag, F.lit(False))
+        return bound(opening, lambda at: F.struct(
+            F.transform(at, lambda start, k: stretch(at, start, k)).alias("text"), F.transform(at, lambda start: F.get(bold, start)).alias("bold"), F.transform(at, lambda start: F.get(italic, start)).alias("italic"),
+            F.size(text).alias("n_words"), many(at, bold).alias("n_bold"), many(at, italic).alias("n_italic"),
+            there(T.ends_cut(F.get(text, F.size(text) - 1))).alias("cut"), there(T.begins_small(F.get(text, F.lit(0)))).alias("small"),
+        ))
+
+    return bound(text, lambda t: bound(bold, lambda b: bound(italic, lambda i: F.when(F.size(t) > 0, made(t, b, i)))))
+
+
+def held_lines(rows: DataFrame, with_words: bool = False, with_style: bool = False) -> DataFrame:
     """What ``lines`` gives, out of a row a line that holds its ``words`` in their order (an array of ``word_ord, text, l, r, confidence, is_bold, is_italic``, or an array
-    for each of these; styles only if lines are to hold their words) and their common ``t, h``: no sort, a column function of each row. Only lines that are to hold their words move, by page."""
+    for each of these; styles only if lines are to hold their words) and their common ``t, h``: no sort, a column function of each row. Only lines that are to hold their words, or
+    their ``line_style`` as ``style``, its stretches joined by line ends, move, by page."""
     total = F.aggregate("words.confidence", F.lit(0).cast("long"), lambda s, x: s + x)
     parts = ("word_ord", "text", "is_bold", "is_italic")
     # whether a line is blank, its first words tell; asked of its text, the text would be joined once for the filter and once more for the rows that stay
@@ -65,7 +87,12 @@ def held_lines(rows: DataFrame, with_words: bool = False) -> DataFrame:
         *PAGE, *_sized(rows), "block_num", "par_num", "line_num", F.array_min("words.word_ord").alias("line_ord"), F.array_join("words.text", " ").alias("text"), F.array_min("words.l").alias("l"), "t",
         F.array_max("words.r").alias("r"), (c("t") + c("h")).alias("b"), (total.cast("double") / F.size("words.text")).alias("confidence"), F.size("words.text").cast("long").alias("n_words"),
         *([c(f"words.{n}").alias(f"__{n}") for n in parts] if with_words else []),
+        *([line_style(*[c(f"words.{n}") for n in parts[1:]]).alias("style")] if with_style else []),
     )
+    if with_style:
+        # stretches of one style move instead of words, as one text: a line has no line end
+        moved = by_page(made.drop("text").withColumn("style", c("style").withField("text", F.array_join("style.text", "\n"))))
+        return moved.withColumn("text", F.replace(c("style.text"), F.lit("\n"), F.lit(" ")))
     if not with_words:
         return made
     # words move as plain arrays, and their text once
@@ -85,10 +112,11 @@ def with_zone(lines: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFr
 
 
 def blocks(zoned: DataFrame, with_text: bool = False) -> DataFrame:
-    """A row for each (zone, block, paragraph) of a page; lines that carry their words are held in ``lines``, others if ``with_text`` with order and text only.
+    """A row for each (zone, block, paragraph) of a page; lines that carry their words or ``style`` are held in ``lines``, others if ``with_text`` with order and text only.
     ``first_marks``: whether the first line begins with a footnote's marker. All of a block but its lines has a fixed size, so rows without them are neither sorted nor carry text."""
     text = [F.collect_list(F.struct("line_ord", "text")).alias("lines")] if with_text else []
     held = [F.collect_list(F.struct("line_ord", "text", "l", "t", "r", "b", "words")).alias("lines")] if "words" in zoned.columns else text
+    held = [F.collect_list(F.struct("line_ord", "l", "t", "r", "b", "style")).alias("lines")] if "style" in zoned.columns else held
     return zoned.withColumn("__marks", T.looks_like_footnote_marker(c("text"))).groupBy(*BLOCK, *_sized(zoned)).agg(
         F.min("line_ord").alias("block_ord"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"), F.avg(c("b") - c("t")).alias("line_height"),
         F.min_by("__marks", "line_ord").alias("first_marks"), F.count("*").alias("n_lines"), *held,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.arrays import bound
-from quire.operators.layout import BLOCK, PAGE
+from quire.operators.layout import BLOCK, PAGE, line_style
 from quire.tables import kept
 
 # Fixed thresholds.
@@ -56,6 +56,25 @@ def styled(words: Column) -> Column:
     return bound(words, lambda all_: _joined(F.transform(all_, lambda w, i: token(all_, w, i))))
 
 
+def styled_lines(lines: Column) -> Column:
+    """What ``styled`` gives, out of a paragraph's ``lines`` (an array of structs with ``style``, as ``layout.line_style`` makes it, in order)."""
+
+    def tokens(lines: Column, line: Column, i: Column) -> Column:
+        own, before, after = line["style"], F.get(lines, i - 1)["style"], F.get(lines, i + 1)["style"]
+        cut = F.coalesce(own["cut"] & after["small"], F.lit(False))
+
+        def token(text: Column, k: Column) -> Column:
+            bold, italic = F.get(own["bold"], k), F.get(own["italic"], k)
+            same = F.coalesce((F.element_at(before["bold"], -1) == bold) & (F.element_at(before["italic"], -1) == italic), F.lit(False))
+            last = F.when(after.isNull(), text).when(cut, F.left(text, F.length(text) - 1)).otherwise(F.concat(text, F.lit(" ")))
+            whole = F.when(k < F.size(own["text"]) - 1, F.concat(text, F.lit(" "))).otherwise(last)
+            return F.struct(whole.alias("text"), bold.alias("bold"), italic.alias("italic"), ((k > 0) | ~same).alias("opens"))
+
+        return F.transform(own["text"], token)
+
+    return bound(lines, lambda all_: _joined(F.flatten(F.transform(all_, lambda line, i: tokens(all_, line, i)))))
+
+
 def continued(parts: Column) -> Column:
     """Runs of a paragraph out of those of its parts (an array of arrays of runs, in order): a space between parts, and one run where
     the style goes on."""
@@ -128,16 +147,24 @@ def page_blocks(regions: DataFrame) -> DataFrame:
     margins = Window.partitionBy(*PAGE, "column_index")
     kept = kept.withColumn("column_left", F.median(F.when(c("type") == "body_text", c("l"))).over(margins))
     held = kept.select(*REGION, "type", "reading_order", "column_left", c("r").alias("region_right"), F.inline("lines"))
-    held = paragraphs(held, REGION).withColumn("para", F.when(c("type") == "body_text", c("para")).otherwise(0))
-    placed = F.transform("words", lambda w: F.struct(w["word_ord"].alias("word_ord"), c("line_ord").alias("line_ord"), w["text"].alias("text"), w["is_bold"].alias("is_bold"), w["is_italic"].alias("is_italic")))
+    if "words" in held.columns:
+        own = F.sort_array("words")
+        held = held.withColumn("style", line_style(own["text"], own["is_bold"], own["is_italic"])).drop("words")
+        stretches = c("style")
+    else:
+        held = held.withColumn("text", F.replace(c("style.text"), F.lit("\n"), F.lit(" ")))
+        stretches = c("style").withField("text", F.split("style.text", "\n"))
+    # windows carry a line's text once, in its style
+    held = held.withColumn("first", F.struct(T.is_list_item(c("text")).alias("item"), T.is_numbered(c("text")).alias("numbered"), "l"))
+    held = paragraphs(held, REGION).drop("text").withColumn("para", F.when(c("type") == "body_text", c("para")).otherwise(0)).withColumn("style", stretches)
     # blocks of whole paragraphs
-    para = held.withColumn("words", placed).groupBy(*PARAGRAPH, "type", "reading_order", "column_left", "region_right", "baseline_left", "indent_threshold").agg(
-        F.min_by("text", "line_ord").alias("first_text"), F.min_by("l", "line_ord").alias("first_left"), F.median("l").alias("left"), F.median("r").alias("right"), F.count("*").alias("n_lines"),
-        F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY line_ord)").alias("joined"), F.sort_array(F.flatten(F.collect_list("words"))).alias("words"),
+    para = held.groupBy(*PARAGRAPH, "type", "reading_order", "column_left", "region_right", "baseline_left", "indent_threshold").agg(
+        F.min_by("first", "line_ord").alias("first"), F.median("l").alias("left"), F.median("r").alias("right"), F.count("*").alias("n_lines"),
+        F.sort_array(F.collect_list(F.struct("line_ord", "style"))).alias("lines"), *[F.sum(f"style.{n}").alias(n) for n in ("n_words", "n_bold", "n_italic")],
     )
-    most = lambda style: F.size(F.filter("words", lambda w: w[style])) > F.size("words") / 2
-    made = para.withColumn("runs", styled(c("words"))).withColumn("bold", most("is_bold")).withColumn("italic", most("is_italic"))
-    list_, heading = T.is_list_item(c("first_text")), c("type").isin("title", "heading")
+    made = para.withColumn("joined", F.array_join(F.flatten(F.transform("lines", lambda x: x["style"]["text"])), " "))
+    made = made.withColumn("runs", styled_lines(c("lines"))).withColumn("bold", c("n_bold") > c("n_words") / 2).withColumn("italic", c("n_italic") > c("n_words") / 2)
+    list_, heading = c("first.item"), c("type").isin("title", "heading")
     quote = (c("n_lines") > 1) & (c("left") - F.coalesce("column_left", "baseline_left") > c("indent_threshold") * QUOTE) & (c("region_right") - c("right") > c("indent_threshold"))
     kind = F.when(c("type") != "body_text", c("type")).when(list_, "list_item").when(quote, "quote").otherwise("paragraph")
     first = F.get("runs", F.lit(0))["text"]
@@ -146,11 +173,17 @@ def page_blocks(regions: DataFrame) -> DataFrame:
     final = F.when(heading, F.array(F.struct(c("joined").alias("text"), c("bold"), c("italic")))).when(marker.isNotNull(), bare).otherwise(c("runs"))
     return made.select(
         *PAGE, "reading_order", c("para").cast("long").alias("para"), kind.alias("type"), final.alias("runs"), F.when(c("type") == "heading", 2).otherwise(1).alias("level"),
-        (F.coalesce(T.is_numbered(c("first_text")), F.lit(False)) & (c("type") == "body_text")).alias("list_ordered"), marker.alias("footnote_marker"),
-        ((c("type") == "body_text") & (c("first_left") - c("baseline_left") > c("indent_threshold"))).alias("first_line_indent"),
+        (F.coalesce(c("first.numbered"), F.lit(False)) & (c("type") == "body_text")).alias("list_ordered"), marker.alias("footnote_marker"),
+        ((c("type") == "body_text") & (c("first.l") - c("baseline_left") > c("indent_threshold"))).alias("first_line_indent"),
     )
 
 
+def _ends(runs: str) -> Column:
+    """Whether a block's text ends a sentence: its last run tells, unless that is blank."""
+    last = F.get(runs, F.size(runs) - 1)["text"]
+    return F.when(T.has_mark(last), T.ends_sentence(last)).otherwise(T.ends_sentence(plain(runs)))
+
+
 _REST = ["level", "list_ordered", "footnote_marker", "first_line_indent"]
 
 
@@ -158,18 +191,36 @@ def page_rows(blocks: DataFrame) -> DataFrame:
     """A row a page: its blocks as the array ``held``, with paragraphs joined that go on within the page; ``n`` of them; whether the first could go on
     one before (``joins``) and whether the last is a paragraph that ends no sentence (``open``). All in the partitioning of pages."""
     order = Window.partitionBy(*PAGE).orderBy("reading_order", "para")
-    b = blocks.withColumn("ends", T.ends_sentence(plain("runs")))
+    b = blocks.withColumn("ends", _ends("runs"))
     goes_on = (c("type") == "paragraph") & (F.lag("type").over(order) == "paragraph") & ~F.lag("ends").over(order)
     b = b.withColumn("starts", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("local", F.sum("starts").over(order))
     at = F.struct("reading_order", "para")
     parts = F.sort_array(F.collect_list(F.struct("reading_order", "para", "runs")))
     first = F.min_by(F.struct("type", *_REST), at)
-    whole = b.groupBy(*PAGE, "local").agg(first.alias("f"), continued(F.transform(parts, lambda p: p["runs"])).alias("runs"), F.max_by("ends", at).alias("ends"))
+    whole = b.groupBy(*PAGE, "local").agg(first.alias("f"), parts.alias("parts"), F.max_by("ends", at).alias("ends"))
+    whole = whole.withColumn("runs", joined_parts("parts"))
     held = whole.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("local", "f.type", "runs", "ends", *[f"f.{n}" for n in _REST]))).alias("held"))
     last = F.element_at("held", -1)
     return held.select(*PAGE, "held", F.size("held").cast("long").alias("n"), (F.get("held", F.lit(0))["type"] == "paragraph").alias("joins"), ((last["type"] == "paragraph") & ~last["ends"]).alias("open"))
 
 
+def gathered(blocks: DataFrame) -> DataFrame:
+    """What ``merge_paragraphs`` gives, without ``source_page``, for what makes a row a document of them: blocks move to their document once, and no table is kept between."""
+    order = Window.partitionBy("doc_id").orderBy("page_index", "reading_order", "para")
+    b = blocks.withColumn("ends", _ends("runs"))
+    goes_on = (c("type") == "paragraph") & (F.lag("type").over(order) == "paragraph") & ~F.lag("ends").over(order)
+    b = b.withColumn("starts", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("block_ordinal", F.sum("starts").over(order) - 1)
+    at = F.struct("page_index", "reading_order", "para")
+    parts = F.sort_array(F.collect_list(F.struct("page_index", "reading_order", "para", "runs")))
+    whole = b.groupBy("doc_id", "block_ordinal").agg(F.min_by(F.struct("type", *_REST), at).alias("f"), parts.alias("parts"))
+    return whole.select("doc_id", "block_ordinal", "f.type", joined_parts("parts").alias("runs"), *[f"f.{n}" for n in _REST])
+
+
+def joined_parts(parts: str) -> Column:
+    """Runs of a paragraph out of its ``parts`` (an array of structs with ``runs``, in order). Most are of one part, whose runs stay as they are."""
+    return F.when(F.size(parts) == 1, F.get(parts, F.lit(0))["runs"]).otherwise(continued(F.transform(parts, lambda p: p["runs"])))
+
+
 def numbered_pages(pages: DataFrame) -> DataFrame:
     """``doc_id, page_index, before, joined, goes_on`` of ``page_rows``: blocks of the document before the page's first, whether the first goes on the last one
     of the page before, and whether the last goes on on the next page. The scan over a book sees a narrow row a page, and no text."""
@@ -198,9 +249,9 @@ def merge_paragraphs(blocks: DataFrame) -> DataFrame:
     return inner.unionByName(outer.select("doc_id", "block_ordinal", "type", "runs", *[f"f.{n}" for n in _REST], c("f.page_index").alias("source_page")))
 
 
-def title() -> Column:
+def title(text: str = "array_join(transform(runs, r -> r.text), '')") -> Column:
     """Of a document's blocks, the first title's text, or nothing: an aggregate."""
-    return F.coalesce(F.expr("min_by(array_join(transform(runs, r -> r.text), ''), block_ordinal) FILTER (WHERE type = 'title')"), F.lit("")).alias("title")
+    return F.coalesce(F.expr(f"min_by({text}, block_ordinal) FILTER (WHERE type = 'title')"), F.lit("")).alias("title")
 
 
 def titles(blocks: DataFrame) -> DataFrame:
